@@ -180,3 +180,74 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(weights[order], first)
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: int = 0x20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs one after the other with one ``gap`` byte behind each, and where each now lies."""
+    length = ends - starts
+    new = np.cumsum(length + 1) - (length + 1)
+    n = int(length.sum())
+    before = np.cumsum(length) - length
+    out = np.full(n + len(starts), gap, np.uint8)
+    within = np.arange(n)
+    out[within + np.repeat(new - before, length)] = data[within + np.repeat(starts - before, length)]
+    return out, new, new + length
+
+
+_X1, _X2, _X3, _X4, _X5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Runs of more bytes go through the C library one by one.
+_LONG = 192
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << U(by)) | (x >> U(64 - by))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each run of bytes (the published algorithm, all runs in step)."""
+    import xxhash
+
+    n, length = len(starts), ends - starts
+    if not n:
+        return np.zeros(0, U)
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", held, strides=(1,))
+    with np.errstate(over="ignore"):
+        s = U(seed)
+        h = np.full(n, s + _X5, U)
+        at = starts.copy()
+        wide = np.flatnonzero((length >= 32) & (length <= _LONG))
+        if len(wide):
+            lanes = [np.full(len(wide), v, U) for v in (s + _X1 + _X2, s + _X2, s, s - _X1)]
+            stripes = length[wide] // 32
+            for k in range(int(stripes.max())):
+                on = np.flatnonzero(stripes > k)
+                for j in range(4):
+                    lanes[j][on] = _turn(lanes[j][on] + eight[starts[wide[on]] + 32 * k + 8 * j] * _X2, 31) * _X1
+            top = _turn(lanes[0], 1) + _turn(lanes[1], 7) + _turn(lanes[2], 12) + _turn(lanes[3], 18)
+            for j in range(4):
+                top = (top ^ (_turn(lanes[j] * _X2, 31) * _X1)) * _X1 + _X4
+            h[wide] = top
+            at[wide] += 32 * stripes
+        h += length.astype(U)
+        left = np.where(length > _LONG, 0, ends - at)
+        for k in range(int(left.max()) // 8):
+            on = np.flatnonzero(left >= 8 * (k + 1))
+            h[on] = _turn(h[on] ^ (_turn(eight[at[on] + 8 * k] * _X2, 31) * _X1), 27) * _X1 + _X4
+        at += left // 8 * 8
+        left %= 8
+        on = np.flatnonzero(left >= 4)
+        h[on] = _turn(h[on] ^ ((eight[at[on]] & U(0xFFFFFFFF)) * _X1), 23) * _X2 + _X3
+        at[on] += 4
+        left[on] -= 4
+        for k in range(3):
+            on = np.flatnonzero(left > k)
+            h[on] = _turn(h[on] ^ (held[at[on] + k].astype(U) * _X5), 11) * _X1
+        h ^= h >> U(33)
+        h *= _X2
+        h ^= h >> U(29)
+        h *= _X3
+        h ^= h >> U(32)
+    for k in np.flatnonzero(length > _LONG).tolist():
+        h[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return h
