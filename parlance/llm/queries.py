@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, records, simhash
 
 QUERIES = {
+    "op4_token_records": records.op4,
     "op7_decontaminate": decontaminate.op7,
     "op9_simhash": simhash.op9,
+    "op10_token_lengths": records.op10,
 }
 
 ORACLES: dict[str, str] = {}
