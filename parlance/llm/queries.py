@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, records, simhash
+from . import decontaminate, mixing, records, ring, simhash
 
 QUERIES = {
+    "op1_mix": mixing.op1,
     "op4_token_records": records.op4,
     "op7_decontaminate": decontaminate.op7,
+    "op8_shard": ring.op8,
     "op9_simhash": simhash.op9,
     "op10_token_lengths": records.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mix": mixing.OP1_SQL}
