@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, records, ring, simhash
+from . import decontaminate, fingerprint, mixing, records, ring, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1,
     "op4_token_records": records.op4,
+    "op5_fingerprint": fingerprint.op5,
     "op7_decontaminate": decontaminate.op7,
     "op8_shard": ring.op8,
     "op9_simhash": simhash.op9,
