@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, mixing, records, ring, simhash
+from . import decontaminate, fingerprint, langid, mixing, records, ring, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1,
+    "op2_language": langid.op2,
     "op4_token_records": records.op4,
     "op5_fingerprint": fingerprint.op5,
     "op7_decontaminate": decontaminate.op7,
