@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, mixing, records, ring, simhash
+from . import decontaminate, fingerprint, langid, mixing, records, ring, simhash, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1,
     "op2_language": langid.op2,
     "op4_token_records": records.op4,
     "op5_fingerprint": fingerprint.op5,
+    "op6_toxicity": toxicity.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_shard": ring.op8,
     "op9_simhash": simhash.op9,

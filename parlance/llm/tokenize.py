@@ -59,7 +59,7 @@ class _Held(dict):
 class Encoder:
     """Texts to ids as little-endian unsigned numbers of two bytes ("H") or four ("I")."""
 
-    def __init__(self, path: str, kind: str = "H", most: int = 1 << 19):
+    def __init__(self, path: str, kind: str = "H", most: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,7 +73,7 @@ class Encoder:
         self.cut, self.names = _pattern().findall, _byte_names()
         self.words = _Held(self._word, most)
         self.first = _Held(self._piece, most)
-        self.later = _Held(lambda piece: self._piece(" " + piece), most)
+        self.later = _Held(self._later, most)
 
     def _ids(self, ids) -> bytes:
         return array(self.kind, ids).tobytes()
@@ -82,6 +82,11 @@ class Encoder:
         """One piece of the pattern, by the library's model."""
         return self._ids([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.names))])
 
+    def _later(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():  # a single piece of the pattern
+            return self.words[" " + piece]
+        return self._piece(" " + piece)
+
     def _piece(self, text: str) -> bytes:
         if text.isascii() or max(text) < chr(_LATIN):
             return b"".join(map(self.words.__getitem__, self.cut(text)))
