@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, langid, mixing, records, ring, simhash, toxicity
+from . import ctw, decontaminate, fingerprint, langid, mixing, records, ring, simhash, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1,
     "op2_language": langid.op2,
+    "op3_context_tree": ctw.op3,
     "op4_token_records": records.op4,
     "op5_fingerprint": fingerprint.op5,
     "op6_toxicity": toxicity.op6,
