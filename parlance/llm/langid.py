@@ -132,30 +132,30 @@ def train(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str
     return fit(bits[:, :WIDTH], rows["label"].to_pylist(), landmarks)
 
 
-def predict(docs: DataFrame, model: Model | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to the ``keep`` columns (all by default)."""
+def predict(docs: DataFrame, model: Model | None, *, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score, called ``names``, to the ``keep`` columns (all by default)."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     cast = spark.sparkContext.broadcast(model)
 
     def run(batches):
         m = cast.value
-        for block in tb.blocks(batches, "__text"):
+        for block in tb.blocks(batches, -1):
             column = block.column(block.num_columns - 1)
             lettered = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            names = np.full(block.num_rows, UND, object)
+            found = np.full(block.num_rows, UND, object)
             score = np.zeros(block.num_rows)
             rows = np.flatnonzero(lettered)
             for k in range(0, len(rows) if m else 0, 64):
                 some = rows[k : k + 64]
                 f = m.scores(presence(*tb.utf8(column.take(pa.array(some)))))
                 best = f.argmax(axis=1)
-                names[some] = np.array(m.languages, object)[best]
+                found[some] = np.array(m.languages, object)[best]
                 score[some] = 1 / np.exp(_SHARP * (f - f.max(axis=1, keepdims=True)).astype(np.float64)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(names, pa.string()), pa.array(score)], names=[*block.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(found, pa.string()), pa.array(score)], names=[*block.schema.names[:-1], *names])
 
     slim = docs.select(*keep, F.col(text).alias("__text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     return slim.mapInArrow(run, schema)
 
 

@@ -45,13 +45,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches, column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold ``limit`` bytes of ``column`` at most, or one row."""
+def blocks(batches, column: str | int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold ``limit`` bytes of ``column`` (a name, or a place) at most, or one row."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        lengths = pc.fill_null(pc.binary_length(batch.columns[column] if isinstance(column, int) else batch.column(column)), 0)
         ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
         at, before = 0, 0
         while at < n:

@@ -224,7 +224,7 @@ def score(docs: DataFrame, field: Field | None, *, text: str = "text", keep: lis
 
     def run(batches):
         f = cast.value
-        for block in tb.blocks(batches, "__text"):
+        for block in tb.blocks(batches, -1):
             n = block.num_rows
             data, offsets = tb.utf8(block.column(block.num_columns - 1))
             features, doc, start, end = token_features(data, offsets)
