@@ -103,7 +103,7 @@ def _places_sql(name: str) -> str:
 
 
 FLAGS_SQL = B.TURNS_SQL + ", lows AS (SELECT *, list_transform(tokens, lambda x: lower(x)) AS low FROM turns), places AS (SELECT *, " + ", ".join(f"{_places_sql(k)} AS p_{k}" for k in B.SETS) + """ FROM lows),
-  timed AS (SELECT * REPLACE (p_time || list_filter(range(len(low) - 1), lambda i: regexp_matches(low[i + 1], '^[0-9]+$') AND low[i + 2] = 'day') AS p_time) FROM places),
+  clocked AS (SELECT * REPLACE (p_time || list_filter(range(len(low) - 1), lambda i: regexp_matches(low[i + 1], '^[0-9]+$') AND low[i + 2] = 'day') AS p_time) FROM places),
   flags AS (SELECT call_id, turn_index, speaker, n_tokens, low,
     len(list_filter(p_threat, lambda x: len(list_filter(p_time, lambda y: abs(x - y) <= 8)) > 0)) > 0 AS threat_near_time,
     len(list_filter(p_sensitive, lambda x: len(list_filter(p_imperative, lambda y: abs(x - y) <= 5)) > 0)) > 0 AS imperative_sensitive,
@@ -111,7 +111,7 @@ FLAGS_SQL = B.TURNS_SQL + ", lows AS (SELECT *, list_transform(tokens, lambda x:
     len(list_filter(p_negative, lambda i: len(list_filter(p_secrecy, lambda j: abs(i - j) <= 4)) > 0 AND len(list_filter(p_imperative, lambda j: j >= i AND j < i + 4)) > 0)) > 0 AS secrecy_command,
     len(list_filter(p_sensitive, lambda s: len(list_filter(p_negation, lambda g: abs(g - s) <= 5)) > 0 AND coalesce(list_min(p_first_person) < s + 4, false))) > 0 AS never_ask_disclaimer,
     len(list_filter(p_conditional, lambda i: i + 1 < len(low) AND len(list_filter(p_threat, lambda j: j >= i AND j < i + 8)) > 0)) > 0 AS conditional_threat
-  FROM timed)"""
+  FROM clocked)"""
 _FLAG_SUM = " + ".join(f"CASE WHEN {k} THEN {w} ELSE 0 END" for k, w in L.PATTERN_WEIGHTS.items())
 _PRESS = "CASE family " + " ".join(f"WHEN '{f}' THEN {w}::DOUBLE" for f, w in L.PRESSURE.items()) + " END"
 RULES_SQL = FLAGS_SQL + f", {B.VOCAB_SQL}, lex AS (SELECT call_id, turn_index, sum(weight * {_PRESS}) AS w FROM (SELECT call_id, turn_index, unnest(low) AS term FROM lows) JOIN vocab USING (term) GROUP BY ALL), rules AS (SELECT call_id, turn_index, speaker, CASE WHEN n_tokens <= 0 THEN 0 ELSE 1 / (1 + exp(-least(greatest(1.10 * (coalesce(w, 0) + {_FLAG_SUM} - 1.40), -40), 40))) END AS score FROM flags LEFT JOIN lex USING (call_id, turn_index))"
