@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import fresh_path
+from .shared import fresh_path, stage
 from .tokenize import encoder, tokenizer_path
 
 END = 2
@@ -174,7 +174,7 @@ def lengths(docs: DataFrame, *, tokenizer: str | None = None, end_tokens: int =
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def length_histogram(docs: DataFrame, *, block: int = 1024, **how) -> DataFrame:
+def length_histogram(docs: DataFrame, *, block: int = 128, **how) -> DataFrame:
     """The exact length histogram with its suffix sums, from which any context limit is answered.
 
     Columns: n_tokens, n_docs, tokens (of these documents), docs_at_least and tokens_at_least (of
@@ -183,7 +183,7 @@ def length_histogram(docs: DataFrame, *, block: int = 1024, **how) -> DataFrame:
     steps, over blocks of ``block`` lengths and within each, so no task holds all lengths. A null or
     empty text has length 0; an empty table gives no rows.
     """
-    h = lengths(docs, **how).withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
+    h = stage(lengths(docs, **how), "lengths").withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
     sums = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of lengths
     whole = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
