@@ -22,7 +22,7 @@ def _each(signals: DataFrame, schema: str, make) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [{"signal_id": i, **r} for i, sr, x in zip(pdf.signal_id, pdf.sr, pdf.samples, strict=True) for r in make(np.asarray(x if x is not None else [], float), int(sr))]
+            rows = [{"signal_id": i, **r} for i, sr, x in zip(pdf.signal_id, pdf.sr, pdf.samples, strict=True) for r in make(np.asarray(x if x is not None else [], float), int(sr) or dsp.RATE)]
             if rows:
                 yield pd.DataFrame(rows)
 
