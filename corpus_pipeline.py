@@ -59,7 +59,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return records.encoded(docs)
+    # workers that also ran the other stages keep fewer pieces
+    return records.encoded(docs, held=1 << 17)
 
 
 STAGES = [

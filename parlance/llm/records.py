@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .shared import fresh_path, stage
-from .tokenize import encoder, tokenizer_path
+from .tokenize import HELD, encoder, tokenizer_path
 
 END = 2
 FILE_BYTES = 16 << 20
@@ -76,7 +76,7 @@ def ranges_for(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
     return max(1, min(1 << 20, math.ceil(size / file_bytes)))
 
 
-def write_records(docs: DataFrame, path: str, *, tokenizer: str | None = None, kind: str = "H", end_id: int = END, doc_id: str = "doc_id", text: str = "text", files: int | None = None) -> None:
+def write_records(docs: DataFrame, path: str, *, tokenizer: str | None = None, kind: str = "H", end_id: int = END, doc_id: str = "doc_id", text: str = "text", files: int | None = None, held: int = HELD) -> None:
     """Encode whole texts and write the record files to ``path``/records and the index to
     ``path``/index."""
     spark = docs.sparkSession
@@ -85,8 +85,8 @@ def write_records(docs: DataFrame, path: str, *, tokenizer: str | None = None, k
     end = np.array([end_id], "<u2" if kind == "H" else "<u4").tobytes()
 
     def encode(batches):
-        e = encoder(tokenizer, kind)
-        for block in tb.blocks(batches, "text", 4 << 20):
+        e = encoder(tokenizer, kind, held)
+        for block in tb.blocks(batches, "text", 1 << 20):
             rows = zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([frame(i, e.encode(t) + end) for i, t in rows], pa.binary())], names=["record"])
 
@@ -161,7 +161,7 @@ def lengths(docs: DataFrame, *, tokenizer: str | None = None, end_tokens: int =
 
     def count(batches):
         e, seen = encoder(tokenizer), np.zeros(0, np.int64)
-        for block in tb.blocks(batches, "text", 4 << 20):
+        for block in tb.blocks(batches, "text", 1 << 20):
             n = np.array([len(e.encode(t)) // 2 + end_tokens for t in block.column(0).to_pylist()], np.int64)
             more = np.bincount(n)
             if len(more) > len(seen):

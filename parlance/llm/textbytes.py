@@ -7,6 +7,7 @@ document is a block of its own).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +46,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: an idle worker then holds no more than its modules."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def blocks(batches, column: str | int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold ``limit`` bytes of ``column`` (a name, or a place) at most, or one row."""
     for batch in batches:
@@ -58,6 +68,8 @@ def blocks(batches, column: str | int, limit: int = 1 << 18) -> Iterator[pa.Reco
             upto = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, upto - at)
             at, before = upto, int(ends[upto - 1])
+    batch = lengths = ends = None
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,6 +16,8 @@ from array import array
 
 DEFAULT = "byte_bpe_50k.json"
 _LATIN = 0x250
+#: Pieces that a worker keeps the ids of, at some 160 bytes each.
+HELD = 3 << 18
 _TYPE = {"H": 2, "I": 4}
 
 
@@ -59,7 +61,7 @@ class _Held(dict):
 class Encoder:
     """Texts to ids as little-endian unsigned numbers of two bytes ("H") or four ("I")."""
 
-    def __init__(self, path: str, kind: str = "H", most: int = 1 << 20):
+    def __init__(self, path: str, kind: str = "H", most: int = HELD):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -83,13 +85,17 @@ class Encoder:
         return self._ids([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.names))])
 
     def _later(self, piece: str) -> bytes:
+        """A piece with a space before it. Its words are kept here too, so each is held once."""
         if piece.isascii() and piece.isalpha():  # a single piece of the pattern
-            return self.words[" " + piece]
+            return self._word(" " + piece)
         return self._piece(" " + piece)
 
     def _piece(self, text: str) -> bytes:
         if text.isascii() or max(text) < chr(_LATIN):
-            return b"".join(map(self.words.__getitem__, self.cut(text)))
+            parts = self.cut(text)
+            if len(parts) == 1:
+                return self._word(text)
+            return b"".join([self.later[p[1:]] if len(p) > 1 and p[0] == " " else self.words[p] for p in parts])
         return self._ids(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
@@ -109,9 +115,10 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, kind: str = "H") -> Encoder:
+def encoder(path: str, kind: str = "H", most: int = HELD) -> Encoder:
     """One encoder for each worker process."""
-    key = path, kind
+    key = path, kind, most
     if key not in _encoders:
-        _encoders[key] = Encoder(path, kind)
+        _encoders.clear()
+        _encoders[key] = Encoder(path, kind, most)
     return _encoders[key]
