@@ -27,9 +27,11 @@ def det_curve(df: DataFrame, group: list[str], score: str = "score", label: str
 
 
 def equal_error(curve: DataFrame, group: list[str]) -> DataFrame:
-    """(group, eer, threshold): the first point by falling threshold at which the rates are nearest."""
+    """(group, eer, threshold): the first point by falling threshold at which the rates are nearest; no
+    row for a group without both classes."""
+    curve = curve.where("fpr IS NOT NULL AND fnr IS NOT NULL")
     best = F.min_by(F.struct("fpr", "fnr", "threshold"), F.struct(F.abs(F.col("fpr") - F.col("fnr")), -F.col("threshold")))
-    return curve.groupBy(*group).agg(best.alias("x")).select(*group, ((F.col("x.fpr") + F.col("x.fnr")) / 2).alias("eer"), F.col("x.threshold").alias("threshold"))
+    return curve.groupBy(*group).agg(best.alias("x"), F.count("*").alias("__n")).where("__n > 1").select(*group, ((F.col("x.fpr") + F.col("x.fnr")) / 2).alias("eer"), F.col("x.threshold").alias("threshold"))
 
 
 def min_tdcf(curve: DataFrame, group: list[str], prior: float = 0.05, miss: float = 1.0, alarm: float = 10.0) -> DataFrame:

@@ -244,8 +244,8 @@ def curve_sql(source: str, group: str) -> str:
     return f"""curve AS (SELECT {group}, threshold, CASE WHEN neg > 0 THEN fp / neg END AS fpr, 1 - CASE WHEN pos > 0 THEN tp / pos END AS fnr FROM (
     SELECT {group}, score AS threshold, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY {group}) AS pos, sum(n) OVER (PARTITION BY {group}) AS neg
     FROM (SELECT {group}, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM {source} GROUP BY ALL) WINDOW w AS (PARTITION BY {group} ORDER BY score DESC))
-  UNION ALL SELECT DISTINCT {group}, 1e300, 0, 1 FROM {source}),
-  eer AS (SELECT {group}, arg_min((fpr + fnr) / 2, (abs(fpr - fnr), -threshold)) AS eer, arg_min(threshold, (abs(fpr - fnr), -threshold)) AS threshold FROM curve GROUP BY 1)"""
+  UNION ALL SELECT DISTINCT {group}, 'inf'::DOUBLE, 0, 1 FROM {source}),
+  eer AS (SELECT {group}, arg_min((fpr + fnr) / 2, (abs(fpr - fnr), -threshold)) AS eer, arg_min(threshold, (abs(fpr - fnr), -threshold)) AS threshold FROM curve WHERE fpr IS NOT NULL AND fnr IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"""
 
 
 def rates_sql(source: str, group: str, threshold: float) -> str:
