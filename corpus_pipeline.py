@@ -21,18 +21,6 @@ from parlance.llm import decontaminate, langid, mixing, records, simhash
 from parlance.llm.shared import stage
 
 
-def _kept(docs: DataFrame, verdict: DataFrame, extra: str | None = None) -> DataFrame:
-    """The documents whose id the (unique) verdict holds, with its ``extra`` column; null meets null.
-
-    The verdict is slim. It is staged, so Catalyst knows its size and broadcasts it only if small.
-    """
-    verdict = stage(verdict.withColumnRenamed("doc_id", "__id"), "verdict")
-    met = docs["doc_id"].eqNullSafe(verdict["__id"])
-    if extra is None:
-        return docs.join(verdict, met, "left_semi")
-    return docs.join(verdict, met).select(*docs.columns, extra)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows stay with their verdict in one pass: no join."""
     model = langid.train(docs, F.lit(True))
@@ -41,21 +29,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The one stage whose verdict needs other rows than the document's own. Verdicts grow with the
+    documents, so they are never broadcast: both sides are dealt by id, alike at every size."""
     found = simhash.near_duplicates(docs)
-    return _kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    report = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = report.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    bad = stage(bad, "bad")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies"))
-    held = _kept(docs, found, "__copies")
-    return held.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

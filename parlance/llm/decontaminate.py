@@ -169,33 +169,46 @@ MATCHES = T.StructType([
 ])
 
 
+def _measured(texts: pa.Array, parts: list, window: int) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Words, hit words and sorted items of each text of a block."""
+    shard = Shard(*tb.utf8(texts), pad=max(window, DEPTH))
+    rows = len(texts)
+    marks = np.zeros(len(shard.words) + 1, np.int32)
+    found: list[set] = [set() for _ in range(rows)]
+    for number, part in enumerate(parts):
+        p = part.value
+        for place, k in occurrences(shard, p):
+            np.add.at(marks, place, 1)
+            np.add.at(marks, place + p.length[k], -1)
+            pairs = np.unique((np.searchsorted(shard.first, place, "right") - 1) * len(p.ids) + p.item[k])
+            for pair in pairs.tolist():
+                found[pair // len(p.ids)].add((number, pair % len(p.ids)))
+    hit = np.cumsum(marks[:-1])[shard.place] > 0
+    return shard.n_words, np.bincount(shard.doc[hit], minlength=rows), [sorted(parts[n].value.ids[k] for n, k in x) for x in found]
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents without any occurring window, with all their columns. A row is judged where it
+    lies; nothing is joined or shuffled."""
+    parts = _parts(benchmark, item_id, item_text, window, part_bytes)
+
+    def keep(batches):
+        for block in tb.blocks(batches, -1, BLOCK):
+            _, n_hit, _ = _measured(block.columns[-1], parts, window)
+            yield pa.RecordBatch.from_arrays(block.columns[:-1], names=block.schema.names[:-1]).filter(pa.array(n_hit == 0))
+
+    return docs.select("*", F.col(text).alias("__text")).mapInArrow(keep, docs.schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per document: words, words inside an occurring window, items, and the items' digest."""
     parts = _parts(benchmark, item_id, item_text, window, part_bytes)
 
     def report(batches):
         for block in tb.blocks(batches, "text", BLOCK):
-            shard = Shard(*tb.utf8(block.column(1)), pad=max(window, DEPTH))
-            rows = block.num_rows
-            marks = np.zeros(len(shard.words) + 1, np.int32)
-            found: list[set[str]] = [set() for _ in range(rows)]
-            for part in parts:
-                p = part.value
-                for place, k in occurrences(shard, p):
-                    np.add.at(marks, place, 1)
-                    np.add.at(marks, place + p.length[k], -1)
-                    pairs = np.unique((np.searchsorted(shard.first, place, "right") - 1) * len(p.ids) + p.item[k])
-                    for pair in pairs.tolist():
-                        found[pair // len(p.ids)].add((pair % len(p.ids), id(part)))
-            hit = np.cumsum(marks[:-1])[shard.place] > 0
-            n_hit = np.bincount(shard.doc[hit], minlength=rows)
-            names = {id(part): part.value.ids for part in parts}
-            items = [sorted(names[o][k] for k, o in x) for x in found]
+            n_words, n_hit, items = _measured(block.column(1), parts, window)
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0), pa.array(shard.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)],
-                names=REPORT.names,
-            )
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)], names=REPORT.names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(report, REPORT)
 

@@ -84,6 +84,19 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
     return now.select("source", "source_size", "target", "copies", "below")
 
 
+def mixed_rows(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.0, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of the mix, each as often as the mix holds it, with all their columns.
+
+    Whether a row is taken follows from its id and its source's rule, so texts meet a table of one row
+    a source and are not shuffled.
+    """
+    slim = sized(docs, doc_id, text, source)
+    rules = thresholds(slim, targets(slim, weights, budget, cap)).select(F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("below").alias("__below"))
+    copies = F.col("__copies") + F.when(id_hash(doc_id) < F.col("__below"), 1).otherwise(0)
+    out = docs.join(rules, docs[source].cast("string").eqNullSafe(rules["__source"])).withColumn("__n", copies.cast("int")).where("__n > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+
+
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.0, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every document; copies is how often the
     mix holds it and taken its words, repeats counted."""
