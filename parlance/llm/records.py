@@ -119,10 +119,11 @@ def _index(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The offset index, with ``start`` counted over all files. Files sort by name as by id."""
+    """The offset index, with ``start`` counted over all files, which are numbered as their ids run."""
     index = spark.read.parquet(f"{path}/index")
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     bases = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     return index.join(bases, "file").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
