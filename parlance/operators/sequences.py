@@ -76,8 +76,8 @@ def markov_fit(turns: DataFrame, label: str, acts: list[str], alpha: float, key:
     spark = turns.sparkSession
     w = Window.partitionBy(key).orderBy("turn_index")
     known = turns.where(F.col("act").isin(*acts)).select(label, "act", F.lag("act").over(w).alias("before"))
-    grid = spark.createDataFrame([(a,) for a in acts], "act string")
-    labels = spark.createDataFrame([(0,), (1,)], f"{label} int")
+    grid = spark.createDataFrame([(a,) for a in acts], "act string").coalesce(1)
+    labels = spark.createDataFrame([(0,), (1,)], f"{label} int").coalesce(1)
     firsts = known.where("before IS NULL").groupBy(label, "act").agg(F.count("*").alias("n"))
     steps = known.where("before IS NOT NULL").groupBy(label, F.col("before").alias("act"), F.col("act").alias("next_act")).agg(F.count("*").alias("n"))
     per = Window.partitionBy(label)
