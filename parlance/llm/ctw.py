@@ -7,11 +7,13 @@ its children are weighed one half each, from the leaves up, which yields the pos
 stopping at each node; a decision's probability mixes the estimates along its path with those.
 
 What the corpus gives are exact counts of all (DEPTH + 1)-grams of the training documents, summed by
-task before they are shuffled. A context is a node of its own where it makes up ``SHARE`` of all
-bytes or more (so a depth has 1 / SHARE contexts at most, whatever the corpus); the rest of its
-parent's occurrences form one further leaf. This bounds the broadcast model and acts alike at every
-size. Word counts are exact and unbounded: words that make up ``HEAVY`` of all tokens or more (1 /
-HEAVY at most) are broadcast, all other (row, word) pairs meet their counts in a shuffled join.
+task before they are shuffled. Every context seen ``LEAST`` times or more is a node of its own, at
+every size of the corpus; the rest of its parent's occurrences form one further leaf. So the tree
+grows with the corpus and lies nowhere whole: its first ``TOP`` depths, which the bytes' alphabet
+bounds, are weighed on the driver, and the subtrees below them where their grams are dealt. Each
+distinct gram of the documents is scored there once. Words and grams that make up ``HEAVY`` of all
+or more (1 / HEAVY at most) are broadcast with their counts or scores, all other (row, word) and
+(row, gram) pairs meet theirs in a shuffled join.
 
 Defined cases: a null text is empty, one end token; a null id belongs to the training side; without
 training rows counts are 0, the tree is empty and every bit has probability 1/2.
@@ -30,12 +32,18 @@ from .shared import fold_is, stage
 
 U = np.uint64
 DEPTH = 5
-SHARE = 2.0**-19
+#: Depths from 0 to TOP are weighed on the driver.
+TOP = 2
+LEAST = 2
+#: The least share of all bytes that makes a context a node: none, at every size ``LEAST`` decides.
+SHARE = 0.0
 HEAVY = 2.0**-21
 #: The end token's key among the words' hashes, which have 63 bits.
 END_KEY = (1 << 63) - 1
 _END = 0x0A
 _FLUSH = 1 << 21
+#: Grams whose subtrees are weighed at once.
+_RUN = 1 << 17
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,11 +85,12 @@ def grams(buffer: np.ndarray) -> np.ndarray:
     return out
 
 
-def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(kind, key, n): exact counts of words (0) and grams (1) of all rows given, staged."""
+def corpus_counts(docs: DataFrame, text: str, learnt: Column | None = None) -> DataFrame:
+    """(kind, key, n): exact counts of words (0) and grams (1) of the rows for which ``learnt`` holds
+    (all by default), and of the other rows' grams (2), staged."""
 
     def count(batches):
-        held: dict[int, list] = {0: [], 1: []}
+        held: dict[int, list] = {0: [], 1: [], 2: []}
 
         def packed(kind):
             keys, weights = (np.concatenate(x) for x in zip(*held[kind], strict=True))
@@ -97,17 +106,21 @@ def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[a:z]), kind, np.int8)), pa.array(keys[a:z].view(np.int64)), pa.array(n[a:z])], names=["kind", "key", "n"])
 
         for block in tb.blocks(batches, "text", 1 << 19):
-            buffer, _, scored, hashes, _ = canonical(*tb.utf8(block.column(0)))
-            keys, n = tb.counted(hashes)
-            held[0].append((np.append(keys, U(END_KEY)), np.append(n, block.num_rows)))
-            held[1].append(tb.counted(grams(buffer)[scored]))
-            for kind in (0, 1):
+            buffer, at, scored, hashes, doc = canonical(*tb.utf8(block.column(0)))
+            mine = block.column(1).to_numpy(zero_copy_only=False)
+            keys, n = tb.counted(hashes[mine[doc]])
+            held[0].append((np.append(keys, U(END_KEY)), np.append(n, mine.sum())) if mine.any() else (keys, n))
+            found, mine = grams(buffer)[scored], mine[at[scored]]
+            held[1].append(tb.counted(found[mine]))
+            held[2].append(tb.counted(found[~mine]))
+            for kind in held:
                 if sum(len(x) for x, _ in held[kind]) > _FLUSH and len(packed(kind)[0]) > _FLUSH // 2:
                     yield from flush(kind)
-        for kind in (0, 1):
+        for kind in held:
             yield from flush(kind)
 
-    raw = docs.select(F.col(text).alias("text")).mapInArrow(count, "kind byte, key long, n long")
+    learnt = F.lit(True) if learnt is None else F.coalesce(learnt, F.lit(False))
+    raw = docs.select(F.col(text).alias("text"), learnt.alias("learnt")).mapInArrow(count, "kind byte, key long, n long")
     return stage(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
@@ -129,73 +142,88 @@ def kt_next(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 class Tree:
     """The weighted tree: for each depth its contexts, seen grams with their log10 probability, and
-    the decisions' mixtures, from which bytes that a context has not seen are scored."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels[d]: sorted keys (context of d bytes, then the byte) and counts."""
-        self.keys = [keys for keys, _ in levels]
-        self.logs = [np.zeros(len(keys)) for keys in self.keys]
-        self.contexts, of, parent = [], [], [None]
-        for d, keys in enumerate(self.keys):
-            context, first = np.unique(keys >> U(8), return_index=True)
+    the decisions' mixtures, from which bytes that a context has not seen are scored. With ``above``
+    it is some subtrees of a larger tree, whose first depths ``above`` has."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], above: Tree | None = None):
+        """levels: by depth, behind those of ``above``, sorted keys (context, then the byte) and counts."""
+        self.above, self.first = above, len(above.keys) if above else 0
+        shared = lambda name: list(getattr(above, name)) if above else []
+        self.keys = shared("keys") + [keys for keys, _ in levels]
+        self.logs = shared("logs") + [np.zeros(len(keys)) for keys, _ in levels]
+        self.contexts, of, parent = shared("contexts"), [], []
+        for d in range(self.first, len(self.keys)):
+            context, first = np.unique(self.keys[d] >> U(8), return_index=True)
             self.contexts.append(context)
-            of.append(np.repeat(np.arange(len(context), dtype=np.int32), np.diff(np.append(first, len(keys)))))
-            if d:
-                parent.append(np.searchsorted(self.contexts[d - 1], context & U((1 << 8 * (d - 1)) - 1)).astype(np.int32))
+            of.append(np.repeat(np.arange(len(context), dtype=np.int32), np.diff(np.append(first, len(self.keys[d])))))
+            parent.append(np.searchsorted(self.contexts[d - 1], context & U((1 << 8 * (d - 1)) - 1)).astype(np.int32) if d else None)
         #: nodes[d][k]: context * 256 + the k decided bits behind a leading one, ascending
-        self.nodes, self.tip, self.sub = ([[None] * 8 for _ in levels] for _ in range(3))
-        for k in range(8):  # decisions of different bits share no node
-            self._weigh(k, [n for _, n in levels], of, parent)
-
-    def _weigh(self, k: int, counts: list[np.ndarray], of: list[np.ndarray], parent: list) -> None:
-        depth = len(counts) - 1
-        zeros, ones, owner, place, bits = [], [], [None], [], []
-        for d, n in enumerate(counts):
+        self.nodes, self.tip, self.sub = (shared(name) + [[None] * 8 for _ in levels] for name in ("nodes", "tip", "sub"))
+        #: by decision: the deepest nodes' mixtures so far, and the weight that is still open there
+        self.open = [None] * 8
+        # decisions of different bits share no node
+        self.parts = [self._count(k, [n for _, n in levels], of, parent) for k in range(8)]
+
+    def _count(self, k: int, counts: list[np.ndarray], of: list[np.ndarray], parent: list) -> list[dict]:
+        parts = []
+        for d, n, own, up in zip(range(self.first, len(self.keys)), counts, of, parent, strict=True):
             byte = (self.keys[d] & U(255)).astype(np.int32)
-            node, bit = of[d] * 256 + (1 << k | byte >> (8 - k)), byte >> (7 - k) & 1
+            node, bit = own * 256 + (1 << k | byte >> (8 - k)), byte >> (7 - k) & 1
             new = np.concatenate(([True], node[1:] != node[:-1])) if len(node) else np.zeros(0, bool)
             first = np.flatnonzero(new)
-            self.nodes[d][k] = node[first]
-            place.append((np.cumsum(new) - 1).astype(np.int32))
-            bits.append(bit == 1)
+            mine = self.nodes[d][k] = node[first]
             both = np.add.reduceat(n, first) if len(first) else np.zeros(0)
             one = np.add.reduceat(n * bit, first) if len(first) else np.zeros(0)
-            ones.append(one.astype(float))
-            zeros.append((both - one).astype(float))
-            if d:
-                mine = self.nodes[d][k]
-                owner.append(np.searchsorted(self.nodes[d - 1][k], parent[d][mine >> 8] * 256 + (mine & 255)))
-        stop, other = [None] * (depth + 1), [None] * (depth + 1)
-        weighted = None
-        for d in range(depth, -1, -1):
-            own = kt_block(zeros[d], ones[d])
-            if d == depth:
-                weighted, stop[d], other[d] = own, np.ones(len(own)), np.full(len(own), 0.5)
-                continue
-            m = len(own)
-            below, c0, c1 = (np.bincount(owner[d + 1], weights=x, minlength=m) for x in (weighted, zeros[d + 1], ones[d + 1]))
-            rest0, rest1 = np.maximum(zeros[d] - c0, 0), np.maximum(ones[d] - c1, 0)
-            split = below + np.where(rest0 + rest1 > 0, kt_block(rest0, rest1), 0)
-            weighted = np.logaddexp(own, split) - np.log(2)
-            stop[d], other[d] = np.exp(own - np.log(2) - weighted), kt_next(rest0, rest1)
-        mixed = rest = None
-        for d in range(depth + 1):
-            w, kt = stop[d], kt_next(zeros[d], ones[d])
-            if d == 0:
-                mixed, rest = w * kt, 1 - w
+            owner = np.searchsorted(self.nodes[d - 1][k], up[mine >> 8] * 256 + (mine & 255)) if d else None
+            parts.append({"zeros": (both - one).astype(float), "ones": one.astype(float), "owner": owner, "place": (np.cumsum(new) - 1).astype(np.int32), "bits": bit == 1})
+        return parts
+
+    def lift(self, k: int, child: tuple | None = None) -> tuple | None:
+        """Weighs the nodes of decision k from the deepest up. ``child``: the sums over the children of
+        the deepest nodes, where those lie elsewhere. Returns the sums (logarithms, zeros, ones) over
+        the children of the nodes above."""
+        for d in range(len(self.keys) - 1, self.first - 1, -1):
+            x = self.parts[k][d - self.first]
+            zeros, ones = x["zeros"], x["ones"]
+            own = kt_block(zeros, ones)
+            if d == DEPTH:
+                weighted, x["stop"], x["other"] = own, np.ones(len(own)), np.full(len(own), 0.5)
             else:
-                mixed, rest = mixed[owner[d]] + rest[owner[d]] * w * kt, rest[owner[d]] * (1 - w)
-            tip = mixed + rest * other[d]
-            self.tip[d][k], self.sub[d][k] = tip.astype(np.float32), (mixed + rest * 0.5).astype(np.float32)
-            p = tip[place[d]]
-            self.logs[d] += np.log10(np.where(bits[d], p, 1 - p))
+                below, c0, c1 = child
+                rest0, rest1 = np.maximum(zeros - c0, 0), np.maximum(ones - c1, 0)
+                split = below + np.where(rest0 + rest1 > 0, kt_block(rest0, rest1), 0)
+                weighted = np.logaddexp(own, split) - np.log(2)
+                x["stop"], x["other"] = np.exp(own - np.log(2) - weighted), kt_next(rest0, rest1)
+            if d:
+                child = tuple(np.bincount(x["owner"], weights=y, minlength=len(self.nodes[d - 1][k])) for y in (weighted, zeros, ones))
+        return child
+
+    def weigh(self, children: list[tuple] | None = None) -> Tree:
+        """Weights from the leaves up, then mixtures from the root, or the tree above, down."""
+        for k in range(8):
+            self.lift(k, children[k] if children else None)
+            mixed, rest = self.above.open[k] if self.above else (None, None)
+            for d in range(self.first, len(self.keys)):
+                x = self.parts[k][d - self.first]
+                w, kt, owner = x["stop"], kt_next(x["zeros"], x["ones"]), x["owner"]
+                if d == 0:
+                    mixed, rest = w * kt, 1 - w
+                else:
+                    mixed, rest = mixed[owner] + rest[owner] * w * kt, rest[owner] * (1 - w)
+                tip = mixed + rest * x["other"]
+                self.tip[d][k], self.sub[d][k] = tip.astype(np.float32), (mixed + rest * 0.5).astype(np.float32)
+                p = tip[x["place"]]
+                self.logs[d] += np.log10(np.where(x["bits"], p, 1 - p))
+            self.open[k] = mixed, rest
+        return self
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("tables", "parts")}
 
     def _tables(self):
         if "tables" not in self.__dict__:
-            self.tables = [(tb.HashTable(k), tb.HashTable(c)) for k, c in zip(self.keys, self.contexts, strict=True)]
+            own = zip(self.keys[self.first :], self.contexts[self.first :], strict=True)
+            self.tables = (self.above._tables() if self.above else []) + [(tb.HashTable(k), tb.HashTable(c)) for k, c in own]
         return self.tables
 
     def unseen(self, depth: int, keys: np.ndarray) -> np.ndarray:
@@ -238,14 +266,6 @@ class Tree:
         return out
 
 
-    def sums(self, keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """The sum over the grams of each owner; equal grams of a block are looked up once."""
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-        return np.bincount(owner[order], weights=self.log10(keys[first])[np.cumsum(first) - 1], minlength=n)
-
-
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     t = df.toArrow()
     keys, n = t["key"].to_numpy().astype(np.int64).view(U), t["n"].to_numpy().astype(np.int64)
@@ -253,68 +273,149 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def learn(counts: DataFrame) -> Tree:
-    """The tree of the gram counts. Level d reaches the driver with its own contexts alone."""
-    found = counts.where("kind = 1")
-    total = found.agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, SHARE * total)
+def levels_of(keys: np.ndarray, n: np.ndarray, first: int, last: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The levels of depths ``first`` to ``last`` of grams and their counts."""
     levels = []
-    for d in range(DEPTH + 1):
-        level = found.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if d:
-            level = stage(level, "level")
-            own = level.groupBy(F.shiftright("key", 8).alias("c")).agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("c")
-            level = level.join(own, F.shiftright("key", 8) == F.col("c"), "left_semi")
-        levels.append(_arrays(level))
-    return Tree(levels)
+    for d in range(first, last + 1):
+        some, m = tb.counted(keys & U((1 << 8 * (d + 1)) - 1), n)
+        if d and len(some):
+            _, inverse = np.unique(some >> U(8), return_inverse=True)
+            node = np.bincount(inverse, weights=m)[inverse] >= LEAST
+            some, m = some[node], m[node]
+        levels.append((some, m))
+    return levels
+
+
+def learn(counts: DataFrame) -> Tree:
+    """The whole tree in one place, for corpora whose grams fit there; ``score`` never gathers it."""
+    return Tree(levels_of(*_arrays(counts.where("kind = 1").select("key", "n")), 0, DEPTH)).weigh()
+
+
+def _subtrees(batches, top: Tree):
+    """(grams, occurrences, their subtrees) by runs of whole contexts of TOP + 1 bytes, as the rows
+    (key, learnt, n) come sorted."""
+    held, rows, limit = [], 0, _RUN
+
+    def made(keys, learnt, n):
+        some = learnt > 0
+        return keys, n, Tree(levels_of(keys[some], learnt[some], TOP + 1, DEPTH), top)
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy().view(U), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+        rows += batch.num_rows
+        if rows >= limit:
+            keys, learnt, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            context = keys >> U(8) & U((1 << 8 * (TOP + 1)) - 1)
+            cut = int(np.argmax(context == context[-1]))  # the last context may go on
+            if cut:
+                yield made(keys[:cut], learnt[:cut], n[:cut])
+            held, rows = [(keys[cut:], learnt[cut:], n[cut:])], len(keys) - cut
+            limit = max(_RUN, 2 * rows)
+    if rows:
+        yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """(key, n, log): of every gram of all rows how often it occurs and its log10 probability."""
+    spark = counts.sparkSession
+    first = Tree(levels_of(*_arrays(counts.where("kind = 1").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))), 0, TOP))
+    size = [len(x) for x in first.nodes[TOP]]
+    shape = spark.sparkContext.broadcast(first)
+    learnt = F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0))
+    found = counts.where("kind > 0").groupBy("key").agg(learnt.alias("learnt"), F.sum("n").alias("n"))
+    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1))
+    dealt = stage(found, "grams").select("key", "learnt", "n", context.alias("context")).repartition("context").sortWithinPartitions("context").select("key", "learnt", "n")
+
+    def lifted(batches):
+        sums = [[np.zeros(m) for _ in range(3)] for m in size]
+        for _, _, tree in _subtrees(batches, shape.value):
+            for k in range(8):
+                for mine, more in zip(sums[k], tree.lift(k), strict=True):
+                    mine += more
+        for k, (below, zeros, ones) in enumerate(sums):
+            at = np.flatnonzero(zeros + ones)
+            for a in range(0, len(at), 1 << 16):
+                some = at[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some << 3 | k), *(pa.array(x[some]) for x in (below, zeros, ones))], names=["node", "below", "zeros", "ones"])
+
+    names = ["below", "zeros", "ones"]
+    t = dealt.mapInArrow(lifted, "node long, below double, zeros double, ones double").groupBy("node").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    node, children = t["node"].to_numpy(), [[np.zeros(m) for _ in range(3)] for m in size]
+    for k in range(8):
+        mine = node & 7 == k
+        for x, name in zip(children[k], names, strict=True):
+            x[node[mine] >> 3] = t[name].to_numpy()[mine]
+    top = spark.sparkContext.broadcast(first.weigh(children))
+
+    def scored(batches):
+        for keys, n, tree in _subtrees(batches, top.value):
+            logs = tree.weigh().log10(keys)
+            for a in range(0, len(keys), 1 << 16):
+                z = a + (1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:z].view(np.int64)), pa.array(n[a:z]), pa.array(logs[a:z])], names=["key", "n", "log"])
+
+    return stage(dealt.mapInArrow(scored, "key long, n long, log double"), "scores")
 
 
 def score(docs: DataFrame, learnt: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every
     row; the model learns from the rows for which ``learnt`` holds."""
     spark = docs.sparkSession
-    counts = corpus_counts(docs.where(learnt), text)
+    counts = corpus_counts(docs, text, learnt)
     words = counts.where("kind = 0")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = (F.col("n") > HEAVY * total) | (F.col("key") == END_KEY)
-    heavy = _arrays(words.where(frequent).select("key", "n"))
-    model = spark.sparkContext.broadcast((learn(counts), heavy))
+    scores = gram_scores(counts)
+    common = F.col("n") > HEAVY * (scores.agg(F.sum("n")).first()[0] or 0)
+    t = scores.where(common).select("key", "log").toArrow()
+    heavy = t["key"].to_numpy().view(U), t["log"].to_numpy()
+    model = spark.sparkContext.broadcast((heavy, _arrays(words.where(frequent).select("key", "n"))))
     divisor = float(np.log10(total + kinds + 1))
 
     def run(batches):
-        tree, (keys, n) = model.value
+        (known_grams, gram_logs), (keys, n) = model.value
+        seen = tb.HashTable(known_grams)
         table, logs = tb.HashTable(keys), np.log10(n + 1.0)
         end = float(logs[np.searchsorted(keys, U(END_KEY))]) if len(keys) and keys[-1] == U(END_KEY) else 0.0
         number = TaskContext.get().partitionId() << 40
+
+        def lists(values, owner, rows):
+            edge = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(edge), pa.array(values.view(np.int64)))
+
         for block in tb.blocks(batches, "text", 1 << 19):
             rows = block.num_rows
             buffer, at, scored, hashes, doc = canonical(*tb.utf8(block.column(2)))
-            bits = tree.sums(grams(buffer)[scored], at[scored], rows)
+            found, at = grams(buffer)[scored], at[scored]
+            place = seen.find(found)
+            hit = place >= 0
+            bits = np.bincount(at[hit], weights=gram_logs[place[hit]], minlength=rows).astype(float)
+            rare_grams = lists(found[~hit], at[~hit], rows)
             place = table.find(hashes)
             hit = place >= 0
             known = np.bincount(doc[hit], minlength=rows)
             base = np.bincount(doc[hit], weights=logs[place[hit]], minlength=rows) + end
             tokens = np.bincount(doc, minlength=rows) + 1
-            size = np.bincount(at[scored], minlength=rows)
-            rare, rare_doc = hashes[~hit], doc[~hit]
-            edge = np.searchsorted(rare_doc, np.arange(rows + 1)).astype(np.int32)
+            size = np.bincount(at, minlength=rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number + np.arange(rows)), block.column(0), block.column(1), pa.array(tokens), pa.array(known + (end > 0)), pa.array(base), pa.array(bits), pa.array(size), pa.ListArray.from_arrays(pa.array(edge), pa.array(rare.view(np.int64)))],
-                names=["row", "doc_id", "learnt", "n_tokens", "known", "base", "score", "size", "rare"],
+                [pa.array(number + np.arange(rows)), block.column(0), block.column(1), pa.array(tokens), pa.array(known + (end > 0)), pa.array(base), pa.array(bits), pa.array(size), lists(hashes[~hit], doc[~hit], rows), rare_grams],
+                names=["row", "doc_id", "learnt", "n_tokens", "known", "base", "score", "size", "rare", "rare_grams"],
             )
             number += rows
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), learnt.alias("learnt"), F.col(text).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    base = stage(slim.mapInArrow(run, f"row long, doc_id {id_type}, learnt boolean, n_tokens long, known long, base double, score double, size long, rare array<long>"), "scored")
-    pairs = base.select("row", F.explode("rare").alias("key"))
-    light = words.where(~frequent).select("key", "n")
-    more = pairs.join(light, "key").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("more_known"))
-    out = base.drop("rare").join(more, "row", "left")
+    base = stage(slim.mapInArrow(run, f"row long, doc_id {id_type}, learnt boolean, n_tokens long, known long, base double, score double, size long, rare array<long>, rare_grams array<long>"), "scored")
+    pairs = base.select("row", F.lit(0).alias("kind"), F.explode("rare").alias("key")).unionAll(base.select("row", F.lit(1).alias("kind"), F.explode("rare_grams").alias("key")))
+    light = words.where(~frequent).select(F.lit(0).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("log")).unionAll(scores.where(~common).select(F.lit(1).alias("kind"), "key", "log"))
+    word = F.col("kind") == 0
+    more = pairs.join(light, ["kind", "key"]).groupBy("row").agg(F.sum(F.when(word, F.col("log"))).alias("more"), F.count_if(word).alias("more_known"), F.sum(F.when(~word, F.col("log"))).alias("more_score"))
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    out = base.drop("rare", "rare_grams").join(more, "row", "left")
     return out.select(
         "doc_id", "learnt", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(divisor)).alias("base_score"), "score",
-        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("size")).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(divisor)).alias("base_score"), score.alias("score"),
+        (-score / F.lit(float(np.log10(2))) / F.col("size")).alias("bits_per_byte"),
     )
 
 

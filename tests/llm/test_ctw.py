@@ -103,3 +103,25 @@ def test_empty(spark, docs, no_docs):
     assert ctw.score(no_docs, F.lit(True)).count() == 0
     r = {x.doc_id: x for x in ctw.score(docs, F.lit(False)).collect()}
     assert all(x.train_tokens == x.n_known == 0 for x in r.values()) and r[360].score == pytest.approx(8 * math.log10(0.5))
+
+
+def test_contexts_seen_twice_are_nodes_at_every_size(spark):
+    common = [("lorem ipsum dolor " * 40000,) for _ in range(3)]  # two million bytes
+    rare = ["qxzjvk", "qxzjvk"]
+    df = spark.createDataFrame([*common, *[(t,) for t in rare], ("qxzjvk again",)], "text string").withColumn("doc_id", F.monotonically_increasing_id())
+    learnt = ~F.col("text").endswith("again")
+    tree = ctw.learn(ctw.corpus_counts(df.where(learnt), "text"))
+    assert int.from_bytes(b"qxzjv", "big") in tree.contexts[ctw.DEPTH].tolist()
+    for r in ctw.score(df, learnt).collect():
+        text = df.where(F.col("doc_id") == r.doc_id).first().text
+        want = tree.log10(np.array([key_of(c, b) for c, b in seen_bytes([text])], np.uint64)).sum()
+        assert r.score == pytest.approx(want, rel=1e-6)
+
+
+def test_subtrees_give_the_whole_tree_s_scores(spark, docs, monkeypatch):
+    monkeypatch.setattr(ctw, "_RUN", 50)
+    learnt = ~fold_is("doc_id", 3, 1)
+    tree = ctw.learn(ctw.corpus_counts(docs.where(learnt), "text"))
+    got = ctw.gram_scores(ctw.corpus_counts(docs, "text", learnt)).collect()
+    assert len(got) == len({r.key for r in got}) == len({key_of(c, b) for c, b in seen_bytes(r.text for r in docs.collect())})
+    assert [r.log for r in got] == pytest.approx(tree.log10(np.array([r.key for r in got], np.uint64)).tolist(), rel=1e-5, abs=1e-6)
