@@ -4,7 +4,8 @@ The vocabulary's pattern always begins a new piece before the last blank of a ru
 a text may be cut before each single space and its pieces encoded on their own. Pieces recur, so
 their ids are kept in tables of bounded size, and the library's model sees a piece once per fill.
 Texts in which a space touches another space, or that end with one, are cut by the whole pattern;
-what holds letters beyond the Latin ones goes through the library's own cutting.
+what holds letters beyond the Latin ones goes through the library's own cutting. A text that holds
+an added token's string (such as ``<|endoftext|>``, which gets that token's id) goes through it whole.
 """
 
 from __future__ import annotations
@@ -66,13 +67,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         if kind == "H" and self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need four bytes")
         if array(kind).itemsize != _TYPE[kind]:
             raise ValueError("this platform's integers have another width")
         self.kind, self.model = kind, self.library.model
         self.cut, self.names = _pattern().findall, _byte_names()
+        added = list(self.library.get_added_tokens_decoder().values())
+        loose = any(t.normalized for t in added) and self.library.normalizer is not None
+        # what an added token may match: its string, or anything where the library rewrites texts first
+        self.added = re.compile("" if loose else "|".join(re.escape(t.content) for t in added)).search if added else lambda text: None
         self.words = _Held(self._word, most)
         self.first = _Held(self._piece, most)
         self.later = _Held(self._later, most)
@@ -102,6 +106,8 @@ class Encoder:
         """The ids of a text in their byte form; a null is empty."""
         if not text:
             return b""
+        if self.added(text):
+            return self._ids(self.library.encode(text, add_special_tokens=False).ids)
         if "  " in text or text[-1] == " ":
             return self._piece(text)
         pieces = text.split(" ")

@@ -20,6 +20,20 @@ def test_pieces_give_the_library_s_ids(library):
     assert [library.encode(t) for t in texts] == library.exact(texts)
 
 
+def test_added_tokens_as_the_plain_library_has_them(spark, library):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z ", "日本<|endoftext|><|endoftext|> a", "<|endoftext| >", "no such token"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(library.encode(t), "<u2").tolist() for t in texts] == want
+    got = records.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), files=2).collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in sorted(got)] == [(len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for x in want]
+    lengths = records.lengths(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sorted(n for r in lengths.collect() for n in [r.n_tokens] * r.n_docs) == sorted(map(len, want))
+
+
 def test_round_trip_and_order(spark, docs, library):
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
     want, start = [], 0
