@@ -41,10 +41,11 @@ def tfidf_intent(spark, sf):
 
 
 def crf_tags(spark, sf):
-    t = B.turns(spark, sf)
+    """Tags of all turns, those without a token too; only the tagger's sample is of turns of 1 to 60 tokens."""
+    t = B.turns(spark, sf).withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     low = F.transform("tokens", lambda w: F.when(F.lower(w).isin("the", "der", "le"), "B-X").otherwise("O"))
-    t = t.withColumn("bio", low).where("n_tokens BETWEEN 1 AND 60")
-    model = M.train_tagger(t, ["O", "B-X", "I-X"], sample=60, steps=8)
+    t = t.withColumn("bio", low)
+    model = M.train_tagger(t.where("n_tokens BETWEEN 1 AND 60"), ["O", "B-X", "I-X"], sample=60, steps=8)
     return M.tag(t, model).select("call_id", "turn_index", F.size("predicted").alias("n"), F.size(F.filter(F.zip_with("predicted", "bio", lambda a, b: a == b), lambda x: x)).alias("right"))
 
 
