@@ -36,7 +36,7 @@ def spectral_features(spark, sf):
 
 
 def cepstra(spark, sf):
-    return A.cepstral_features(tones(spark, sf).where("signal_id < 50"), "mfcc", with_deltas=True)
+    return A.cepstral_features(tones(spark, sf), "mfcc", with_deltas=True)
 
 
 def utterance_vectors(spark, sf):

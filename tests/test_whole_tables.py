@@ -13,3 +13,9 @@ def test_all_turns_are_tagged(spark, tmp_path):
     got = catalog.QUERIES["crf_tags"](spark, str(tmp_path)).collect()
     assert len(got) == len(rows) and {(r.call_id, r.turn_index): r.n for r in got} == turns
     assert max(turns.values()) == 90 and all(0 <= r.right <= r.n for r in got)
+
+
+def test_cepstra_of_all_pages(spark, tmp_path):
+    spark.range(60).withColumnRenamed("id", "page_id").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["cepstra"](spark, str(tmp_path)).select("signal_id").distinct().collect()
+    assert sorted(r.signal_id for r in got) == list(range(60))
