@@ -24,6 +24,8 @@ from parlance.llm.shared import stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows stay with their verdict in one pass: no join."""
     model = langid.train(docs, F.lit(True))
+    if model is None:  # nothing to learn from: the letters alone decide
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs, model, names=("__lang", "__sure"))
     return found.where(F.col("__lang") != langid.UND).select(*docs.columns)
 

@@ -74,3 +74,10 @@ def test_empty_tables(spark, no_docs, tmp_path):
     no_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_unlabelled_documents_with_a_letter_stay(spark, tmp_path):
+    rows = [(1, "plain words"), (2, "12 !?"), (3, None), (4, "日本"), (5, "")]
+    df = spark.createDataFrame([(i, t, None, "a", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language(spark, df, str(tmp_path))
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 4]
