@@ -2,14 +2,15 @@
 predecessor kept.
 
 1. language: documents without a letter of any script (and null texts) go; all others stay.
-2. near_duplicates: of each group of SimHash near copies the least doc_id stays.
+2. near_duplicates: of each group of SimHash near copies one row stays, that of the least doc_id (a
+   null id only where no row of the group has one; of rows that share the least id, one).
 3. decontaminate: documents with an occurring benchmark window go.
 4. mix: sources are mixed to their target weights; a document that the mix holds twice is two rows.
 5. records: what is left is encoded, written as binary records in ascending doc_id order and read
    back; the result has a row for each record.
 
-Rows that share a doc_id share its fate in stages 1 to 4; a null doc_id in stage 2 is its own group's
-only if no other row of the group has an id. All stages but the last return the columns of documents.
+Rows that share a doc_id share its fate in stages 3 and 4. All stages but the last return the columns
+of documents.
 """
 
 from __future__ import annotations
@@ -32,10 +33,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The one stage whose verdict needs other rows than the document's own. Verdicts grow with the
-    documents, so they are never broadcast: both sides are dealt by id, alike at every size."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    documents, so they are never broadcast: both sides are dealt by a staged row key, alike at every size."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = simhash.near_duplicates(rows, doc_id="__row").withColumnRenamed("doc_id", "__row")
+    named = rows.select("__row", F.col("doc_id").alias("id")).join(found, "__row")
+    first = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "fp", "__row"))
+    kept = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

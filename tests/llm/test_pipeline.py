@@ -76,6 +76,14 @@ def test_empty_tables(spark, no_docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_one_row_of_each_group_of_copies(spark, tmp_path):
+    one, two, three = ("the first text of many words here", "an entirely other passage about something else", "and finally a third that nobody has seen before")
+    rows = [(None, one), (None, one), (5, two), (3, two), (3, two), (None, two), (7, three), (7, one + " " + two), (7, three)]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", one), ("3", two), ("7", three), ("7", one + " " + two)])
+
+
 def test_unlabelled_documents_with_a_letter_stay(spark, tmp_path):
     rows = [(1, "plain words"), (2, "12 !?"), (3, None), (4, "日本"), (5, "")]
     df = spark.createDataFrame([(i, t, None, "a", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
