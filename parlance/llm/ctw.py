@@ -54,7 +54,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(offsets) - 1
     low = tb.LOWER[data]
     starts, ends, doc = tb.words(data, offsets, tb.SPACED)
-    hashes = tb.run_hashes(low, starts, ends) >> U(1)
+    hashes = tb.xxh64(low, starts, ends) >> U(1)
     count = np.bincount(doc, minlength=n)
     length = ends - starts
     size = np.bincount(doc, weights=length + 1, minlength=n).astype(np.int64)

@@ -11,7 +11,7 @@ The variates come from tables of quantiles, so they do not depend on a processor
 is kept as 16 bits; unequal draws agree by chance once in 65,536.
 
 Defined cases: null, empty and blank texts have no terms and share one fingerprint, which is unlike
-all others; rows of equal ids follow each other by text; the document after the last is the first,
+all others; rows of equal ids follow each other by a hash of their text; the document after the last is the first,
 so a single document is followed by itself.
 """
 
@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .records import ranges_for
-from .shared import stage
+from .shared import dealt_by_id, stage
 
 U = np.uint64
 SAMPLES = 64
 _LONG, _PIECE = 32, 16
 _BLOCK = 1 << 20
+RANGE_BYTES = 24 << 20
 
 
 @lru_cache(1)
@@ -55,7 +55,7 @@ def _logs() -> np.ndarray:
 
 
 def weighted_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term of 48 bits, count) of a block of fewer than 65,536 documents."""
+    """(document, term of 48 bits, count) of a block of up to 65,536 documents, as ``tb.blocks`` cuts them."""
     starts, ends, doc = tb.words(data, offsets, tb.SPACED)
     n = np.where(ends - starts > _LONG, -(-(ends - starts) // _PIECE), 1)
     if (n > 1).any():
@@ -65,7 +65,7 @@ def weighted_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         a = np.where(cut, starts[of] + within * _PIECE, starts[of])
         ends = np.where(cut, np.minimum(a + _PIECE, ends[of]), ends[of])
         starts, doc = a, doc[of]
-    term = tb.run_hashes(data, starts, ends) >> U(16)
+    term = tb.xxh64(data, starts, ends) >> U(16)
     key, count = tb.counted(doc.astype(U) << U(48) | term)
     return (key >> U(48)).astype(np.int64), key & U((1 << 48) - 1), count
 
@@ -76,8 +76,9 @@ def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) ->
     out = np.zeros((len(offsets) - 1, samples), np.uint16)
     if not len(doc):
         return out
-    # draws depend on (term, count) alone, so each such pair is drawn once in a block
-    pair, where = np.unique(tb.mix(term + (count.astype(U) << U(48))), return_inverse=True)
+    # draws depend on (term, count) alone, so each such pair, named by its term's rank, is drawn once in a block
+    _, rank = np.unique(term, return_inverse=True)
+    pair, where = np.unique(rank * (int(count.max()) + 1) + count, return_inverse=True)
     first = np.zeros(len(pair), np.int64)
     first[where] = np.arange(len(where))
     own, weight = term[first], count[first]
@@ -159,8 +160,7 @@ def likeness_by_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             none = [pa.array([None] * 2, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends], pa.int32()), pa.array([number] * 2, pa.int32()), pa.array([e[2] for e in ends], pa.string()), pa.array([e[1] for e in ends], pa.int64()), *none], names=["kind", "part", "text", *_SHOWN])
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = slim.repartitionByRange(ranges or ranges_for(docs), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    dealt = dealt_by_id(docs, doc_id, text, RANGE_BYTES, ranges).withColumn("part", F.spark_partition_id())
     found = stage(dealt.mapInArrow(within, f"kind int, part int, text string, {_SHOWN_TYPES}"), "prints")
 
     heads, tails = found.where("kind = 1"), found.where("kind = 2")

@@ -14,14 +14,13 @@ reader takes records in any order. Files are written and read by Spark's own wri
 (each record is one "line" of the text writer, whose separator ends it), so any store that Spark
 reaches will do and a lost executor's files are written anew by the committer.
 
-One shuffle deals the texts to ranges of ids; the number of ranges follows the input's size, so a
-file holds about ``file_bytes``. Defined cases: a null text is empty; every document ends with
-``end_id``; null ids sort first; rows that share an id follow each other by text.
+One shuffle deals the texts to ranges of ids; the number of ranges follows the texts' bytes, which
+are counted first. Defined cases: a null text is empty; every document ends with ``end_id``; null ids
+sort first; rows that share an id follow each other by a hash of their text.
 """
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 
@@ -31,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import fresh_path, stage
+from .shared import dealt_by_id, fresh_path, stage
 from .tokenize import HELD, encoder, tokenizer_path
 
 END = 2
-FILE_BYTES = 16 << 20
+#: Text bytes in a file.
+FILE_BYTES = 24 << 20
 _DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _OWN = struct.Struct("<qB")
@@ -70,18 +70,11 @@ def parse(data) -> list[tuple[int, int, int | None, memoryview]]:
     return out
 
 
-def ranges_for(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
-    """How many files: by the optimizer's figure of the input's size, so nothing is read for it."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(1 << 20, math.ceil(size / file_bytes)))
-
-
 def write_records(docs: DataFrame, path: str, *, tokenizer: str | None = None, kind: str = "H", end_id: int = END, doc_id: str = "doc_id", text: str = "text", files: int | None = None, held: int = HELD) -> None:
     """Encode whole texts and write the record files to ``path``/records and the index to
     ``path``/index."""
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path()
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     end = np.array([end_id], "<u2" if kind == "H" else "<u4").tobytes()
 
     def encode(batches):
@@ -90,8 +83,7 @@ def write_records(docs: DataFrame, path: str, *, tokenizer: str | None = None, k
             rows = zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([frame(i, e.encode(t) + end) for i, t in rows], pa.binary())], names=["record"])
 
-    dealt = slim.repartitionByRange(files or ranges_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
+    dealt_by_id(docs, doc_id, text, FILE_BYTES, files).mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
     _index(spark, f"{path}/records", kind).write.parquet(f"{path}/index")
 
 

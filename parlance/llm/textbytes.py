@@ -9,14 +9,12 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 
 #: Classes of bytes. SPACED: all but \x20 and \x09-\x0D, so words are runs between blanks.
@@ -55,8 +53,9 @@ def release() -> None:
         pass
 
 
-def blocks(batches, column: str | int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold ``limit`` bytes of ``column`` (a name, or a place) at most, or one row."""
+def blocks(batches, column: str | int, limit: int = 1 << 18, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold ``limit`` bytes of ``column`` (a name, or a place) and ``rows``
+    rows at most, or one row."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -65,7 +64,7 @@ def blocks(batches, column: str | int, limit: int = 1 << 18) -> Iterator[pa.Reco
         ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
         at, before = 0, 0
         while at < n:
-            upto = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            upto = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + limit, "right"))))
             yield batch.slice(at, upto - at)
             at, before = upto, int(ends[upto - 1])
     batch = lengths = ends = None
@@ -100,41 +99,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U) * U(_BASE))
-
-
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, U)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=U)
-    return _powers[0], _powers[1]
-
-
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, by differences of one running polynomial sum."""
-    if not len(starts):
-        return np.zeros(0, U)
-    up, down = _power(len(data) + 1)
-    total = np.empty(len(data) + 1, U)
-    total[0] = 0
-    np.cumsum(_letters()[data] * up[: len(data)], dtype=U, out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-
-
-def per_group(values: np.ndarray, group: np.ndarray, n: int, dtype=np.int64) -> np.ndarray:
-    return np.bincount(group, weights=values, minlength=n).astype(dtype)
-
-
 class HashTable:
     """64-bit keys (sorted or not, distinct) to positions, by open addressing in numpy.
 

@@ -45,10 +45,10 @@ def token_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     low = tb.LOWER[data]
     out = np.empty((len(starts), _WIDTH), np.uint32)
     shift = U(64 - 18)
-    out[:, 0] = tb.run_hashes(low, starts, ends) >> shift
+    out[:, 0] = tb.xxh64(low, starts, ends) >> shift
     for k, n in enumerate(_STARTS, 1):
         cut = np.minimum(starts + n, ends)
-        h = tb.mix(tb.run_hashes(low, starts, cut) + U(n)) >> shift
+        h = tb.mix(tb.xxh64(low, starts, cut) + U(n)) >> shift
         out[:, k] = np.where(ends - starts >= n, h, out[:, 0])
     return out, doc, starts, ends
 
