@@ -33,6 +33,53 @@ def test_marginals_against_all_paths():
     assert np.allclose(pairs, want_pairs)
 
 
+def test_a_long_document_is_one_chain(monkeypatch):
+    """Pieces of any length give the marginals, pairs and log Z of the whole chain."""
+    rng = np.random.default_rng(8)
+    tokens = np.array([23, 0, 4, 1, 9, 17])
+    doc = np.repeat(np.arange(len(tokens)), tokens)
+    emit, moves, start = rng.normal(0, 3, len(doc)), rng.normal(0, 1.5, 3), -0.7
+    seen = []
+    for size in (64, 4, 1, 3):
+        monkeypatch.setattr(toxicity, "PIECE", size)
+        piece, place, follows = toxicity.pieces(doc, len(tokens))
+        length = np.bincount(piece, minlength=len(follows))
+        marginal, pairs, log_z = toxicity.forward_backward(toxicity._padded(emit, piece, place, len(follows)), length, moves, start, follows)
+        seen.append((marginal[piece, place], pairs, log_z.sum()))
+        assert (follows.any()) == (size < 23)
+    for other in seen[1:]:
+        for x, y in zip(seen[0], other, strict=True):
+            assert np.allclose(x, y, rtol=1e-9)
+
+
+def test_training_slope_against_all_labellings(monkeypatch):
+    """The value is the gold path's share of all paths, and the slope its difference quotient."""
+    monkeypatch.setattr(toxicity, "PIECE", 2)
+    rng = np.random.default_rng(3)
+    tokens = [5, 1, 4]
+    doc = np.repeat(np.arange(3), tokens)
+    local = rng.integers(0, 6, (len(doc), 5))
+    local[0, 0] = 5
+    toxic = rng.random(len(doc)) < 0.4
+    likelihood = toxicity.Likelihood(local, doc, 3, toxic, 0.1)
+    params = rng.normal(0, 0.5, 10)
+
+    def value(p):
+        total = -0.1 * 3 / 2 * (p[:-4] ** 2).sum()
+        for d, n in enumerate(tokens):
+            emit, gold = p[local[doc == d]].sum(axis=1), tuple(int(x) for x in toxic[doc == d])
+            paths = itertools.product((0, 1), repeat=n)
+            total += math.log(weigh(emit, p[-4:-1], p[-1], gold) / sum(weigh(emit, p[-4:-1], p[-1], y) for y in paths))
+        return total
+
+    got, slope = likelihood.at(params)
+    assert math.isclose(got, value(params), rel_tol=1e-9)
+    for k in range(len(params)):
+        step = np.zeros(len(params))
+        step[k] = 1e-5
+        assert math.isclose(slope[k], (value(params + step) - value(params - step)) / 2e-5, rel_tol=1e-5, abs_tol=1e-7)
+
+
 def made(n, seed=1):
     rng = random.Random(seed)
     plain = ["".join(rng.choices("abdeilmnorstu", k=rng.randint(2, 9))) for _ in range(400)]
@@ -64,6 +111,14 @@ def test_held_out_accuracy_and_spans(spark):
     assert sum("grumble" in w or "sneerzo" in w for w in found) > 0.9 * len(found) > 100
 
 
+def test_one_row_of_an_id_teaches(spark):
+    rows, labels = made(300)
+    docs = spark.createDataFrame([*rows, *[(labels[0][0], f"row {k} of one id") for k in range(500)]], "doc_id long, text string")
+    field = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    again = toxicity.fit(docs.repartition(7), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert field.weights.any() and (field.weights == again.weights).all()
+
+
 def test_nothing_to_learn_from(spark, docs, no_docs):
     none = spark.createDataFrame([(3, None), (6, 1)], "doc_id long, toxic int")
     assert toxicity.fit(docs, none) is None
