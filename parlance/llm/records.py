@@ -36,6 +36,7 @@ from .tokenize import HELD, encoder, tokenizer_path
 END = 2
 #: Text bytes in a file.
 FILE_BYTES = 24 << 20
+_READ = 1 << 20
 _DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _OWN = struct.Struct("<qB")
@@ -122,7 +123,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_shuffled(spark: SparkSession, path: str, seed: int, kind: str = "H") -> DataFrame:
     """(place, doc_id, ids) of all records, taken by the index's offsets; ``place`` orders them anew
-    for each seed."""
+    for each seed. Payloads move once, as they lie in the files, and become arrays where they end."""
     where = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", "n_bytes"))).alias("at"))
     kind = "<u2" if kind == "H" else "<u4"
 
@@ -130,13 +131,27 @@ def read_shuffled(spark: SparkSession, path: str, seed: int, kind: str = "H") ->
         for batch in batches:
             for k in range(batch.num_rows):
                 file, view = batch.column(0)[k].as_py(), memoryview(batch.column(1)[k].as_buffer())
-                for at in batch.column(2)[k].as_py():
-                    [(_, _, doc_id, ids)] = parse(view[at["offset"] : at["offset"] + at["n_bytes"]])
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at["offset"]]), pa.array([doc_id], pa.int64()), pa.array([np.frombuffer(ids, kind).astype(np.int32)])], names=["file", "offset", "doc_id", "ids"])
-
-    rows = _files(spark, f"{path}/records").join(where, "file").mapInArrow(take, "file string, offset long, doc_id long, ids array<int>")
-    place = F.xxhash64("file", "offset", F.lit(seed))
-    return rows.select(place.alias("place"), "doc_id", "ids").orderBy("place")
+                places = batch.column(2)[k].values
+                offsets, sizes = places.field("offset").to_numpy(), places.field("n_bytes").to_numpy()
+                ends = np.cumsum(sizes)
+                at = 0
+                while at < len(offsets):
+                    upto = max(at + 1, int(np.searchsorted(ends, ends[at] + _READ, "left")))
+                    found = [parse(view[o : o + n])[0] for o, n in zip(offsets[at:upto].tolist(), sizes[at:upto].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([file] * (upto - at), pa.string()), pa.array(offsets[at:upto]), pa.array([x[2] for x in found], pa.int64()), pa.array([bytes(x[3]) for x in found], pa.binary())], names=["file", "offset", "doc_id", "ids"]
+                    )
+                    at = upto
+
+    def unpack(batches):
+        for block in tb.blocks(batches, "ids", _READ):
+            data, offsets = tb.utf8(block.column(2))
+            ids = pa.array(data.view(kind).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.ListArray.from_arrays(pa.array((offsets // np.dtype(kind).itemsize).astype(np.int32)), ids)], names=["place", "doc_id", "ids"])
+
+    rows = _files(spark, f"{path}/records").join(where, "file").mapInArrow(take, "file string, offset long, doc_id long, ids binary")
+    placed = rows.select(F.xxhash64("file", "offset", F.lit(seed)).alias("place"), "doc_id", "ids").orderBy("place")
+    return placed.mapInArrow(unpack, "place long, doc_id long, ids array<int>")
 
 
 def encoded(docs: DataFrame, **how) -> DataFrame:
@@ -148,20 +163,17 @@ def encoded(docs: DataFrame, **how) -> DataFrame:
     return read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def lengths(docs: DataFrame, *, tokenizer: str | None = None, end_tokens: int = 0, text: str = "text") -> DataFrame:
+def lengths(docs: DataFrame, *, tokenizer: str | None = None, kind: str = "H", end_tokens: int = 0, text: str = "text") -> DataFrame:
     """(n_tokens, n_docs): how many documents have each encoded length. Counted by task first."""
-    tokenizer = tokenizer or tokenizer_path()
+    tokenizer, width = tokenizer or tokenizer_path(), 2 if kind == "H" else 4
 
     def count(batches):
-        e, seen = encoder(tokenizer), np.zeros(0, np.int64)
+        e, seen = encoder(tokenizer, kind), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for block in tb.blocks(batches, "text", 1 << 20):
-            n = np.array([len(e.encode(t)) // 2 + end_tokens for t in block.column(0).to_pylist()], np.int64)
-            more = np.bincount(n)
-            if len(more) > len(seen):
-                seen, more = more, seen
-            seen[: len(more)] += more
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["n_tokens", "n_docs"])
+            n = np.array([len(e.encode(t)) // width + end_tokens for t in block.column(0).to_pylist()], np.int64)
+            more = tb.counted(n)
+            seen = tb.counted(*(np.concatenate(x) for x in zip(seen, more, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in seen], names=["n_tokens", "n_docs"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long, n_docs long")
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))

@@ -5,11 +5,13 @@ a text may be cut before each single space and its pieces encoded on their own.
 their ids are kept in tables of bounded size, and the library's model sees a piece once per fill.
 Texts in which a space touches another space, or that end with one, are cut by the whole pattern;
 what holds letters beyond the Latin ones goes through the library's own cutting. A text that holds
-an added token's string (such as ``<|endoftext|>``, which gets that token's id) goes through it whole.
+an added token's string (such as ``<|endoftext|>``, which gets that token's id) goes through it whole,
+and so does every text where the tokenizer's file asks for another cutting than this.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -45,6 +47,14 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _plain(file: dict) -> bool:
+    """Whether a tokenizer's file is a byte-level vocabulary with the usual pattern and no more."""
+    cut, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    odd = model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback")
+    return bool(usual and not file.get("normalizer") and not file.get("truncation") and model.get("type") == "BPE" and not odd)
+
+
 class _Held(dict):
     """What ``make`` gives for a key, kept until there are more than ``most`` keys."""
 
@@ -71,7 +81,7 @@ class Encoder:
             raise ValueError("ids of this vocabulary need four bytes")
         if array(kind).itemsize != _TYPE[kind]:
             raise ValueError("this platform's integers have another width")
-        self.kind, self.model = kind, self.library.model
+        self.kind, self.model, self.plain = kind, self.library.model, _plain(json.loads(self.library.to_str()))
         self.cut, self.names = _pattern().findall, _byte_names()
         added = list(self.library.get_added_tokens_decoder().values())
         loose = any(t.normalized for t in added) and self.library.normalizer is not None
@@ -106,7 +116,7 @@ class Encoder:
         """The ids of a text in their byte form; a null is empty."""
         if not text:
             return b""
-        if self.added(text):
+        if not self.plain or self.added(text):
             return self._ids(self.library.encode(text, add_special_tokens=False).ids)
         if "  " in text or text[-1] == " ":
             return self._piece(text)

@@ -34,6 +34,21 @@ def test_added_tokens_as_the_plain_library_has_them(spark, library):
     assert sorted(n for r in lengths.collect() for n in [r.n_tokens] * r.n_docs) == sorted(map(len, want))
 
 
+def test_another_vocabulary(spark):
+    """A file that asks for another cutting is left to the library."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["Hello  World, it's 42", "a<|endoftext|>b", "Ünïcode 日本", "", "x" * 50]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for kind in "HI":
+        got = sorted(records.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer=path, kind=kind, files=2).collect())
+        assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for x in want]
+        found = records.lengths(spark.createDataFrame([(t,) for t in texts], "text string"), tokenizer=path, kind=kind)
+        assert sorted(n for r in found.collect() for n in [r.n_tokens] * r.n_docs) == sorted(map(len, want))
+
+
 def test_round_trip_and_order(spark, docs, library):
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
     want, start = [], 0
