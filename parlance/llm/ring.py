@@ -7,14 +7,17 @@ behind the keys that already wait, to the next point whose shard has room. Walki
 the number of keys on each arc only (shards * vnodes numbers, whatever the data's size); the walk
 gives for each arc which ranks of its keys go to which shard, from which slot on. Ranks come in two
 steps: slices of the ring that hold a few thousand keys each are numbered on their own, and
-slices' counts are summed along their arc. So no task holds a shard, and the rows move once.
+slices' counts are summed along their arc. A slice that one key has filled far beyond that is cut
+further, by place, key and the task that read the row, so a key shared by a third of all rows is many
+tasks' work. So no task holds a shard, and the rows move once.
 
 With ``load`` 1 the bounds are the equal shares, at most one apart, and add up to all rows, so the
 counts of shards are at most one apart whatever the keys. Adding a shard moves the rows it takes and
 the overflow that its room sets free.
 
 Defined cases: a null text has size 1; a null id is placed by its text's checksum; rows that share an
-id lie next to each other, in the order of checksum and size; an empty table gives no rows.
+id lie next to each other, in the order of checksum and size (of a hot key, by task first); an empty
+table gives no rows; a ``load`` below 1 leaves no room for all rows and is refused.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ SHARDS = 8
 VNODES = 128
 _BUCKET = 20
 _SLICE_ROWS = 4096
+#: A slice of more rows than this is cut further.
+_HOT_ROWS = 1 << 15
 
 
 def place(text: Column) -> Column:
@@ -83,18 +88,25 @@ def _inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(parsed))
 
 
-def shard(rows: DataFrame, *, key: str, tie: list[str], shards: int = SHARDS, vnodes: int = VNODES, load: float = 1.0) -> DataFrame:
+def shard(rows: DataFrame, *, key: str, tie: list[str], shards: int = SHARDS, vnodes: int = VNODES, load: float = 1.0, hot_rows: int = _HOT_ROWS) -> DataFrame:
     """Adds ``shard`` and ``slot`` (gapless from 0 within the shard) to slim rows with a text ``key``;
     rows of one key are ordered by the ``tie`` columns."""
+    if load < 1:
+        raise ValueError("a load below 1 leaves no room for all rows")
     spark = rows.sparkSession
     arcs = points(spark, shards, vnodes)
     cut = arcs.select("arc", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", _BUCKET), F.shiftright("hi", _BUCKET))).alias("bucket"))
     at = rows.withColumn("at", place(F.col(key))).withColumn("bucket", F.shiftright("at", _BUCKET))
-    found = stage(at.join(cut, (at["bucket"] == cut["bucket"]) & F.col("at").between(F.col("lo"), F.col("hi"))).drop("bucket", "lo", "hi"), "ring")
+    found = stage(at.join(cut, (at["bucket"] == cut["bucket"]) & F.col("at").between(F.col("lo"), F.col("hi"))).drop("bucket", "lo", "hi").withColumn("task", F.spark_partition_id()), "ring")
     n = found.count()
     shift = 32 - max(0, min(28, math.ceil(math.log2(max(1, n / _SLICE_ROWS)))))
     found = found.withColumn("slice", F.shiftright("at", shift))
-    slices = stage(found.groupBy("arc", "slice").count(), "slices")
+    hot = stage(found.groupBy("arc", "slice").count().where(F.col("count") > hot_rows).select("arc", "slice", F.lit(True).alias("hot")), "hot")
+    found = found.join(hot, ["arc", "slice"], "left")
+    finer = {"cut_at": ("at", -1), "cut_key": (key, ""), "cut_task": ("task", -1)}
+    found = found.withColumns({c: F.when(F.col("hot"), F.col(x)).otherwise(F.lit(y)) for c, (x, y) in finer.items()})
+    cuts = ["arc", "slice", *finer]
+    slices = stage(found.groupBy(*cuts).count(), "slices")
     per_arc = {r["arc"]: r["n"] for r in slices.groupBy("arc").agg(F.sum("count").alias("n")).collect()}
     owner = [r["shard"] for r in arcs.select("arc", "shard").distinct().orderBy("arc").collect()]
     if load == 1.0:
@@ -102,10 +114,10 @@ def shard(rows: DataFrame, *, key: str, tie: list[str], shards: int = SHARDS, vn
     else:
         bounds = [math.ceil(load * n / shards)] * shards
     taken = _inline(spark, walk(owner, [per_arc.get(a, 0) for a in range(len(owner))], bounds), "arc: int, first: bigint, last: bigint, shard: int, slot: bigint")
-    along = Window.partitionBy("arc").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select("arc", "slice", F.coalesce(F.sum("count").over(along), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("arc", "slice").orderBy("at", key, *tie)
-    ranked = found.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["arc", "slice"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    along = Window.partitionBy("arc").orderBy(*cuts[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select(*cuts, F.coalesce(F.sum("count").over(along), F.lit(0)).alias("offset"))
+    within = Window.partitionBy(*cuts).orderBy("at", key, *tie)
+    ranked = found.withColumn("rank", F.row_number().over(within) - 1).join(offsets, cuts).withColumn("rank", F.col("rank") + F.col("offset"))
     t = taken.withColumnRenamed("arc", "of").withColumnRenamed("slot", "slot0")
     placed = ranked.join(t, (F.col("arc") == F.col("of")) & F.col("rank").between(F.col("first"), F.col("last")))
     return placed.withColumn("slot", F.col("slot0") + F.col("rank") - F.col("first")).select(*rows.columns, "shard", "slot")

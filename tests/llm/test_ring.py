@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.llm import ring
@@ -55,5 +56,18 @@ def test_query_laws(spark, docs, no_docs, tmp_path):
 def test_hot_key_and_slack(spark):
     df = spark.range(900).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"), "id")
     for load, most in ((1.0, 225), (1.25, 282)):
-        got = ring.shard(df, key="key", tie=["id"], shards=4, vnodes=8, load=load).groupBy("shard").count().collect()
-        assert sum(r["count"] for r in got) == 900 and max(r["count"] for r in got) <= most
+        for hot_rows in (1 << 15, 60):
+            got = ring.shard(df.repartition(4), key="key", tie=["id"], shards=4, vnodes=8, load=load, hot_rows=hot_rows).collect()
+            slots = defaultdict(list)
+            for r in got:
+                slots[r.shard].append(r.slot)
+            assert len({r.id for r in got}) == len(got) == 900 and max(map(len, slots.values())) <= most
+            assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    with pytest.raises(ValueError):
+        ring.shard(df, key="key", tie=["id"], load=0.9)
+
+
+def test_cut_slices_keep_the_order_of_places(spark):
+    df = spark.range(1, 1502).select(F.col("id").cast("string").alias("key")).repartition(5)
+    got = {r.key: (r.shard, r.slot) for r in ring.shard(df, key="key", tie=[], shards=3, vnodes=4, hot_rows=10).collect()}
+    assert got == brute([str(i) for i in range(1, 1502)], 3, 4, [501, 500, 500])
