@@ -8,8 +8,9 @@ matrix, stands for the text; one-versus-rest kernel ridge regression is ridge re
 block of texts is scored by two matrix products, bits by landmarks and kernels by weights.
 
 Fitted on a bounded sample: about ``fit_per_language`` labelled rows of each language, chosen by a
-hash of their id against the language's row count, so nothing is sorted and no language can crowd
-out another. Only packed bits (about 3 kB a row) reach the driver.
+hash of id and text against the language's row count, so nothing is sorted, no language can crowd out
+another and an id that many rows share can't either; rows of equal n-grams teach once. Only packed
+bits (about 3 kB a row) reach the driver. What is fitted grows with the number of languages alone.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if no
 row was labelled; a null lang teaches nothing; of equal scores the first language by code point wins.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import fold_is, unit_hash
+from .shared import fold_is, stage, unit_hash
 
 UND = "und"
 LANDMARKS = 96
@@ -117,16 +118,14 @@ def _packed(batches):
 
 def train(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_per_language: int = FIT_PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """A model of the labelled rows that ``usable`` admits; None if there are none."""
-    known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("l")).count().collect()  # a row for each language
-    if not counts:
+    known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("label"), F.col(text).alias("text"), unit_hash(11, doc_id, text).alias("at"))
+    counts = stage(known.groupBy("label").agg(F.count("*").alias("n"), F.min("at").alias("least")), "languages")  # a row for each language
+    if counts.isEmpty():
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(fit_per_language / r["count"]))])
-    at = unit_hash(doc_id, 11)
-    sample = known.where(at < F.element_at(share, F.col(lang))).select(F.col(lang).alias("label"), F.col(text).alias("text"), at.alias("at"))
-    rows = sample.mapInArrow(_packed, "label string, bits binary, at double").toArrow()
-    if not rows.num_rows:  # a few rows whose hashes all lie high
-        rows = known.orderBy(at).limit(fit_per_language).select(F.col(lang).alias("label"), F.col(text).alias("text"), at.alias("at")).mapInArrow(_packed, "label string, bits binary, at double").toArrow()
+    # of a language of few rows at least the one of the least hash teaches
+    sample = known.join(counts, "label").where((F.col("at") < F.lit(float(fit_per_language)) / F.col("n")) | (F.col("at") == F.col("least")))
+    found = sample.select("label", "text", "at").mapInArrow(_packed, "label string, bits binary, at double")
+    rows = found.groupBy("label", "bits").agg(F.min("at").alias("at")).select("label", "bits", "at").toArrow()
     rows = rows.take(pc.sort_indices(rows, [("at", "ascending"), ("bits", "ascending")]))
     bits = np.unpackbits(np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(rows.num_rows, -1), axis=1)
     return fit(bits[:, :WIDTH], rows["label"].to_pylist(), landmarks)

@@ -100,7 +100,7 @@ def fold_is(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc_of_id(column) % modulus == remainder, F.lit(False))
 
 
-def unit_hash(column: str, seed: int) -> Column:
-    """A number in [0, 1) that only the id and the seed decide (null ids: 0)."""
-    h = F.xxhash64(F.col(column), F.lit(seed))
+def unit_hash(seed: int, *columns: str) -> Column:
+    """A number in [0, 1) that only these columns and the seed decide (nulls count for nothing)."""
+    h = F.xxhash64(*columns, F.lit(seed))
     return F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40))

@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    at = unit_hash("__id", 23)
+    at = unit_hash(23, "__id")
     # staged, so that Catalyst knows how small it is and never shuffles the texts for it
     sample = stage(known.where(at < F.when(F.col("__y") == 1, F.lit(fit_rows / counts[1])).otherwise(F.lit(fit_rows / counts[0]))), "sample")
 
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(copy, pa.int64()), block.column(2), pa.array(rows, pa.binary())], names=["y", "copy", "at", "tokens"])
 
     short = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= fit_bytes)
-    joined = short.join(sample, F.col(doc_id) == F.col("__id")).select(F.col("__y").alias("y"), F.col(text).alias("text"), unit_hash("__id", 23).alias("at"))
+    joined = short.join(sample, F.col(doc_id) == F.col("__id")).select(F.col("__y").alias("y"), F.col(text).alias("text"), unit_hash(23, "__id").alias("at"))
     found = joined.mapInArrow(tokens, "y int, copy long, at double, tokens binary")
     # an id has one hash: of its rows, however many, the least comes, chosen by task before the shuffle
     one = found.groupBy("y", "at").agg(F.min(F.struct("copy", "tokens")).alias("x")).select("y", "at", "x.copy", "x.tokens")

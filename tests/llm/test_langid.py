@@ -34,6 +34,53 @@ def test_presence_is_the_set_of_ngrams():
         assert set(np.flatnonzero(bits)) == want
 
 
+def brute_kernel(a, b):
+    """Shared n-grams over the geometric mean of both numbers, pair by pair."""
+    sets = [[set(np.flatnonzero(x)) for x in rows] for rows in (a, b)]
+    return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in sets[1]] for x in sets[0]])
+
+
+def test_against_kernel_ridge_regression_by_its_definition():
+    """With all rows as landmarks the Nyström map loses nothing: the scores are those of the dual
+    solution on the whole kernel matrix, one language against the rest, languages weighing alike."""
+    data = rows(60, seed=9)
+    bits = langid.presence(*tb.utf8(pa.array([t for _, t, _ in data])))
+    learn, new, labels = bits[:40], bits[40:], [x for _, _, x in data[:40]]
+    model = langid.fit(learn, labels, landmarks=40, ridge=0.05)
+    kernel, languages = brute_kernel(learn, learn), sorted(set(labels))
+    weight = np.diag([40 / (len(languages) * labels.count(x)) for x in labels])
+    goal = np.array([[1.0 if x == y else -1.0 for y in languages] for x in labels])
+    dual = np.linalg.solve(weight @ kernel + 0.05 * 40 / len(languages) * np.eye(40), weight @ goal)
+    assert np.allclose(model.scores(new), brute_kernel(new, learn) @ dual, atol=2e-3)
+
+
+def test_nystroem_is_the_projection_on_its_landmarks():
+    """With few landmarks the map's inner products are K(x, m) K(m, m)^-1 K(m, y)."""
+    data = rows(50, seed=2)
+    bits = langid.presence(*tb.utf8(pa.array([t for _, t, _ in data])))
+    labels = [x for _, _, x in data]
+    model = langid.fit(bits, labels, landmarks=9, ridge=0.05)
+    turn, chosen = {}, []
+    for k, x in enumerate(labels):  # the languages take turns
+        turn[x] = turn.get(x, -1) + 1
+        chosen.append((turn[x], x, k))
+    marks = bits[[k for _, _, k in sorted(chosen)[:9]]]
+    to_marks = brute_kernel(bits, marks)
+    kernel = to_marks @ np.linalg.pinv(brute_kernel(marks, marks), rcond=1e-6) @ to_marks.T
+    languages = sorted(set(labels))
+    weight = np.diag([50 / (len(languages) * labels.count(x)) for x in labels])
+    goal = np.array([[1.0 if x == y else -1.0 for y in languages] for x in labels])
+    dual = np.linalg.solve(weight @ kernel + 0.05 * 50 / len(languages) * np.eye(50), weight @ goal)
+    assert np.allclose(model.scores(bits), kernel @ dual, atol=2e-3)
+
+
+def test_an_id_that_many_rows_share_crowds_nothing_out(spark):
+    data = rows(200) + [(3, "der ung keit", "bb")] * 400 + [(4, f"ing of tion {k}", "aa") for k in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    a, b = (langid.train(x, F.lit(True), fit_per_language=60) for x in (df, df.repartition(6)))
+    assert a.languages == ["aa", "bb", "cc"] and np.allclose(a.weights, b.weights)
+
+
 def test_held_out_accuracy_and_undetermined(spark):
     data = rows(900) + [(1000, None, "aa"), (1001, " 12 !?", "bb"), (1002, "", None)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("source", F.lit("x"))
