@@ -31,13 +31,23 @@ def largest_remainder(weights: DataFrame, total: int, key: str = "name", weight:
 
 
 def assign_splits(speakers: DataFrame, parts: DataFrame, place: Column, speaker: str = "speaker_id") -> DataFrame:
-    """(speaker, split): speakers in the order of ``place`` dealt to splits of (name, n), in name order of
-    the parts' ``pos``. A speaker belongs to one split."""
-    order = Window.orderBy(place, speaker)
-    ranked = speakers.select(speaker, (F.row_number().over(order) - 1).alias("__k"))
-    ends = parts.withColumn("__end", F.sum("n").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    bounds = ends.select(F.col("name").alias("split"), (F.col("__end") - F.col("n")).alias("__a"), F.col("__end").alias("__z"))
-    return ranked.join(F.broadcast(bounds), (F.col("__k") >= F.col("__a")) & (F.col("__k") < F.col("__z"))).select(speaker, "split")  # a few splits
+    """(speaker, split): speakers in the order of ``place``, a text such as a digest, dealt to splits of
+    (name, n), in the order of the parts' ``pos``. A speaker belongs to one split.
+
+    Ranks come in two steps: speakers are numbered within stretches of equal first characters, and the
+    stretches' counts are added up, so no task holds all speakers.
+    """
+    placed = speakers.select(speaker, place.alias("__place")).withColumn("__cut", F.substring("__place", 1, 3))
+    counts = placed.groupBy("__cut").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each stretch
+    within = F.row_number().over(Window.partitionBy("__cut").orderBy("__place", speaker)) - 1
+    offsets = counts.select(F.col("__cut").alias("__of"), before.alias("__before"))
+    ranked = placed.withColumn("__k", within).join(offsets, F.col("__cut").eqNullSafe(F.col("__of"))).withColumn("__k", F.col("__k") + F.col("__before"))
+    split, end = F, 0
+    for part in parts.orderBy("pos").collect():  # a few splits
+        end += part["n"]
+        split = split.when(F.col("__k") < end, part["name"])
+    return ranked.select(speaker, split.alias("split")).where("split IS NOT NULL")
 
 
 def with_all(dim: DataFrame, counts: DataFrame, on: str, n: str = "n") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, sigmoid
@@ -25,21 +25,41 @@ def _pieces(text: Column) -> Column:
 
 
 def phrase_hits(texts: DataFrame, vocab: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, family, term, weight, tok_start) of the terms found in each text, lower case, blanks as
-    one: longest first, no two hits of a family overlapping; a term ends where no a-z adjoins.
-
-    Texts are cut to runs of letters and single characters, so a term is found by an equi-join on its
-    first piece (Catalyst broadcasts the vocabulary if it is small), not by trying all terms.
+    """(keys, family, term, weight, piece) of the terms found in each text, lower case, blanks as one:
+    longest first, no two hits of a family overlapping; a term ends where no a-z adjoins.
+
+    Texts are cut to runs of letters and single characters. Stretches of as many pieces as the
+    vocabulary's terms have meet the terms in an equi-join (Catalyst broadcasts the vocabulary if it is
+    small); no text is tried against every term, and no row carries more than its stretch. Where all
+    terms are single words none can overlap, and nothing is shuffled. Else hits are told apart by
+    stretches of a text that overlap each other, and only those are weighed against one another.
     """
     low = F.concat(F.lit(" "), F.regexp_replace(F.trim(F.lower(F.coalesce(F.col(text), F.lit("")))), r"\s+", " "), F.lit(" "))
-    t = texts.select(*keys, _pieces(low).alias("__p")).select(*keys, "__p", F.posexplode("__p").alias("__i", "__first"))
-    v = vocab.withColumn("__t", _pieces(F.lower("term"))).withColumn("__first", F.element_at("__t", 1)).withColumn("__k", F.size("__t"))
-    found = t.join(v, "__first").where(F.slice("__p", F.col("__i") + 1, F.col("__k")) == F.col("__t"))
-    before, after = F.try_element_at("__p", F.when(F.col("__i") > 0, F.col("__i"))), F.try_element_at("__p", F.col("__i") + F.col("__k") + 1)
-    letter = lambda c: F.coalesce(c.rlike("^[a-z]"), F.lit(False))
-    found = found.where(~letter(before) & ~letter(after))
-    hit = F.struct((-F.length("term")).alias("o"), F.col("term").alias("term"), F.col("__i").alias("i"), F.col("__k").alias("k"), F.col("weight").alias("weight"))
-    grouped = found.groupBy(*keys, "family").agg(F.array_sort(F.collect_list(hit)).alias("h"))  # a text's own hits
+    v = vocab.select("family", "term", "weight", F.lower("term").alias("__gram"), F.size(_pieces(F.lower("term"))).alias("__k")).dropDuplicates(["family", "__gram"])
+    kinds = v.select("__k", F.col("__gram").rlike("^[a-z]+$").alias("word")).distinct().collect()  # a row for each length of a term
+    words_only = all(r["__k"] == 1 and r["word"] for r in kinds)
+    t = texts.select(*keys, _pieces(low).alias("__p"))
+    grams = t.select(*keys, F.posexplode("__p").alias("piece", "__gram")).where(F.col("__gram") >= "a").where(F.col("__gram") < "{")
+    if not words_only:
+        whole = [r["__k"] for r in kinds if not r["word"]]
+        letter = lambda c: F.coalesce(c.rlike("^[a-z]"), F.lit(False))
+        p, last = F.col("__p"), F.size("__p")
+
+        def of_length(k: int) -> Column:
+            inside = lambda i: (i + k <= last) & ~letter(F.get(p, i - 1)) & ~letter(F.get(p, i + k))
+            every = F.transform(p, lambda _, i: F.struct(i.alias("i"), F.when(inside(i), F.array_join(F.slice(p, i + 1, k), "")).alias("gram")))
+            return F.filter(every, lambda x: x["gram"].isNotNull())
+
+        stretches = F.flatten(F.array(*[of_length(k) for k in sorted(set(whole))]))
+        grams = grams.unionByName(t.select(*keys, F.explode(stretches).alias("x")).select(*keys, F.col("x.i").alias("piece"), F.col("x.gram").alias("__gram")))
+    found = grams.join(v, "__gram")
+    if words_only:
+        return found.select(*keys, "family", "term", "weight", "piece")
+    along = Window.partitionBy(*keys, "family").orderBy("piece", "__k")
+    reach = F.max(F.col("piece") + F.col("__k")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("__new", F.when(F.col("piece") < reach, 0).otherwise(1)).withColumn("__island", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = F.struct((-F.length("term")).alias("o"), F.col("term").alias("term"), F.col("piece").alias("i"), F.col("__k").alias("k"), F.col("weight").alias("weight"))
+    grouped = found.distinct().groupBy(*keys, "family", "__island").agg(F.array_sort(F.collect_list(hit)).alias("h"))  # hits that touch each other
     # of a sorted list, a hit stays if it overlaps none that stays before it
     kept = F.aggregate(
         "h",

@@ -1,7 +1,9 @@
 """Evaluation metrics over (group, score, label) tables. Labels are 0 or 1.
 
 Curves are built on distinct scores: rows are first counted by score, which pre-aggregates before
-the shuffle, and windows see one row for each distinct score of a group.
+the shuffle. Running sums come in two steps: scores are cut to stretches in order, each of which is a
+window of its own, and the stretches' sums are added up in a second, small window. So a group of very
+many distinct scores is many tasks' work.
 """
 
 from __future__ import annotations
@@ -14,14 +16,35 @@ def _by_score(df: DataFrame, group: list[str], score: str, label: str) -> DataFr
     return df.groupBy(*group, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
 
 
+def _stretch(score: str) -> Column:
+    """A whole number that never falls as the score grows: 64 to each doubling of its size."""
+    x = F.col(score).cast("double")
+    return F.signum(x).cast("int") * (F.floor(F.log2(F.greatest(F.abs(x), F.lit(1e-300))) * 64) + 70000)
+
+
+def running(df: DataFrame, group: list[str], sums: dict[str, str], score: str = "score", falling: bool = False) -> DataFrame:
+    """Adds, under new names, the sums of columns over all rows of the group up to each row's score,
+    which is distinct in its group, and ``<name>_all``, those over the whole group."""
+    cut = df.withColumn("__cut", _stretch(score))
+    order = (lambda c: F.desc(c)) if falling else F.asc
+    of = cut.groupBy(*group, "__cut").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    before = Window.partitionBy(*group).orderBy(order("__cut")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    whole = Window.partitionBy(*group)
+    keys = {g: f"__of_{g}" for g in group}
+    of = of.select(*[F.col(g).alias(k) for g, k in keys.items()], F.col("__cut").alias("__of"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums], *[F.sum(f"__{n}").over(whole).alias(f"{n}_all") for n in sums])
+    within = Window.partitionBy(*group, "__cut").orderBy(order(score)).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("__cut") == F.col("__of")
+    for g, k in keys.items():
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    out = cut.withColumns({n: F.sum(c).over(within) for n, c in sums.items()}).join(of, same)
+    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).select(*df.columns, *sums, *[f"{n}_all" for n in sums])
+
+
 def det_curve(df: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """(group, threshold, fpr, fnr) by falling threshold, ties collapsed, from (0, 1, infinity) on."""
     counts = _by_score(df, group, score, label)
-    w = Window.partitionBy(*group).orderBy(F.desc("score"))
-    all_ = Window.partitionBy(*group)
-    tp, fp = (F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("p", "n"))
-    pos, neg = (F.sum(c).over(all_) for c in ("p", "n"))
-    curve = counts.select(*group, F.col("score").alias("threshold"), F.try_divide(fp, neg).alias("fpr"), (1 - F.try_divide(tp, pos)).alias("fnr"))
+    summed = running(counts, group, {"tp": "p", "fp": "n"}, falling=True)
+    curve = summed.select(*group, F.col("score").alias("threshold"), F.try_divide("fp", "fp_all").alias("fpr"), (1 - F.try_divide("tp", "tp_all")).alias("fnr"))
     seed = counts.select(*group).distinct().select(*group, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(1.0).alias("fnr"))
     return curve.unionByName(seed)
 
@@ -43,9 +66,8 @@ def min_tdcf(curve: DataFrame, group: list[str], prior: float = 0.05, miss: floa
 def roc_auc(df: DataFrame, group: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """(group, auc): by average ranks; null where a class is absent."""
     counts = _by_score(df, group, score, label)
-    w = Window.partitionBy(*group).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum(F.col("p") + F.col("n")).over(w), F.lit(0))
-    ranked = counts.withColumn("r", below + (F.col("p") + F.col("n") + 1) / 2)
+    summed = running(counts.withColumn("m", F.col("p") + F.col("n")), group, {"upto": "m"})
+    ranked = summed.withColumn("r", F.col("upto") - F.col("m") + (F.col("m") + 1) / 2)
     pos, neg = F.sum("p"), F.sum("n")
     return ranked.groupBy(*group).agg(F.try_divide(F.sum(F.col("r") * F.col("p")) - pos * (pos + 1) / 2, (pos * neg).cast("double")).alias("auc"))
 
@@ -72,10 +94,12 @@ def calibration(df: DataFrame, group: list[str], bins: int = 10, score: str = "s
     edge = [k / bins for k in range(bins + 1)]
     number = F
     for k in range(bins):
-        upper = F.col(score) <= edge[k + 1] if k == bins - 1 else F.col(score) < edge[k + 1]
-        number = number.when((F.col(score) >= edge[k]) & upper, k)
-    cut = df.withColumn("bin", number)
-    return cut.where("bin IS NOT NULL").groupBy(*group, "bin").agg(F.count("*").alias("n"), F.avg(score).alias("predicted"), F.avg(label).alias("observed"))
+        upper = F.col("score") <= edge[k + 1] if k == bins - 1 else F.col("score") < edge[k + 1]
+        number = number.when((F.col("score") >= edge[k]) & upper, k)
+    # distinct scores are binned, so what makes the score is evaluated once a row
+    counts = df.groupBy(*group, F.col(score).alias("score")).agg(F.count("*").alias("n"), F.count(label).alias("m"), F.sum(label).alias("y")).withColumn("bin", number)
+    cut = counts.groupBy(*group, "bin").agg(F.sum("n").alias("n"), (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("predicted"), F.try_divide(F.sum("y"), F.sum("m")).alias("observed"), F.count("bin").alias("__k"))
+    return cut.where("__k > 0").drop("__k")
 
 
 def calibration_error(bins: DataFrame, group: list[str]) -> DataFrame:

@@ -52,8 +52,8 @@ def nested_calls(spark, sf):
     """Turns to nested calls and back to turns."""
     t = B.acted(spark, sf).withColumn("split", F.when(F.col("call_id") % 2 == 0, "train").otherwise("test"))
     calls = calls_of_turns(t, "split")
-    flat = turns_of(calls.where("split = 'train'"))
-    return flat.groupBy("call_id").agg(F.count("*").alias("turns"), F.sum(F.size("tokens")).alias("tokens"), F.sum(F.size("bio")).alias("bio"), F.max_by("act", "turn_index").alias("last_act"))
+    flat = turns_of(calls).join(calls.select("call_id", "split"), "call_id")
+    return flat.groupBy("call_id", "split").agg(F.count("*").alias("turns"), F.sum(F.size("tokens")).alias("tokens"), F.sum(F.size("bio")).alias("bio"), F.max_by("act", "turn_index").alias("last_act"))
 
 
 QUERIES = {f.__name__: f for f in (heuristic_voice, fallback_risk, feature_vector, upload_turns, sidecar_stems, nested_calls)}
@@ -69,5 +69,5 @@ ORACLES = {
       t AS (SELECT doc_id, s, len(l) AS n, unnest(range(len(l))) AS i, unnest(l) AS line FROM l)
       SELECT doc_id, count(*) AS n, count(*) FILTER (starts_with(line, 'customer:')) AS callee, round(max((i + 1) * (s / n)), 4) AS t_end, round(avg(i * (s / n)), 4) AS mean_start FROM t GROUP BY 1""",
     "sidecar_stems": "SELECT 'rec' || doc_id % 30 || CASE WHEN doc_id % 4 = 3 THEN '_x' ELSE '' END AS stem, count(*) AS n FROM documents GROUP BY 1",
-    "nested_calls": f"WITH {B.ACTED_SQL} SELECT call_id, count(*) AS turns, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT AS bio, arg_max(act, turn_index) AS last_act FROM acted WHERE call_id % 2 = 0 GROUP BY 1",
+    "nested_calls": f"WITH {B.ACTED_SQL} SELECT call_id, CASE WHEN call_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, count(*) AS turns, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT AS bio, arg_max(act, turn_index) AS last_act FROM acted GROUP BY ALL",
 }

@@ -9,6 +9,7 @@ from ..functions import g711
 from ..functions.text import finite
 from ..operators import corpus as C
 from ..operators import metrics as M
+from ..operators import sequences as S
 from ..schema import risk_band
 from ..sources import transcripts as T
 from . import base as B
@@ -132,8 +133,11 @@ def corpus_search(spark, sf):
 
 
 def corpus_listing(spark, sf):
-    t = B.acted(spark, sf)
-    return B.rounded(t.groupBy("call_id").agg(F.count("*").alias("n_turns"), F.sum("n_tokens").alias("n_tokens"), F.max_by("act", "turn_index").alias("last_act"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("speaker") == "caller", F.struct("turn_index", F.substring("text", 1, 8).alias("head"))))), lambda x: x["head"]), "|").alias("caller_heads"), F.avg("rank").alias("mean_rank")), "mean_rank")
+    """A row for each call: its turns, roles, times, acts and the digest of all that the caller says."""
+    t = S.timings(B.acted(spark, sf), "n_tokens")
+    calls = t.groupBy("call_id").agg(F.count("*").alias("n_turns"), F.sum("n_tokens").alias("n_tokens"), F.max_by("act", "turn_index").alias("last_act"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("speaker") == "caller", F.struct("turn_index", "text")))), lambda x: x["text"]), "|").alias("caller_text"), F.avg("rank").alias("mean_rank"),
+        F.min_by("act", "turn_index").alias("first_act"), F.count_if(F.col("speaker") == "callee").alias("callee_turns"), F.count_if(F.col("rank") >= 0.8).alias("pressing"), F.max("rank").alias("peak"), F.max_by("t_end", "turn_index").alias("seconds"), F.count_distinct("act").alias("acts"))
+    return B.rounded(calls.withColumn("caller_text", F.md5(F.col("caller_text").cast("binary"))), "mean_rank").withColumn("seconds", F.round("seconds", 4))
 
 
 def risk_bands(spark, sf):
@@ -180,13 +184,15 @@ def pim_anchors(spark, sf):
 
 
 def manual_transcript(spark, sf):
-    lines = F.concat_ws("\n", F.lit("Caller: hello there"), F.substring("text", 1, 30), F.concat(F.lit("victim: "), F.substring("text", 5, 20)), F.lit("  "), F.lit("note: this is a longer line"))
-    t = T.manual_turns(B.load(spark, sf, "documents").select("doc_id", F.regexp_replace(lines, "[\n:]+(?=[a-z ])", ":").alias("t")), "doc_id", "t")
+    """Whole documents as pasted transcripts: their lines, some with a role, between two further turns."""
+    text = F.regexp_replace(F.regexp_replace("text", r"[\r\x0B\x{0085}\x{2028}\x{2029}]", " "), r"\. ", "\nvictim: ")
+    lines = F.concat_ws("\n", F.lit("Caller: hello there"), text, F.lit("  "), F.lit("note: this is a longer line"))
+    t = T.manual_turns(B.load(spark, sf, "documents").select("doc_id", lines.alias("t")), "doc_id", "t")
     return B.rounded(t.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("speaker") == "callee").alias("callee"), F.max("t_end").alias("t_end")), "t_end", to=3)
 
 
 def kaldi_parse(spark, sf):
-    d = B.load(spark, sf, "documents").select(F.concat(F.lit("utt"), F.pmod("doc_id", F.lit(97)).cast("string"), F.when(F.pmod("doc_id", F.lit(3)) == 0, "\t").otherwise(" "), F.when(F.pmod("doc_id", F.lit(13)) == 0, "").otherwise(F.substring_index("text", "\n", 1))).alias("value"), F.col("doc_id").alias("place"))
+    d = B.load(spark, sf, "documents").select(F.concat(F.lit("utt"), F.pmod("doc_id", F.lit(97)).cast("string"), F.when(F.pmod("doc_id", F.lit(3)) == 0, "\t").otherwise(" "), F.when(F.pmod("doc_id", F.lit(13)) == 0, "").otherwise(F.regexp_replace("text", r"[\r\n\x0B\f\x{0085}\x{2028}\x{2029}]", " "))).alias("value"), F.col("doc_id").alias("place"))
     return T.kaldi_lines(d)
 
 
@@ -258,7 +264,9 @@ _S = B.SCORED_SQL
 _BINS = "bins AS (SELECT lang, CASE " + " ".join(f"WHEN score >= {k / 10}::DOUBLE AND score {'<=' if k == 9 else '<'} {(k + 1) / 10}::DOUBLE THEN {k}" for k in range(10)) + " END AS bin, score, label FROM scored), cal AS (SELECT lang, bin, count(*) AS n, avg(score) AS predicted, avg(label) AS observed FROM bins WHERE bin IS NOT NULL GROUP BY ALL)"
 _OTHER = f"{B.ACTED_SQL}, two AS (SELECT *, {B.ACT_SQL.replace('turn_index', '(turn_index + call_id % 2)')} AS other FROM acted)"
 _REM = "row_number() OVER (ORDER BY round(raw - floor(raw), 9) DESC, name) <= {total} - sum(floor(raw)) OVER ()"
-_MANUAL = r"""m AS (SELECT doc_id, regexp_replace('Caller: hello there' || chr(10) || substr(text, 1, 30) || chr(10) || 'victim: ' || substr(text, 5, 20) || chr(10) || '  ' || chr(10) || 'note: this is a longer line', '[\n:]+([a-z ])', ':\1', 'g') AS t FROM documents)"""
+_MANUAL = rf"""m AS (SELECT doc_id, list_filter(list_transform(string_split('Caller: hello there' || chr(10) || regexp_replace(regexp_replace(text, '[\r\x0B\x{{0085}}\x{{2028}}\x{{2029}}]', ' ', 'g'), '\. ', chr(10) || 'victim: ', 'g') || chr(10) || '  ' || chr(10) || 'note: this is a longer line', chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+      l AS (SELECT doc_id, unnest(l) AS line FROM m), r AS (SELECT doc_id, line, lower(trim(regexp_extract(line, '^([^:]{{1,11}}):(.*)$', 1))) AS role, trim(regexp_extract(line, '^([^:]{{1,11}}):(.*)$', 2)) AS rest FROM l),
+      t AS (SELECT doc_id, role IN ('callee', 'victim', 'user') AS callee, 1 + 0.3 * len(regexp_extract_all(CASE WHEN role IN ('callee', 'victim', 'user', 'caller', 'agent') THEN rest ELSE line END, '{B.TOKEN.replace(chr(39), chr(39) * 2)}')) AS seconds FROM r)"""
 ORACLES = {
     "roc_auc": f"WITH {_S}, {auc_sql('scored', 'lang')} SELECT lang, round(auc, 6) AS auc FROM auc",
     "det_curve": f"WITH {_S}, {curve_sql('scored', 'lang')} SELECT lang, threshold, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr FROM curve WHERE threshold < 1e9",
@@ -279,7 +287,7 @@ ORACLES = {
     "corpus_stats": f"WITH {B.ACTED_SQL}, c AS (SELECT call_id, count(*) AS turns, sum(n_tokens) AS tokens, max(rank) AS peak FROM acted GROUP BY 1) SELECT count(*) AS calls, sum(turns)::BIGINT AS turns, round(avg(turns), 6) AS turns_per_call, round(sum(tokens) / sum(turns), 6) AS tokens_per_turn, round(avg(peak), 6) AS mean_peak FROM c",
     "per_speaker_counts": "SELECT format('spk_{:02d}', i) AS speaker_id, coalesce(n, 0) AS n FROM range(12) r(i) LEFT JOIN (SELECT call_id % 10 AS k, count(*) AS n FROM (SELECT DISTINCT conv_id AS call_id FROM conversations) GROUP BY 1) ON k = i",
     "corpus_search": "SELECT doc_id, lang, source FROM documents WHERE contains(lower(source), 'rc1') OR contains(lower(lang), 'rc1') ORDER BY doc_id LIMIT 400",
-    "corpus_listing": f"WITH {B.ACTED_SQL} SELECT call_id, count(*) AS n_turns, sum(n_tokens)::BIGINT AS n_tokens, arg_max(act, turn_index) AS last_act, coalesce(string_agg(substr(text, 1, 8), '|' ORDER BY turn_index) FILTER (speaker = 'caller'), '') AS caller_heads, round(avg(rank), 6) AS mean_rank FROM acted GROUP BY 1",
+    "corpus_listing": f"WITH {B.ACTED_SQL} SELECT call_id, count(*) AS n_turns, sum(n_tokens)::BIGINT AS n_tokens, arg_max(act, turn_index) AS last_act, md5(coalesce(string_agg(text, '|' ORDER BY turn_index) FILTER (speaker = 'caller'), '')) AS caller_text, round(avg(rank), 6) AS mean_rank, arg_min(act, turn_index) AS first_act, count(*) FILTER (speaker = 'callee') AS callee_turns, count(*) FILTER (rank >= 0.8) AS pressing, max(rank) AS peak, round(sum(greatest(0.7, n_tokens / 2.6)) + 0.25 * (count(*) - 1), 4) AS seconds, count(DISTINCT act) AS acts FROM acted GROUP BY 1",
     "risk_bands": f"WITH {_S} SELECT CASE WHEN score < 0.35 THEN 'low' WHEN score < 0.65 THEN 'elevated' WHEN score < 0.85 THEN 'high' ELSE 'critical' END AS band, count(*) AS n, sum(label)::BIGINT AS positive FROM scored GROUP BY 1",
     "finite_guard": "SELECT event_type, round(sum(CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 0 ELSE value END), 3) AS total, count(*) AS n FROM events GROUP BY 1",
     "g711_codes": """WITH s AS (SELECT i::INT AS pcm, i::INT >> 2 AS p, i::INT >> 3 AS q FROM range(-32768, 32768) r(i)),
@@ -296,7 +304,8 @@ ORACLES = {
     "split_assign": "WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY md5(c_custkey::VARCHAR), c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer), w AS (SELECT name, s, n * s AS raw, n FROM (SELECT unnest(['train', 'dev', 'test']) AS name, unnest([0.5, 0.25, 0.25]) AS s), (SELECT count(*) AS n FROM customer)), q AS (SELECT name, floor(raw) + (row_number() OVER (ORDER BY round(raw - floor(raw), 9) DESC, name) <= n - sum(floor(raw)) OVER ())::INT AS m FROM w), c AS (SELECT max(m) FILTER (name = 'train') AS a, max(m) FILTER (name = 'dev') AS b FROM q) SELECT CASE WHEN k < a THEN 'train' WHEN k < a + b THEN 'dev' ELSE 'test' END AS split, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM k, c GROUP BY 1",
     "waveform_peaks": "WITH e AS (SELECT vec_id, abs(unnest(embedding)::DOUBLE) AS x, unnest(range(len(embedding))) AS pos, len(embedding) AS n FROM embeddings), p AS (SELECT vec_id, floor(pos * 10 / n)::INT AS bin, max(x) AS peak FROM e GROUP BY ALL) SELECT vec_id, bin, round(peak / max(peak) OVER (PARTITION BY vec_id), 6) AS peak FROM p",
     "pim_anchors": f"WITH {B.TURNS_SQL}, a AS (SELECT count(*) AS n, quantile_cont(n_tokens / 10.0, 0.1) AS p10, quantile_cont(n_tokens / 10.0, 0.9) AS p90, quantile_cont(n_tokens / 10.0, 0.5) FILTER (call_id % 2 = 0) AS low, quantile_cont(n_tokens / 10.0, 0.5) FILTER (call_id % 2 = 1) AS high FROM turns), g AS (SELECT *, (high - low) / nullif(p90 - p10, 0) AS gap FROM a) SELECT n, round(p10, 6) AS p10, round(p90, 6) AS p90, round(low, 6) AS low, round(high, 6) AS high, round(gap, 6) AS gap, CASE WHEN n < 30 THEN 'few' WHEN gap IS NULL OR abs(gap) < 0.05 THEN 'flat' WHEN gap < 0 THEN 'wrong' ELSE 'ok' END AS status FROM g",
-    "kaldi_parse": r"WITH l AS (SELECT 'utt' || doc_id % 97 || CASE WHEN doc_id % 3 = 0 THEN chr(9) ELSE ' ' END || CASE WHEN doc_id % 13 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS value, doc_id FROM documents), p AS (SELECT regexp_extract(value, '^(\S+)[\t ]+(.*\S)\s*$', 1) AS uid, regexp_extract(value, '^(\S+)[\t ]+(.*\S)\s*$', 2) AS text, doc_id FROM l) SELECT uid, arg_max(text, doc_id) AS text FROM p WHERE uid <> '' GROUP BY 1",
+    "manual_transcript": f"WITH {_MANUAL} SELECT doc_id, count(*) AS n, count(*) FILTER (callee) AS callee, round(sum(seconds) + 0.3 * (count(*) - 1), 3)::DOUBLE AS t_end FROM t GROUP BY 1",
+    "kaldi_parse": r"WITH l AS (SELECT 'utt' || doc_id % 97 || CASE WHEN doc_id % 3 = 0 THEN chr(9) ELSE ' ' END || CASE WHEN doc_id % 13 = 0 THEN '' ELSE regexp_replace(text, '[\r\n\x0B\f\x{0085}\x{2028}\x{2029}]', ' ', 'g') END AS value, doc_id FROM documents), p AS (SELECT regexp_extract(value, '^(\S+)[\t ]+(.*\S)\s*$', 1) AS uid, regexp_extract(value, '^(\S+)[\t ]+(.*\S)\s*$', 2) AS text, doc_id FROM l) SELECT uid, arg_max(text, doc_id) AS text FROM p WHERE uid <> '' GROUP BY 1",
     "metadata_maps": "SELECT c_custkey AS uid, (c_custkey % 5 <> 0)::INT + (c_custkey % 7 <> 0)::INT AS n, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name FROM customer",
     "robocall_clean": r"SELECT CASE WHEN doc_id % 4 = 0 THEN 'en' ELSE coalesce(lang, 'en') END AS language, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents WHERE len(regexp_extract_all(text, '[^\s]+')) >= 4 GROUP BY 1",
     "stem_join": "SELECT page_id, page_id || '.v1' AS stem, '/x/' || page_id || '.v1.txt' AS audio_path FROM pages JOIN documents ON page_id = doc_id",

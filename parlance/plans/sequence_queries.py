@@ -11,19 +11,19 @@ from ..operators import sequences as S
 from . import base as B
 from .text_queries import RULES_SQL, rule_scores
 
-#: Tag sequences: exact spans, a stray I-, a type that changes, malformed tags.
-TAGS = [
-    (1, "B-OTP", "B-OTP"), (1, "I-OTP", "I-OTP"), (1, "O", "O"), (1, "B-MONEY", "I-MONEY"), (1, "I-MONEY", "I-MONEY"), (1, "I-OTP", "O"), (2, "O", "O"), (2, "I-OTP", "B-OTP"), (2, "I-OTP", "B-OTP"),
-    (2, "B-OTP", "I-OTP"), (2, "X", "O"), (2, "I-OTP", "I-OTP"), (3, "O", "B-BANK"), (3, "O", "I-BANK"), (4, "B-BANK", "B-BANK"), (4, "B-BANK", "B-BANK"), (4, "I-MONEY", "I-BANK"),
-]
+def tags(spark, sf):
+    """Gold and found tags of all tokens, by their length and place: with stray I-, B- within a span,
+    tags that are none, and spans of several tokens."""
+    t = B.flat_tokens(B.turns(spark, sf)).withColumn("seq", F.concat_ws(":", "call_id", "turn_index"))
+    kind = F.when(F.length("token") % 4 == 0, "OTP").when((F.length("token") % 4 == 1) & (F.length("token") > 1), "MONEY")
+    t = t.withColumn("kind", kind).withColumn("gold", F.when(F.col("kind").isNotNull(), F.concat(F.when(F.col("pos") % 3 == 0, "B-").otherwise("I-"), "kind")).when(F.col("pos") % 9 == 4, "X").otherwise("O"))
+    found = F.when(F.col("pos") % 5 == 0, "O").when((F.col("pos") % 5 == 1) & F.col("kind").isNotNull(), F.concat(F.lit("B-"), "kind")).otherwise(F.col("gold"))
+    return t.select("seq", "pos", "gold", found.alias("pred"))
 
 
-def tags(spark):
-    df = spark.createDataFrame([(s, i, g, p) for i, (s, g, p) in enumerate(TAGS)], "seq int, pos int, gold string, pred string")
-    return df
-
-
-TAGS_SQL = "tags(seq, pos, gold, pred) AS (VALUES " + ", ".join(f"({s}, {i}, '{g}', '{p}')" for i, (s, g, p) in enumerate(TAGS)) + ")"
+TAGS_SQL = B.TOKENS_SQL + """, kinds AS (SELECT call_id || ':' || turn_index AS seq, pos, CASE WHEN length(token) % 4 = 0 THEN 'OTP' WHEN length(token) % 4 = 1 AND length(token) > 1 THEN 'MONEY' END AS kind FROM tok),
+  golds AS (SELECT *, CASE WHEN kind IS NOT NULL THEN CASE WHEN pos % 3 = 0 THEN 'B-' ELSE 'I-' END || kind WHEN pos % 9 = 4 THEN 'X' ELSE 'O' END AS gold FROM kinds),
+  tags AS (SELECT seq, pos, gold, CASE WHEN pos % 5 = 0 THEN 'O' WHEN pos % 5 = 1 AND kind IS NOT NULL THEN 'B-' || kind ELSE gold END AS pred FROM golds)"""
 
 
 def spans_sql(column: str, name: str) -> str:
@@ -34,13 +34,13 @@ def spans_sql(column: str, name: str) -> str:
 
 
 def bio_decode(spark, sf):
-    return S.bio_spans(tags(spark), ["seq"], tag="gold")
+    return S.bio_spans(tags(spark, sf), ["seq"], tag="gold")
 
 
 def entity_prf(spark, sf):
     from ..operators.metrics import span_scores
 
-    t = tags(spark)
+    t = tags(spark, sf)
     g, p = S.bio_spans(t, ["seq"], tag="gold"), S.bio_spans(t, ["seq"], tag="pred")
     whole = span_scores(g, p, ["seq"]).withColumn("type", F.lit("all"))
     return B.rounded(span_scores(g, p, ["seq"], by_type=True).unionByName(whole), "precision", "recall", "f1")

@@ -144,6 +144,10 @@ def repeat_lengths(spark, sf):
     return B.load(spark, sf, "documents").select("doc_id", F.length(X.collapse_repeats(F.col("text"))).alias("n"))
 
 
+# Characters of a list c, by place: ``keep`` says which stay. A line break repeats as often as it likes.
+X_SQL = "array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: {keep}), lambda i: c[i]), '')"
+TWICE = "NOT coalesce(i > 2 AND c[i] <> chr(10) AND c[i] = c[greatest(i - 1, 1)] AND c[i] = c[greatest(i - 2, 1)], false)"
+_ONCE = "NOT coalesce(i > 1 AND c[i] <> chr(10) AND c[i] = c[greatest(i - 1, 1)] AND ((i > 2 AND c[i] = c[greatest(i - 2, 1)]) OR c[i] = c[i + 1]), false)"
 QUERIES = {
     "tokenize_counts": tokenize_counts, "document_tokens": document_tokens, "lang_tags": lang_tags, "cmi_by_call": cmi_by_call, "switch_points": switch_points, "switch_entropy": switch_entropy,
     "caller_mixing": caller_mixing, "lexicon_hits": lexicon_hits, "urgency_density": urgency_density, "lexicon_fallback": lexicon_fallback, "lexical_arousal": lexical_arousal,
@@ -170,4 +174,10 @@ ORACLES = {
     "word_shapes": f"WITH {B.TOKENS_SQL}, s AS (SELECT {_SHAPE} AS shape FROM tok) SELECT regexp_replace(regexp_replace(regexp_replace(shape, 'XXX+', 'XX', 'g'), 'xxx+', 'xx', 'g'), 'ddd+', 'dd', 'g') AS shape, count(*) AS n FROM s GROUP BY 1",
     "clean_pages": f"SELECT page_id, length({_CLEAN}) AS n_chars, substr({_CLEAN}, 1, 60) AS head FROM pages",
     "token_bigrams": f"WITH {B.TURNS_SQL}, g AS (SELECT unnest(list_transform(range(1, len(tokens)), lambda i: lower(tokens[i]) || '_' || lower(tokens[i + 1]))) AS gram FROM turns) SELECT gram, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, gram LIMIT 50",
+    # a break is put where the text is split, as SQL has no look-behind
+    "sentence_counts": r"WITH s AS (SELECT conv_id AS call_id, turn AS turn_index, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM conversations) SELECT call_id, turn_index, greatest(1, len(list_filter(s, lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) >= 2))) AS n FROM s",
+    "squeezed_words": f"""WITH {B.TOKENS_SQL}, q AS (SELECT lower(trim(token)) AS t, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(token)), 'aa+', 'a', 'g'), 'ee+', 'i', 'g'), 'oo+', 'u', 'g'), 'ii+', 'i', 'g'), 'uu+', 'u', 'g'), '') AS c FROM tok),
+      s AS (SELECT t, {X_SQL.format(keep=_ONCE)} AS s FROM q)
+      SELECT CASE WHEN t = 'der' THEN 'the' WHEN t = 'reen' THEN 'rin' WHEN s = 'der' THEN 'the' WHEN s = 'reen' THEN 'rin' WHEN s IN ('rin', 'tin') THEN s ELSE t END AS word, count(*) AS n FROM s GROUP BY 1""",
+    "repeat_lengths": f"WITH c AS (SELECT doc_id, string_split(text, '') AS c FROM documents) SELECT doc_id, length({X_SQL.format(keep=TWICE)})::INT AS n FROM c",
 }

@@ -89,7 +89,7 @@ def manual_turns(texts: DataFrame, key: str, text: str, callees: tuple[str, ...]
     Without ``seconds`` a turn lasts 1 + 0.3 for each token, with gaps of 0.3; with it turns share the
     time equally.
     """
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     t = texts.select(key, *([seconds] if seconds else []), F.posexplode(lines).alias("turn_index", "line"), F.size(lines).alias("__n"))
     role = F.lower(F.trim(F.regexp_extract("line", _ROLE, 1)))
     known = role.isin(*callees, *callers)
