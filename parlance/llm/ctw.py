@@ -21,6 +21,8 @@ training rows counts are 0, the tree is empty and every bit has probability 1/2.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,17 +33,17 @@ from . import textbytes as tb
 from .shared import fold_is, stage
 
 U = np.uint64
-DEPTH = 5
+DEPTH = 6
 #: Depths from 0 to TOP are weighed on the driver.
 TOP = 2
 LEAST = 2
-#: The least share of all bytes that makes a context a node: none, at every size ``LEAST`` decides.
-SHARE = 0.0
-HEAVY = 2.0**-21
+#: Bytes of text that a task counts at least, where there are more tasks than cores.
+TASK_BYTES = 64 << 20
+HEAVY = 2.0**-22
 #: The end token's key among the words' hashes, which have 63 bits.
 END_KEY = (1 << 63) - 1
 _END = 0x0A
-_FLUSH = 1 << 21
+_FLUSH = 1 << 22
 #: Grams whose subtrees are weighed at once.
 _RUN = 1 << 17
 
@@ -86,11 +88,11 @@ def grams(buffer: np.ndarray) -> np.ndarray:
 
 
 def corpus_counts(docs: DataFrame, text: str, learnt: Column | None = None) -> DataFrame:
-    """(kind, key, n): exact counts of words (0) and grams (1) of the rows for which ``learnt`` holds
-    (all by default), and of the other rows' grams (2), staged."""
+    """(kind, key, n, m), staged: exact counts of words (kind 0) and grams (kind 1) of the rows for which
+    ``learnt`` holds (n; all rows by default), and of the other rows' grams (m)."""
 
     def count(batches):
-        held: dict[int, list] = {0: [], 1: [], 2: []}
+        held: list[list] = [[], []]  # by kind, runs of (key, learnt or not, n)
 
         def packed(kind):
             keys, weights = (np.concatenate(x) for x in zip(*held[kind], strict=True))
@@ -99,29 +101,32 @@ def corpus_counts(docs: DataFrame, text: str, learnt: Column | None = None) -> D
 
         def flush(kind):
             if held[kind]:
-                keys, n = packed(kind)
+                keys, weights = packed(kind)
                 held[kind] = []
                 for a in range(0, len(keys), 1 << 16):
-                    z = a + (1 << 16)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[a:z]), kind, np.int8)), pa.array(keys[a:z].view(np.int64)), pa.array(n[a:z])], names=["kind", "key", "n"])
+                    k, w = keys[a : a + (1 << 16)], weights[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(w >> 32), pa.array(w & 0xFFFFFFFF)], names=["kind", "key", "n", "m"])
 
         for block in tb.blocks(batches, "text", 1 << 19):
             buffer, at, scored, hashes, doc = canonical(*tb.utf8(block.column(0)))
             mine = block.column(1).to_numpy(zero_copy_only=False)
             keys, n = tb.counted(hashes[mine[doc]])
-            held[0].append((np.append(keys, U(END_KEY)), np.append(n, mine.sum())) if mine.any() else (keys, n))
-            found, mine = grams(buffer)[scored], mine[at[scored]]
-            held[1].append(tb.counted(found[mine]))
-            held[2].append(tb.counted(found[~mine]))
-            for kind in held:
+            keys, n = (np.append(keys, U(END_KEY)), np.append(n, mine.sum())) if mine.any() else (keys, n)
+            held[0].append((keys, n << 32))
+            # both counts of a gram in one number: a task sees fewer than 2**31 bytes between flushes
+            held[1].append(tb.counted(grams(buffer)[scored], np.where(mine[at[scored]], 1 << 32, 1)))
+            for kind in (0, 1):
                 if sum(len(x) for x, _ in held[kind]) > _FLUSH and len(packed(kind)[0]) > _FLUSH // 2:
                     yield from flush(kind)
-        for kind in held:
+        for kind in (0, 1):
             yield from flush(kind)
 
     learnt = F.lit(True) if learnt is None else F.coalesce(learnt, F.lit(False))
-    raw = docs.select(F.col(text).alias("text"), learnt.alias("learnt")).mapInArrow(count, "kind byte, key long, n long")
-    return stage(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    slim = docs.select(F.col(text).alias("text"), learnt.alias("learnt"))
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(math.ceil(size / TASK_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
+    raw = slim.coalesce(tasks).mapInArrow(count, "kind byte, key long, n long, m long")
+    return stage(raw.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -288,7 +293,7 @@ def levels_of(keys: np.ndarray, n: np.ndarray, first: int, last: int) -> list[tu
 
 def learn(counts: DataFrame) -> Tree:
     """The whole tree in one place, for corpora whose grams fit there; ``score`` never gathers it."""
-    return Tree(levels_of(*_arrays(counts.where("kind = 1").select("key", "n")), 0, DEPTH)).weigh()
+    return Tree(levels_of(*_arrays(counts.where("kind = 1 AND n > 0").select("key", "n")), 0, DEPTH)).weigh()
 
 
 def _subtrees(batches, top: Tree):
@@ -318,13 +323,11 @@ def _subtrees(batches, top: Tree):
 def gram_scores(counts: DataFrame) -> DataFrame:
     """(key, n, log): of every gram of all rows how often it occurs and its log10 probability."""
     spark = counts.sparkSession
-    first = Tree(levels_of(*_arrays(counts.where("kind = 1").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))), 0, TOP))
+    first = Tree(levels_of(*_arrays(counts.where("kind = 1 AND n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))), 0, TOP))
     size = [len(x) for x in first.nodes[TOP]]
     shape = spark.sparkContext.broadcast(first)
-    learnt = F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0))
-    found = counts.where("kind > 0").groupBy("key").agg(learnt.alias("learnt"), F.sum("n").alias("n"))
     context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1))
-    dealt = stage(found, "grams").select("key", "learnt", "n", context.alias("context")).repartition("context").sortWithinPartitions("context").select("key", "learnt", "n")
+    dealt = counts.where("kind = 1").select("key", F.col("n").alias("learnt"), (F.col("n") + F.col("m")).alias("n"), context.alias("context")).repartition("context").sortWithinPartitions("context").select("key", "learnt", "n")
 
     def lifted(batches):
         sums = [[np.zeros(m) for _ in range(3)] for m in size]
@@ -362,7 +365,7 @@ def score(docs: DataFrame, learnt: Column, *, doc_id: str = "doc_id", text: str
     row; the model learns from the rows for which ``learnt`` holds."""
     spark = docs.sparkSession
     counts = corpus_counts(docs, text, learnt)
-    words = counts.where("kind = 0")
+    words = counts.where("kind = 0").select("key", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = (F.col("n") > HEAVY * total) | (F.col("key") == END_KEY)
     scores = gram_scores(counts)
