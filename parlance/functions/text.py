@@ -82,6 +82,41 @@ def clean_markup(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "&", " and "), r"\s+", " "))
 
 
+def gazetteer_type(token: Column, gazetteer: dict[str, str], canon=None) -> Column:
+    """The type that a word list gives a token, by its lower-case or its canonical form; null if none."""
+    table, low = literal_map(gazetteer), F.lower(token)
+    found = F.try_element_at(table, low)
+    return found if canon is None else F.coalesce(found, F.try_element_at(table, canon(token)))
+
+
+def first_types(lists: list[tuple[str, set[str]]]) -> dict[str, str]:
+    """One type for each word of some typed lists: of several the first list's."""
+    out: dict[str, str] = {}
+    for kind, words in lists:
+        for w in sorted(words):
+            out.setdefault(w, kind)
+    return out
+
+
+def word_density(words: Column, terms: set[str], canon=None, least: int = 3) -> Column:
+    """How many of a hundred tokens are words of ``least`` letters or more of some terms, as they stand
+    or by their canonical form; without tokens 0."""
+    table = sorted({w for t in terms for w in t.split() if len(w) >= least})
+    hit = lambda w: F.lower(w).isin(*table) | (canon(w).isin(*table) if canon else F.lit(False))
+    return F.when(F.size(words) > 0, 100.0 * F.size(F.filter(words, hit)) / F.size(words)).otherwise(0.0)
+
+
+# Characters that no blank stands before, and behind.
+HUGS_LEFT, HUGS_RIGHT = ",.?!;:)]}%@", "([{@"
+
+
+def detokenize(words: Column) -> Column:
+    """Tokens as text: punctuation hugs the word to its left, brackets and @ both sides."""
+    left, right = (F.array(*[F.lit(c) for c in cs]) for cs in (HUGS_LEFT, HUGS_RIGHT))
+    bound = lambda w, i: (i == 0) | F.array_contains(left, w) | F.coalesce(F.array_contains(right, F.get(words, i - 1)), F.lit(False))
+    return F.array_join(F.transform(words, lambda w, i: F.when(bound(w, i), w).otherwise(F.concat(F.lit(" "), w))), "")
+
+
 def ngrams(words: Column, n: int, joint: str = "_") -> Column:
     """The n-grams of an array, joined."""
     whole = F.size(words) - (n - 1)

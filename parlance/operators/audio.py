@@ -70,6 +70,30 @@ def prosody_features(signals: DataFrame) -> DataFrame:
     return _each(signals, ", ".join(f"{n} double" for n in _PROSODY), lambda x, sr: [dsp.prosody(x, sr)])
 
 
+def arousal_components(signals: DataFrame) -> DataFrame:
+    """(signal_id, f0_cv, f0_span, emphasis_var, rate_std, voiced_ratio); null for segments too short."""
+    names = ("f0_cv", "f0_span", "emphasis_var", "rate_std", "voiced_ratio")
+    return _each(signals, ", ".join(f"{n} double" for n in names), lambda x, sr: [dsp.arousal_components(x, sr) or dict.fromkeys(names)])
+
+
+def channel_statistics(signals: DataFrame) -> DataFrame:
+    """(signal_id, ten statistics of the channel) of signals as a detector gets them, conditioned."""
+    names = tuple(dsp.channel_statistics(np.zeros(0)))
+    return _each(signals, ", ".join(f"{n} double" for n in names), lambda x, sr: [dsp.channel_statistics(dsp.condition(x, sr), sr)])
+
+
+def matched_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs (signal_id, sr, real, made) with both sides down one channel; a pair stays in its row."""
+
+    def run(batches):
+        for pdf in batches:
+            both = [dsp.match_channel(np.asarray(a, float), np.asarray(b, float), int(sr) or dsp.RATE) for a, b, sr in zip(pdf.real, pdf.made, pdf.sr, strict=True)]
+            yield pdf.assign(real=[a.astype(np.float32) for a, _ in both], made=[b.astype(np.float32) for _, b in both])
+
+    kind = pairs.schema["signal_id"].dataType.simpleString()
+    return pairs.select("signal_id", "sr", "real", "made").mapInPandas(run, f"signal_id {kind}, sr int, real array<float>, made array<float>")
+
+
 def speech_segments(signals: DataFrame) -> DataFrame:
     """(signal_id, t_start, t_end) of speech."""
     return _each(signals, "t_start double, t_end double", lambda x, sr: [{"t_start": a * dsp.HOP_S, "t_end": z * dsp.HOP_S + dsp.FRAME_S - dsp.HOP_S} for a, z in dsp.runs(dsp.speech_mask(x, sr))])

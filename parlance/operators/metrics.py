@@ -111,12 +111,12 @@ def brier(df: DataFrame, group: list[str], score: str = "score", label: str = "l
     return df.groupBy(*group).agg(F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))).alias("brier"))
 
 
-def span_scores(gold: DataFrame, found: DataFrame, keys: list[str], by_type: bool = False) -> DataFrame:
+def span_scores(gold: DataFrame, found: DataFrame, keys: list[str], by_type: bool = False, axes: list[str] | None = None) -> DataFrame:
     """Exact-span precision, recall and f1 of (keys, type, tok_start, tok_end) sets: overall, or by
-    type over the union of both sets' types."""
+    type over the union of both sets' types, and by those keys that are ``axes``."""
     cols = [*keys, "type", "tok_start", "tok_end"]
     g, p = gold.select(*cols).distinct().withColumn("g", F.lit(1)), found.select(*cols).distinct().withColumn("f", F.lit(1))
     both = g.join(p, cols, "full")
-    group = ["type"] if by_type else []
+    group = [*(axes or []), *(["type"] if by_type else [])]
     c = both.groupBy(*group).agg(F.count_if(F.col("g").isNotNull() & F.col("f").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn"))
     return with_rates(c)

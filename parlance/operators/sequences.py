@@ -141,6 +141,12 @@ def true_runs(frames: DataFrame, key: str, pos: str, flag: str, least: int = 1)
     return on.groupBy(key, "__k").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end")).where(F.col("end") - F.col("start") >= least).drop("__k")
 
 
+def differences(frames: DataFrame, key: str, pos: str, value: str) -> DataFrame:
+    """(key, pos, value) of each frame's step from the one before."""
+    w = Window.partitionBy(key).orderBy(pos)
+    return frames.select(key, pos, (F.col(value) - F.lag(value).over(w)).alias(value)).where(F.col(value).isNotNull())
+
+
 def moments(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, mean, std, skew, kurtosis): population moments; skew and excess kurtosis are 0 where the
     variance is."""

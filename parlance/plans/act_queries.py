@@ -30,14 +30,18 @@ def act_label(spark, sf):
     return act_labels(t, CUES).select("call_id", "turn_index", "act")
 
 
-def reasons(spark, sf):
+def reasons_rows(spark, sf):
     c = S.coercion(B.acted(spark, sf))
     counts = B.entity_spans(spark, sf).groupBy("call_id").agg(F.count_if(F.col("type") == "OTP").alias("n_ent_otp"), F.count_if(F.col("type") == "BANK_ENTITY").alias("n_ent_bank"))
     df = c.join(counts, "call_id", "left").na.fill(0, ["n_ent_otp", "n_ent_bank"])
     for n in ("personal", "authority", "threat", "payment"):
         df = df.withColumn(f"n_ent_{n}", F.lit(0).cast("long"))
     df = df.withColumn("pim", F.round(F.col("coercion_peak") / 2, 2)).withColumn("intent_score", F.lit(0.7)).withColumn("as_score", F.when(F.col("call_id") % 2 == 0, F.col("coercion_mean"))).withColumn("risk", F.col("coercion_mean"))
-    return W.write_reasons(df).select("call_id", F.array_join("reasons", " ").alias("text"))
+    return W.write_reasons(df)
+
+
+def reasons(spark, sf):
+    return reasons_rows(spark, sf).select("call_id", F.array_join("reasons", " ").alias("text"))
 
 
 QUERIES = {"act_label": act_label, "reasons": reasons}

@@ -61,8 +61,10 @@ _VALUES = ", ".join(f"abs(embedding[{k + 1}])::DOUBLE * {s} AS {n}" for k, (n, s
 _M = f"m AS (SELECT * REPLACE (CASE WHEN vec_id % 9 = 0 THEN NULL ELSE jitter END AS jitter) FROM (SELECT vec_id, {_VALUES} FROM embeddings))"
 _c = lambda e: f"least(greatest({e}, -2), 2)"
 _r = lambda n, ref: _c(f"ln(greatest({ref} / greatest(coalesce({n}, 0), 1e-6), 1e-6))")
+_RAW = f"1.10 * {_r('jitter', 0.008)} + 0.90 * {_r('shimmer', 0.045)} + 0.35 * {_r('spec_flatness_var', 0.0022)} + 0.55 * {_c('(coalesce(hnr, 0) - 13) / 6')} + 0.45 * {_c('coalesce(spk_consistency, 0) / 0.1')}"
+MEASURED_SQL = f"{_M}, raws AS (SELECT *, {_RAW} AS raw FROM m)"
 ORACLES = {
-    "heuristic_voice": f"WITH {_M} SELECT vec_id, round(1.10 * {_r('jitter', 0.008)} + 0.90 * {_r('shimmer', 0.045)} + 0.35 * {_r('spec_flatness_var', 0.0022)} + 0.55 * {_c('(coalesce(hnr, 0) - 13) / 6')} + 0.45 * {_c('coalesce(spk_consistency, 0) / 0.1')}, 6) AS raw FROM m",
+    "heuristic_voice": f"WITH {MEASURED_SQL} SELECT vec_id, round(raw, 6) AS raw FROM raws",
     "fallback_risk": f"WITH {_M} SELECT vec_id, round(least(greatest(0.30 * coalesce(jitter, 0) + 0.22 * shimmer + 0.14 * least(greatest(hnr / 6.0, 0), 1) + 0.14 * least(greatest(2.0 * (spk_consistency - 0.01), 0), 1), 0), 1), 5) AS risk FROM m",
     "feature_vector": f"WITH {_M} SELECT vec_id, round(coalesce(jitter, 0) + shimmer + spec_flatness_var + hnr + spk_consistency, 6) AS total, {sum(g in ('voice', 'intent') for _, g, _ in FEATURES)} AS n FROM m",
     "upload_turns": r"""WITH l AS (SELECT doc_id, n_chars / 7.0 AS s, list_filter(list_transform(string_split('customer: ' || regexp_replace(text, '[\r:]', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),

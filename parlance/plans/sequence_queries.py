@@ -26,9 +26,9 @@ TAGS_SQL = B.TOKENS_SQL + """, kinds AS (SELECT call_id || ':' || turn_index AS
   tags AS (SELECT seq, pos, gold, CASE WHEN pos % 5 = 0 THEN 'O' WHEN pos % 5 = 1 AND kind IS NOT NULL THEN 'B-' || kind ELSE gold END AS pred FROM golds)"""
 
 
-def spans_sql(column: str, name: str) -> str:
+def spans_sql(column: str, name: str, source: str = "tags") -> str:
     kind = f"CASE WHEN {column} <> 'O' AND contains({column}, '-') THEN split_part({column}, '-', -1) END"
-    return f"""{name}_k AS (SELECT *, {kind} AS type, lag({kind}) OVER (PARTITION BY seq ORDER BY pos) AS before FROM tags),
+    return f"""{name}_k AS (SELECT *, {kind} AS type, lag({kind}) OVER (PARTITION BY seq ORDER BY pos) AS before FROM {source}),
   {name}_i AS (SELECT *, sum((type IS NOT NULL AND NOT (starts_with({column}, 'I-') AND type IS NOT DISTINCT FROM before))::INT) OVER (PARTITION BY seq ORDER BY pos) AS island FROM {name}_k),
   {name} AS (SELECT seq, type, min(pos) AS tok_start, max(pos) + 1 AS tok_end FROM {name}_i WHERE type IS NOT NULL GROUP BY seq, island, type)"""
 
@@ -218,16 +218,16 @@ def span_anti_join(spark, sf):
 MODEL = {"coercion_slope": (1.4, 0.0, 0.2), "coercion_peak": (-0.8, 0.5, 0.3), "callee_resist": (0.3, 0.1, 1e-9)}
 
 
-def _contributions(spark, sf):
+def contributions(spark, sf):
     return R.linear_contributions(S.coercion(B.acted(spark, sf)), "call_id", MODEL)
 
 
 def linear_shap(spark, sf):
-    return B.rounded(_contributions(spark, sf), "value", "contribution")
+    return B.rounded(contributions(spark, sf), "value", "contribution")
 
 
 def top_contributions(spark, sf):
-    return B.rounded(R.top_contributions(_contributions(spark, sf), "call_id", 2).select("call_id", "feature", "place", "contribution"), "contribution")
+    return B.rounded(R.top_contributions(contributions(spark, sf), "call_id", 2).select("call_id", "feature", "place", "contribution"), "contribution")
 
 
 SHAP_SQL = COERCION_SQL + ", shap AS (" + " UNION ALL ".join(f"SELECT call_id, '{n}' AS feature, {n} AS value, {w} * ({n} - {m}) / {s if s >= 1e-8 else 1.0} AS contribution FROM co" for n, (w, m, s) in MODEL.items()) + ")"

@@ -62,7 +62,17 @@ def by_stem(rows: DataFrame, files: DataFrame, path: str = "path", file: str = "
     """Rows joined with files of the same stem; without any rows, the files alone."""
     r = rows.withColumn("stem", stem(F.col(path)))
     f = files.select(stem(F.col(file)).alias("stem"), F.col(file).alias("audio_path"))
-    return r.join(f, "stem")
+    none = r.select(F.lit(1).alias("__some")).limit(1)  # one row if there is any
+    alone = f.join(none, F.lit(True), "left_anti")
+    return r.join(f, "stem").unionByName(alone, allowMissingColumns=True)
+
+
+def sidecar_candidates(path: Column, calls: str) -> list[Column]:
+    """Where a recording's call file may lie, in order: beside it, in ``calls`` below its folder or the
+    folder above, and in the given folder, each by its own stem, then by that without channel suffixes."""
+    folder = F.regexp_replace(path, "/[^/]*$", "")
+    places = (folder, F.concat(folder, F.lit("/calls")), F.concat(F.regexp_replace(folder, "/[^/]*$", ""), F.lit("/calls")), F.lit(calls))
+    return [F.concat(place, F.lit("/"), s, F.lit(".json")) for s in (stem(path), sidecar_stem(path)) for place in places]
 
 
 def utterances(files: DataFrame, texts: DataFrame, meta: DataFrame, shortest: float = 1.5, longest: float = 20.0) -> DataFrame:
@@ -79,6 +89,7 @@ def first_existing(wanted: DataFrame, listing: DataFrame, candidates: list[Colum
     return wanted.select(key).join(found, key, "left")
 
 
+NO_TRANSCRIPT = "(no transcript supplied)"
 _ROLE = r"^([^:]{1,11}):(.*)$"
 
 
@@ -87,9 +98,11 @@ def manual_turns(texts: DataFrame, key: str, text: str, callees: tuple[str, ...]
     is not blank, with an optional ``role:`` in its first twelve characters.
 
     Without ``seconds`` a turn lasts 1 + 0.3 for each token, with gaps of 0.3; with it turns share the
-    time equally.
+    time equally, and a text without a line is one turn that says so.
     """
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    if seconds:
+        lines = F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, lines).otherwise(F.array(F.lit(NO_TRANSCRIPT)))
     t = texts.select(key, *([seconds] if seconds else []), F.posexplode(lines).alias("turn_index", "line"), F.size(lines).alias("__n"))
     role = F.lower(F.trim(F.regexp_extract("line", _ROLE, 1)))
     known = role.isin(*callees, *callers)
