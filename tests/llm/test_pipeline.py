@@ -18,7 +18,7 @@ def expected(rows, items):
     """The ids that each stage keeps, and the copies of the mix."""
     kept = [r for r in rows if r.text and re.search(r"[^\W\d_]", r.text)]
     yield "language", sorted(r.doc_id for r in kept)
-    root = grouped({r.doc_id: fingerprint(r.text) for r in kept})
+    root = grouped({r.doc_id: fingerprint(r.text) for r in kept}, corpus_pipeline.RADIUS)
     kept = [r for r in kept if root[r.doc_id] == r.doc_id]
     yield "near_duplicates", sorted(r.doc_id for r in kept)
     bad = contaminated([(r.doc_id, r.text) for r in kept], items, 10)

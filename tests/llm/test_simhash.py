@@ -50,9 +50,9 @@ def test_xxh64_of_all_lengths():
 def test_query_against_brute_force(spark, docs):
     rows = {r.doc_id: r.text for r in docs.collect()}
     prints = {d: fingerprint(t) for d, t in rows.items()}
-    want = brute(prints)
-    for bucket_rows in (4096, 3):
-        got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs, bucket_rows=bucket_rows).collect()}
+    for radius, bucket_rows in ((2, 4096), (2, 3), (3, 4096), (3, 5)):
+        want = brute(prints, radius)
+        got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs, radius=radius, bucket_rows=bucket_rows).collect()}
         assert {d: x[0] for d, x in got.items()} == prints
         assert {d: x[1] for d, x in got.items()} == want
     assert len(set(want.values())) < len(want)
