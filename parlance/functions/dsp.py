@@ -260,12 +260,14 @@ def _steadiness(v: np.ndarray) -> float:
 
 
 def prosody(x: np.ndarray, sr: int = RATE) -> dict[str, float]:
-    """Thirteen finite numbers on pitch, steadiness, noise, rate and pauses; silence: pauses only."""
+    """Thirteen finite numbers on pitch, steadiness, noise, energy, pace and pauses; silence: pauses only.
+
+    Ranges are between the 5th and the 95th percentile; the pitch's slope is in Hz a second, the pace in
+    syllables a second, and its spread that of the seconds' own."""
     f0, f = yin(x, sr), frames(x, sr)
     voiced = f0[f0 > 0]
     mask = speech_mask(x, sr)
     tall = frames(x, sr, 0.040)
-    peaks = np.array([np.abs(tall[a:z]).max(axis=1).mean() for a, z in runs(f0 > 0, 2)] or [0.0])
     loud = np.abs(tall[f0 > 0]).max(axis=1) if len(voiced) else np.zeros(0)
     hnr = 0.0
     if len(voiced):
@@ -278,13 +280,16 @@ def prosody(x: np.ndarray, sr: int = RATE) -> dict[str, float]:
         hnr = float((10 * np.log10(r / (1 - r))).mean())
     db = rms_db(f) if len(f) else np.zeros(1)
     env = np.convolve(db, np.ones(5) / 5, "same")
-    syllables = int(((env[1:-1] > env[:-2]) & (env[1:-1] >= env[2:]) & (env[1:-1] > env.max() - 20)).sum()) if len(env) > 2 and env.max() > -60 else 0
+    syllables = np.flatnonzero((env[1:-1] > env[:-2]) & (env[1:-1] >= env[2:]) & (env[1:-1] > env.max() - 20)) * HOP_S if len(env) > 2 and env.max() > -60 else np.zeros(0)
     seconds = max(len(x) / sr, 1e-6)
+    paces = np.bincount(syllables.astype(int), minlength=int(seconds))[: max(1, int(seconds))]
+    spread = lambda v: float(np.percentile(v, 95) - np.percentile(v, 5)) if len(v) else 0.0
+    at = np.flatnonzero(f0 > 0) * HOP_S
+    slope = float(np.clip(np.polyfit(at, voiced, 1)[0], -500, 500)) if len(voiced) > 2 else 0.0
     out = {
-        "f0_mean": float(voiced.mean()) if len(voiced) else 0.0, "f0_std": float(voiced.std()) if len(voiced) else 0.0, "f0_range": float(np.ptp(voiced)) if len(voiced) else 0.0,
+        "f0_mean": float(voiced.mean()) if len(voiced) else 0.0, "f0_std": float(voiced.std()) if len(voiced) else 0.0, "f0_range": spread(voiced), "f0_slope": slope,
         "voiced_ratio": float((f0 > 0).mean()) if len(f0) else 0.0, "jitter": _steadiness(1 / voiced) if len(voiced) else 0.0, "shimmer": _steadiness(loud), "hnr": hnr,
-        "energy_mean": float(db.mean()), "energy_std": float(db.std()), "speech_rate": syllables / seconds, "pause_ratio": float(1 - mask.mean()) if len(mask) else 1.0,
-        "longest_voiced": max([z - a for a, z in runs(f0 > 0)], default=0) * HOP_S, "peak_spread": float(peaks.std()),
+        "energy_std": float(db.std()), "energy_range": spread(db), "rate": len(syllables) / seconds, "rate_std": float(np.std(paces)), "pause_ratio": float(1 - mask.mean()) if len(mask) else 1.0,
     }
     return {k: v if np.isfinite(v) else 0.0 for k, v in out.items()}
 
@@ -323,8 +328,7 @@ def arousal_components(x: np.ndarray, sr: int = RATE) -> dict[str, float] | None
     p = prosody(x, sr)
     mean = p["f0_mean"]
     per = lambda k: p[k] / mean if mean > 1e-6 else 0.0
-    rates = [prosody(part, sr)["speech_rate"] for part in np.array_split(x, max(1, int(len(x) / sr)))]
-    return {"f0_cv": per("f0_std"), "f0_span": per("f0_range"), "emphasis_var": emphasis(x, sr), "rate_std": float(np.std(rates)), "voiced_ratio": p["voiced_ratio"]}
+    return {"f0_cv": per("f0_std"), "f0_span": per("f0_range"), "emphasis_var": emphasis(x, sr), "rate_std": p["rate_std"], "voiced_ratio": p["voiced_ratio"]}
 
 
 def noise_floor_db(x: np.ndarray, sr: int = RATE) -> float:
@@ -391,6 +395,24 @@ def channel_statistics(x: np.ndarray, sr: int = RATE, low: float = 300.0, high:
     }
 
 
+def interpretable(x: np.ndarray, sr: int = RATE, kind: str = "lfcc") -> dict[str, float]:
+    """Eleven numbers that say what a voice's spectrum does: how its flatness varies, where it lies and
+    moves, what lies above 2 kHz, and how its cepstra are spread and move."""
+    f = frames(x, sr)
+    names = ("spec_flatness_var", "dx_flatness_mean", "dx_flatness_db_var", "dx_centroid_mean", "dx_flux_mean", "dx_flux_std", "dx_hf_ratio", "dx_kurtosis_mean", "dx_skew_absmean", "dx_delta_ratio", "dx_zcr_std")
+    if len(f) < 3:
+        return dict.fromkeys(names, 0.0)
+    p = power(f)
+    s, c = spectral_shape(p, sr), cepstra(x, kind, sr)
+    hz = np.linspace(0, sr / 2, p.shape[1])
+    d, sd = c - c.mean(axis=0), np.maximum(c.std(axis=0), 1e-10)
+    values = (
+        s["flatness"].var(), s["flatness"].mean(), (10 * np.log10(np.maximum(s["flatness"], 1e-12))).var(), s["centroid"].mean(), s["flux"].mean(), s["flux"].std(), p[:, hz > 2000].sum() / max(p.sum(), 1e-12),
+        ((d**4).mean(axis=0) / sd**4 - 3).mean(), np.abs((d**3).mean(axis=0) / sd**3).mean(), (np.diff(c, axis=0).std(axis=0) / sd).mean(), zero_crossings(f).std(),
+    )
+    return {k: float(v) if np.isfinite(v) else 0.0 for k, v in zip(names, values, strict=True)}
+
+
 def sinc_filter(sr: int, low: float, high: float, taps: int = 257) -> np.ndarray:
     """A linear-phase band pass."""
     n = np.arange(taps) - taps // 2

@@ -13,16 +13,26 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 
-_PROSODY = ("f0_mean", "f0_std", "f0_range", "voiced_ratio", "jitter", "shimmer", "hnr", "energy_mean", "energy_std", "speech_rate", "pause_ratio", "longest_voiced", "peak_spread")
+_PROSODY = ("f0_mean", "f0_std", "f0_range", "f0_slope", "voiced_ratio", "jitter", "shimmer", "hnr", "energy_std", "energy_range", "rate", "rate_std", "pause_ratio")
 _SHAPE = ("centroid", "bandwidth", "rolloff", "flatness", "flux")
 
 
 def _each(signals: DataFrame, schema: str, make) -> DataFrame:
-    """``make`` gives the rows (dicts) of one signal."""
+    """``make`` gives the rows (dicts) of one signal. Where the schema has an ``error``, a signal that
+    fails is one row with its message; elsewhere it ends the job."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def guarded(x, sr):
+        try:
+            return [{"error": None, **r} for r in make(x, sr)]
+        except Exception as problem:  # whatever one recording may hold
+            return [{**dict.fromkeys(names), "error": f"{type(problem).__name__}: {problem}"[:200]}]
+
+    each = guarded if "error" in names else make
 
     def run(batches):
         for pdf in batches:
-            rows = [{"signal_id": i, **r} for i, sr, x in zip(pdf.signal_id, pdf.sr, pdf.samples, strict=True) for r in make(np.asarray(x if x is not None else [], float), int(sr) or dsp.RATE)]
+            rows = [{"signal_id": i, **r} for i, sr, x in zip(pdf.signal_id, pdf.sr, pdf.samples, strict=True) for r in each(np.asarray(x if x is not None else [], float), int(sr) or dsp.RATE)]
             if rows:
                 yield pd.DataFrame(rows)
 
@@ -66,8 +76,15 @@ def utterance_vectors(signals: DataFrame, kind: str = "lfcc") -> DataFrame:
     return _each(signals, "vector array<double>", lambda x, sr: [{"vector": dsp.utterance_vector(dsp.condition(x, sr), kind, sr).tolist()}])
 
 
-def prosody_features(signals: DataFrame) -> DataFrame:
-    return _each(signals, ", ".join(f"{n} double" for n in _PROSODY), lambda x, sr: [dsp.prosody(x, sr)])
+def prosody_features(signals: DataFrame, errors: bool = False) -> DataFrame:
+    """(signal_id, thirteen numbers), and with ``errors`` what kept a signal from having them."""
+    return _each(signals, ", ".join(f"{n} double" for n in _PROSODY) + (", error string" if errors else ""), lambda x, sr: [dsp.prosody(x, sr)])
+
+
+def interpretable_features(signals: DataFrame, kind: str = "lfcc") -> DataFrame:
+    """(signal_id, eleven numbers) on what the spectrum does."""
+    names = tuple(dsp.interpretable(np.zeros(0)))
+    return _each(signals, ", ".join(f"{n} double" for n in names), lambda x, sr: [dsp.interpretable(x, sr, kind)])
 
 
 def arousal_components(signals: DataFrame) -> DataFrame:

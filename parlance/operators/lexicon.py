@@ -55,10 +55,16 @@ def phrase_hits(texts: DataFrame, vocab: DataFrame, keys: list[str], text: str =
     found = grams.join(v, "__gram")
     if words_only:
         return found.select(*keys, "family", "term", "weight", "piece")
+    return _longest_first(found.withColumn("__size", F.length("term")), keys)
+
+
+def _longest_first(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Of hits (keys, family, term, weight, piece, __k places wide) those that no larger ``__size`` of their
+    family overlaps; of equals the first by term, then by place. Only stretches that touch are compared."""
     along = Window.partitionBy(*keys, "family").orderBy("piece", "__k")
     reach = F.max(F.col("piece") + F.col("__k")).over(along.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("__new", F.when(F.col("piece") < reach, 0).otherwise(1)).withColumn("__island", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    hit = F.struct((-F.length("term")).alias("o"), F.col("term").alias("term"), F.col("piece").alias("i"), F.col("__k").alias("k"), F.col("weight").alias("weight"))
+    hit = F.struct((-F.col("__size")).alias("o"), F.col("term").alias("term"), F.col("piece").alias("i"), F.col("__k").alias("k"), F.col("weight").alias("weight"))
     grouped = found.distinct().groupBy(*keys, "family", "__island").agg(F.array_sort(F.collect_list(hit)).alias("h"))  # hits that touch each other
     # of a sorted list, a hit stays if it overlaps none that stays before it
     kept = F.aggregate(
@@ -69,6 +75,34 @@ def phrase_hits(texts: DataFrame, vocab: DataFrame, keys: list[str], text: str =
     return grouped.select(*keys, "family", F.explode(kept).alias("x")).select(*keys, "family", "x.term", "x.weight", F.col("x.i").alias("piece"))
 
 
+def token_hits(turns: DataFrame, vocab: DataFrame, keys: list[str], words: str = "low", canon=None) -> DataFrame:
+    """(keys, family, term, weight, tok_start, tok_end): terms as runs of tokens, each as it stands or, with
+    ``canon``, in its canonical spelling; within a family those of more tokens come first, and no token
+    is used twice."""
+    v = vocab.select("family", "term", "weight", F.split(F.lower("term"), " ").alias("__t")).withColumn("__k", F.size("__t"))
+    forms = [v.withColumn("__gram", F.array_join("__t", " "))]
+    spelt = [words]
+    t = turns
+    if canon is not None:
+        t = t.withColumn("__spelt", F.transform(words, canon))
+        spelt.append("__spelt")
+        forms.append(v.withColumn("__gram", F.array_join(F.transform("__t", canon), " ")))
+    found = None
+    for column, form in zip(spelt, forms, strict=True):
+        for k in sorted(r["__k"] for r in form.select("__k").distinct().collect()):  # a row for each number of tokens
+            grams = t.select(*keys, F.posexplode(_runs_of(column, k)).alias("piece", "__gram"))
+            more = grams.join(form.where(F.col("__k") == k), "__gram").select(*keys, "family", "term", "weight", "piece", "__k", F.col("__k").alias("__size"))
+            found = more if found is None else found.unionByName(more)
+    kept = _longest_first(found, keys)
+    return kept.join(v.select("family", "term", "__k").distinct(), ["family", "term"]).select(*keys, "family", "term", "weight", F.col("piece").alias("tok_start"), (F.col("piece") + F.col("__k")).alias("tok_end"))
+
+
+def _runs_of(words: str, k: int) -> Column:
+    """Every run of ``k`` tokens, by the place of its first."""
+    whole = F.filter(F.transform(words, lambda _, i: i), lambda i: i + k <= F.size(words))
+    return F.transform(whole, lambda i: F.array_join(F.slice(words, i + 1, k), " "))
+
+
 def family_sums(hits: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, w_<family>, n_<family>) for the eight families; absent ones are 0."""
     aggs = []

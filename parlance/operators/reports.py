@@ -161,6 +161,15 @@ def with_borrowed_negatives(own: DataFrame, others: DataFrame, label: str = "lab
     return own.where(F.col(label) == 1).withColumn("borrowed", F.lit(False)).unionByName(others.where(F.col(label) == 0).withColumn("borrowed", F.lit(True)))
 
 
+def audit(df: DataFrame, statistics: dict[str, Column], label: Column, stop: float = 0.75, warn: float = 0.62) -> DataFrame:
+    """(stat, auc, mean_1, mean_0, status) of each statistic alone: how well it tells the classes apart,
+    whichever way round."""
+    long = df.select(label.alias("label"), *[v.cast("double").alias(k) for k, v in statistics.items()]).unpivot(["label"], list(statistics), "stat", "value")
+    auc = M.roc_auc(long, ["stat"], "value").withColumn("auc", F.greatest("auc", 1 - F.col("auc")))
+    means = long.groupBy("stat").agg(F.avg(F.when(F.col("label") == 1, F.col("value"))).alias("mean_1"), F.avg(F.when(F.col("label") == 0, F.col("value"))).alias("mean_0"))
+    return auc.join(means, "stat").withColumn("status", F.when(F.col("auc") > stop, "stop").when(F.col("auc") > warn, "warn").otherwise("ok"))
+
+
 # ---- checks and provenance
 
 

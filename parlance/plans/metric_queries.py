@@ -9,6 +9,7 @@ from ..functions import g711
 from ..functions.text import finite
 from ..operators import corpus as C
 from ..operators import metrics as M
+from ..operators import reports as P
 from ..operators import sequences as S
 from ..schema import risk_band
 from ..sources import transcripts as T
@@ -84,11 +85,7 @@ def confound_audit(spark, sf):
     """How well each channel statistic alone tells the classes apart, with a status."""
     d = B.load(spark, sf, "documents").join(B.load(spark, sf, "labels"), "doc_id")
     stats = {"length": F.length("text").cast("double"), "lines": F.regexp_count("text", F.lit("\n")).cast("double"), "commas": F.regexp_count("text", F.lit(",")).cast("double"), "n_chars": F.col("n_chars").cast("double")}
-    long = d.select(F.col("toxic").alias("label"), *[v.alias(k) for k, v in stats.items()]).unpivot(["label"], list(stats), "stat", "value")
-    auc = M.roc_auc(long, ["stat"], "value").withColumn("auc", F.greatest("auc", 1 - F.col("auc")))
-    means = long.groupBy("stat").agg(F.avg(F.when(F.col("label") == 1, F.col("value"))).alias("mean_1"), F.avg(F.when(F.col("label") == 0, F.col("value"))).alias("mean_0"))
-    out = auc.join(means, "stat").withColumn("status", F.when(F.col("auc") > 0.75, "stop").when(F.col("auc") > 0.62, "warn").otherwise("ok"))
-    return B.rounded(out, "auc", "mean_1", "mean_0", to=5)
+    return B.rounded(P.audit(d, stats, F.col("toxic")), "auc", "mean_1", "mean_0", to=5)
 
 
 def ood_recall(spark, sf):

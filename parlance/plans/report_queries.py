@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import audio as A
 from ..operators import corpus as C
+from ..operators import generate as G
 from ..operators import lexicon as L
 from ..operators import metrics as M
 from ..operators import modelling as D
+from ..operators import pos as W
 from ..operators import reports as P
 from ..operators import risk as R
 from ..operators import sequences as S
@@ -297,6 +299,50 @@ def tones(spark, sf):
     return made(spark, sf)
 
 
+def channel_audit(spark, sf):
+    """How well each of the ten channel statistics tells even pages from odd ones."""
+    s = A.channel_statistics(tones(spark, sf))
+    return B.rounded(P.audit(s, {c: F.col(c) for c in s.columns if c != "signal_id"}, F.pmod("signal_id", F.lit(2))), "auc", "mean_1", "mean_0", to=5)
+
+
+def interpretable_features(spark, sf):
+    return A.interpretable_features(tones(spark, sf))
+
+
+def prosody_errors(spark, sf):
+    """Prosody of all pages, every tenth of which is no signal: its row says why."""
+    t = tones(spark, sf).withColumn("samples", F.when(F.col("signal_id") % 10 == 0, F.transform("samples", lambda x: F.lit(float("nan")))).otherwise(F.col("samples")))
+    return A.prosody_features(t, errors=True)
+
+
+def rule_hits(spark, sf):
+    """Terms of one and two tokens, as they stand or by their spelling, no token twice in a family."""
+    v = B.vocab(spark).unionByName(L.vocabulary(spark, TWO_WORDS))
+    canon = lambda w: X.canonical(w, {"der": "the"}, {"tin"})
+    return L.token_hits(B.turns(spark, sf).withColumn("low", X.lowered(F.col("tokens"))), v, ["call_id", "turn_index"], "low", canon)
+
+
+TWO_WORDS = [("urgency", "the und", 0.9), ("urgency", "and the", 0.8), ("threat", "of the", 0.7), ("threat", "the of", 0.6), ("authority", "in the", 0.5)]
+
+
+def mixed_pos_tags(spark, sf):
+    """Word classes with endings of verbs in one language, capitals by place, and what is no word."""
+    t = B.flat_tokens(B.turns(spark, sf))
+    tag = W.pos_tag(F.col("token"), W.CLOSED, {"bank": "NOUN"}, verb_ends="(er|en|ar)$", lang=B.lang(F.col("token")) == "xx", index=F.col("pos"))
+    return W.distribution(t.withColumn("tag", tag))
+
+
+def pos_ngrams(spark, sf):
+    """Pairs of word classes within turns."""
+    t = B.turns(spark, sf).select(F.transform("tokens", lambda w: W.pos_tag(w, W.CLOSED, {"bank": "NOUN"})).alias("tags"))
+    return t.select(F.explode(X.ngrams(F.col("tags"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def call_manifest(spark, sf):
+    """The generator's plan by split, voice, scenario and both of the first."""
+    return C.counts_by(G.plan(spark, 240, seed=11), [["split"], ["label_voice"], ["scenario"], ["split", "label_voice"]])
+
+
 def arousal_components(spark, sf):
     return A.arousal_components(tones(spark, sf))
 
@@ -308,13 +354,18 @@ def channel_statistics(spark, sf):
 QUERIES = {f.__name__: f for f in (
     mixing_by_class, entity_alignment, antispoof_grid, antispoof_table, intent_by_model, tagger_grid, top_spans, top_drivers, first_reasons, first_sentences, det_thinned, spectrum_thinned, intent_ladder, voice_ladder, anchored_arousal, channel_lift,
     paired_sets, pair_splits, borrowed_negatives, split_overlap, corpus_faults, entity_leaks, table_fingerprint, gazetteer_types, urgency_words, detokenized, difference_moments, call_features, event_props, sidecar_lookup, stem_fallback, corpus_measures,
-    fused_risk, boosted_voice, arousal_components, channel_statistics,
+    fused_risk, boosted_voice, arousal_components, channel_statistics, channel_audit, interpretable_features, prosody_errors, rule_hits, mixed_pos_tags, pos_ngrams, call_manifest,
 )}
 _CANON = "CASE WHEN lower(token) = 'der' THEN 'the' ELSE lower(token) END"
 _LOGIT = "1 / (1 + exp(-least(greatest({x}, -40), 40)))"
 _SENTENCES = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) >= 2)"
 _HUG = "list_contains(string_split(',.?!;:)]}%@', ''), w[i])"
+_CLOSED = " ".join(f"WHEN lower(token) IN {B.words(w)} THEN '{k}'" for k, w in W.CLOSED.items())
+_ENDS = " ".join(f"WHEN regexp_matches(lower(token), '{p}') THEN '{k}'" for p, k in W.SUFFIXES)
+_OPEN = "CASE WHEN NOT regexp_matches(token, '[A-Za-z0-9]') THEN 'PUNCT' WHEN regexp_matches(token, '^[0-9]') THEN 'NUM' " + _CLOSED + " WHEN lower(token) = 'bank' THEN 'NOUN' "
 ORACLES = {
+    "mixed_pos_tags": f"WITH {B.TAGGED_SQL}, t AS (SELECT {_OPEN} WHEN lang = 'xx' AND regexp_matches(lower(token), '(er|en|ar)$') THEN 'VERB' {_ENDS} WHEN pos > 0 AND regexp_matches(token, '^\\p{{Lu}}\\p{{Ll}}+$') THEN 'PROPN' WHEN regexp_matches(token, '^\\p{{Lu}}{{2,}}$') THEN 'PROPN' WHEN NOT regexp_matches(lower(token), '^\\p{{L}}+$') THEN 'X' ELSE 'NOUN' END AS tag FROM tagged) SELECT tag, coalesce(n, 0) AS n FROM (SELECT unnest({list(W.TAGS)}) AS tag) LEFT JOIN (SELECT tag, count(*) AS n FROM t GROUP BY 1) USING (tag)",
+    "pos_ngrams": f"WITH {B.TOKENS_SQL}, t AS (SELECT call_id, turn_index, pos, {_OPEN} {_ENDS} WHEN regexp_matches(token, '^[A-Z][a-z]') THEN 'PROPN' ELSE 'NOUN' END AS tag FROM tok), g AS (SELECT lag(tag) OVER (PARTITION BY call_id, turn_index ORDER BY pos) || '_' || tag AS gram FROM t) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY 1",
     "mixing_by_class": f"WITH {MIX_SQL}, t AS (SELECT call_id % 2 AS label, count(*) FILTER (lang <> 'univ') AS n, count(*) FILTER (lang = 'xx') AS b, count(*) FILTER (lang <> 'univ' AND {_ENTITY}) AS en, count(*) FILTER (lang = 'xx' AND {_ENTITY}) AS eb FROM tagged GROUP BY 1), c AS (SELECT call_id % 2 AS label, avg(cmi) AS cmi, sum(switch_points) AS s FROM mix GROUP BY 1) SELECT label::INT AS label, round(cmi, 4) AS cmi, round(CASE WHEN n > 0 THEN 100 * s / n ELSE 0 END, 4) AS switch_rate, round(CASE WHEN n > 0 THEN b / n ELSE 0 END, 4) AS second_ratio, round(CASE WHEN en > 0 THEN eb / en ELSE 0 END, 4) AS ent_lang_align, en AS n_entity_tokens FROM t JOIN c USING (label)",
     "entity_alignment": f"WITH {B.TAGGED_SQL}, t AS (SELECT call_id, count(*) FILTER (lang <> 'univ' AND {_ENTITY}) AS n, count(*) FILTER (lang = 'xx' AND {_ENTITY}) AS b FROM tagged GROUP BY 1) SELECT call_id, n AS ent_tokens, round(CASE WHEN n > 0 THEN b / n ELSE 0 END, 6) AS ent_lang_align FROM t",
     "antispoof_grid": f"WITH {_GRID} SELECT * FROM grid",

@@ -1,13 +1,16 @@
 """Live scoring: the prefix timeline as a stateful stream, a row for each turn as it comes.
 
 State is a handful of running sums for each call, so a turn costs the same however long its call is.
-Turns of a call are put in order within a micro-batch; across batches they are expected in order, as
-the batch timeline reads them. With a watermark, calls that stay silent for ``silence_ms`` are dropped
-from the state.
+Turns of a call are put in order within a micro-batch. Across batches they are expected in order, as
+the batch timeline reads them, unless they are to ``wait``: then a turn that comes before an earlier
+one is kept in the state until all turns from the first on are there. Calls that stay silent for
+``silence_ms`` are dropped from the state; what still waits then comes in the order it has.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "call_id long, turn_index long, intent double, slope double, peak double, resist double, risk double, band string, dt double, alert boolean"
-_STATE = "n double, sx double, sy double, sxy double, sxx double, peak double, top double, total double, scored double, pressed double, tokens double, resist double, others double, end double, alerted double"
-_NAMES = [part.split()[0] for part in _STATE.split(",")]
+_STATE = "n double, sx double, sy double, sxy double, sxx double, peak double, top double, total double, scored double, pressed double, tokens double, resist double, others double, end double, alerted double, waiting string"
+_NAMES = [part.split()[0] for part in _STATE.split(",")][:-1]
 
 
 def _advance(s: dict[str, float], t, threshold: float) -> tuple:
@@ -48,18 +51,31 @@ def _advance(s: dict[str, float], t, threshold: float) -> tuple:
     return t.call_id, t.turn_index, intent, slope, s["peak"], s["resist"] / s["others"] if s["others"] else 0.0, risk, band, dt, bool(alert)
 
 
-def live_timeline(turns: DataFrame, threshold: float = 0.65, silence_ms: int | None = None) -> DataFrame:
+def live_timeline(turns: DataFrame, threshold: float = 0.65, silence_ms: int | None = None, wait: bool = False, first: int = 0) -> DataFrame:
     """The rows of ``risk.prefix_timeline`` for a stream of turns with the same columns."""
     columns = OUTPUT.replace(",", "").split()[::2]
 
     def step(key, frames, state: GroupState):
+        *held, waiting = state.get if state.exists else (*[0.0] * len(_NAMES), "[]")
+        s = dict(zip(_NAMES, held, strict=True))
+        late = [] if state.hasTimedOut else list(frames)
+        kept = pd.DataFrame(json.loads(waiting))
+        turns_ = pd.concat([x for x in (kept, *late) if len(x)] or [kept])
+        turns_ = turns_.sort_values("turn_index", kind="stable") if len(turns_) else turns_
+        if wait and not state.hasTimedOut and len(turns_):
+            due = first + s["n"] + s["others"]  # a turn counts as one of either
+            ready = turns_.turn_index.to_numpy() == due + np.arange(len(turns_))
+            upto = len(ready) if ready.all() else int(np.argmin(ready))
+            turns_, kept = turns_[:upto], turns_[upto:]
+        else:
+            kept = turns_[:0]
+        rows = [_advance(s, t, threshold) for t in turns_.itertuples()]
         if state.hasTimedOut:
             state.remove()
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
             return
-        s = dict(zip(_NAMES, state.get, strict=True)) if state.exists else dict.fromkeys(_NAMES, 0.0)
-        turns_ = pd.concat(list(frames)).sort_values("turn_index")
-        rows = [_advance(s, t, threshold) for t in turns_.itertuples()]
-        state.update(tuple(float(s[n]) for n in _NAMES))
+        state.update((*(float(s[n]) for n in _NAMES), kept.to_json(orient="records")))
         if silence_ms:
             state.setTimeoutDuration(silence_ms)
         yield pd.DataFrame(rows, columns=columns)

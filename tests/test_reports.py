@@ -113,3 +113,55 @@ def test_uploads_without_text_and_stems_without_rows(spark):
     assert [(r.id, r.stem) for r in T.by_stem(rows, files).collect()] == [(7, "a")]
     assert sorted((r.id, r.stem) for r in T.by_stem(rows.limit(0), files).collect()) == [(None, "a"), (None, "b")]
     assert T.by_stem(rows.where("id > 100"), files.limit(0)).count() == 0
+
+
+def test_token_hits_use_no_token_twice(spark):
+    import random
+
+    from parlance.operators import lexicon as L
+
+    rng = random.Random(3)
+    terms = {"urgency": ["last chance", "chance now", "last", "now last chance"], "threat": ["chance", "now now"]}
+    vocab = L.vocabulary(spark, [(f, t, 1.0) for f, ts in terms.items() for t in ts])
+    texts = [[rng.choice(["last", "chance", "now", "nao", "x"]) for _ in range(rng.randint(0, 12))] for _ in range(60)]
+    canon = {"nao": "now"}
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, low array<string>")
+    got = {}
+    for r in L.token_hits(df, vocab, ["k"], "low", lambda w: F.when(w == "nao", "now").otherwise(w)).collect():
+        got.setdefault(r.k, set()).add((r.family, r.term, r.tok_start, r.tok_end))
+    for k, words in enumerate(texts):
+        spelt, want = [canon.get(w, w) for w in words], set()
+        for family, ts in terms.items():
+            used = set()
+            for term in sorted(ts, key=lambda t: (-len(t.split()), t)):
+                n = len(term.split())
+                for i in range(len(words) - n + 1):
+                    if spelt[i : i + n] == term.split() and not used & set(range(i, i + n)):
+                        used |= set(range(i, i + n))
+                        want.add((family, term, i, i + n))
+        assert got.get(k, set()) == want, words
+
+
+def test_signals_that_fail_say_why(spark):
+    rows = catalog.QUERIES["prosody_errors"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
+    assert all((r.error is None) == (r.f0_mean is not None) for r in rows)
+
+
+def test_voice_descriptions(spark):
+    got = catalog.QUERIES["interpretable_features"](spark, SF).collect()
+    assert len(got[0].asDict()) == 12 and all(np.isfinite(v) for r in got for v in r.asDict().values())
+    assert set(dsp.prosody(np.zeros(4000))) == set(A._PROSODY) and dsp.prosody(np.zeros(4000))["pause_ratio"] == 1.0
+    audit = {r.stat: r for r in catalog.QUERIES["channel_audit"](spark, SF).collect()}
+    assert len(audit) == 10 and all(0.5 <= r.auc <= 1 for r in audit.values())
+    manifest = catalog.QUERIES["call_manifest"](spark, SF).collect()
+    assert {r.set: sum(x.n for x in manifest if x.set == r.set) for r in manifest} == dict.fromkeys(("split", "label_voice", "scenario", "split+label_voice"), 240)
+
+
+def test_sparse_logistic_is_the_dense_one():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((80, 12)) * (rng.random((80, 12)) < 0.3)
+    y = (rng.random(80) < 0.4).astype(int)
+    row, column = np.nonzero(x)
+    dense, sparse = N.logistic_fit(x, y, 2.0, True), N.logistic_fit(N.Sparse(row, column, x[row, column], x.shape), y, 2.0, True)
+    assert np.allclose(dense[0], sparse[0], atol=1e-6) and abs(dense[1] - sparse[1]) < 1e-6

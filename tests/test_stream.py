@@ -41,3 +41,18 @@ def test_windows_and_sessions(spark, tmp_path):
     got = drained(live.windowed_counts(source), "w", "complete").agg(F.sum("n")).first()[0]
     assert got == events.count()
     assert live.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_turns_that_come_early_wait(spark, tmp_path):
+    columns = ["call_id", "turn_index", "speaker", "act", "rank", "score", "n_tokens", "n_pressed", "t_end"]
+    turns = Q.timeline_input(spark, SF).select(*columns).withColumn("turn_index", F.col("turn_index").cast("long")).cache()
+    first = turns.agg(F.min("turn_index")).first()[0]
+    parts = [F.col("turn_index") % 3 == k for k in (2, 0, 1)]  # most turns come before an earlier one
+    for part in parts:
+        turns.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
+    got = {(r.call_id, r.turn_index): r for r in drained(live.live_timeline(source, 0.38, wait=True, first=first), "patient").collect()}
+    want = risk.prefix_timeline(turns, 0.38).collect()
+    assert len(got) == len(want)
+    for r in want:
+        assert got[r.call_id, r.turn_index].risk == pytest.approx(r.risk, abs=1e-9) and got[r.call_id, r.turn_index].alert == r.alert
