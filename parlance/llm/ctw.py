@@ -43,7 +43,9 @@ HEAVY = 2.0**-22
 #: The end token's key among the words' hashes, which have 63 bits.
 END_KEY = (1 << 63) - 1
 _END = 0x0A
-_FLUSH = 1 << 22
+#: Distinct keys that a task holds, and entries that wait to be merged with them.
+_FLUSH = 3 << 20
+_WAITING = 1 << 20
 #: Grams whose subtrees are weighed at once.
 _RUN = 1 << 17
 
@@ -87,36 +89,58 @@ def grams(buffer: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Counts:
+    """Distinct keys, ascending, and their counts; what is added is merged into them some of it at a time."""
+
+    def __init__(self):
+        self.keys, self.n, self.waiting = np.zeros(0, U), np.zeros(0, np.int64), []
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((keys, n))
+        if sum(len(k) for k, _ in self.waiting) > _WAITING:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys, n = tb.counted(*(np.concatenate(x) for x in zip(*self.waiting, strict=True)))
+        self.waiting = []
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        self.n[at[known]] += n[known]
+        self.keys, self.n = np.insert(self.keys, at[~known], keys[~known]), np.insert(self.n, at[~known], n[~known])
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            self._merge()
+        out = self.keys, self.n
+        self.keys, self.n = np.zeros(0, U), np.zeros(0, np.int64)
+        return out
+
+
 def corpus_counts(docs: DataFrame, text: str, learnt: Column | None = None) -> DataFrame:
     """(kind, key, n, m), staged: exact counts of words (kind 0) and grams (kind 1) of the rows for which
     ``learnt`` holds (n; all rows by default), and of the other rows' grams (m)."""
 
     def count(batches):
-        held: list[list] = [[], []]  # by kind, runs of (key, learnt or not, n)
-
-        def packed(kind):
-            keys, weights = (np.concatenate(x) for x in zip(*held[kind], strict=True))
-            held[kind] = [tb.counted(keys, weights)]
-            return held[kind][0]
+        held = [_Counts(), _Counts()]  # by kind
 
         def flush(kind):
-            if held[kind]:
-                keys, weights = packed(kind)
-                held[kind] = []
-                for a in range(0, len(keys), 1 << 16):
-                    k, w = keys[a : a + (1 << 16)], weights[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(w >> 32), pa.array(w & 0xFFFFFFFF)], names=["kind", "key", "n", "m"])
+            keys, weights = held[kind].taken()
+            for a in range(0, len(keys), 1 << 16):
+                k, w = keys[a : a + (1 << 16)], weights[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(w >> 32), pa.array(w & 0xFFFFFFFF)], names=["kind", "key", "n", "m"])
 
         for block in tb.blocks(batches, "text", 1 << 19):
             buffer, at, scored, hashes, doc = canonical(*tb.utf8(block.column(0)))
             mine = block.column(1).to_numpy(zero_copy_only=False)
             keys, n = tb.counted(hashes[mine[doc]])
-            keys, n = (np.append(keys, U(END_KEY)), np.append(n, mine.sum())) if mine.any() else (keys, n)
-            held[0].append((keys, n << 32))
+            held[0].add(keys, n << 32)
+            if mine.any():
+                held[0].add(np.array([END_KEY], U), np.array([int(mine.sum()) << 32]))
             # both counts of a gram in one number: a task sees fewer than 2**31 bytes between flushes
-            held[1].append(tb.counted(grams(buffer)[scored], np.where(mine[at[scored]], 1 << 32, 1)))
+            held[1].add(*tb.counted(grams(buffer)[scored], np.where(mine[at[scored]], 1 << 32, 1)))
             for kind in (0, 1):
-                if sum(len(x) for x, _ in held[kind]) > _FLUSH and len(packed(kind)[0]) > _FLUSH // 2:
+                if len(held[kind].keys) > _FLUSH:
                     yield from flush(kind)
         for kind in (0, 1):
             yield from flush(kind)
@@ -126,7 +150,8 @@ def corpus_counts(docs: DataFrame, text: str, learnt: Column | None = None) -> D
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(math.ceil(size / TASK_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
     raw = slim.coalesce(tasks).mapInArrow(count, "kind byte, key long, n long, m long")
-    return stage(raw.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
+    # a task's rows are distinct already, so they are dealt before Spark sums them
+    return stage(raw.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "counts")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
