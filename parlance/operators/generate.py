@@ -7,14 +7,18 @@ grammar is data: arcs of acts by class, templates by act, slots with typed value
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
-from ..schema import CALL
-from .corpus import assign_splits, largest_remainder
+from ..schema import ACTS, CALL, ENTITY_TYPES
+from ..sources.transcripts import write_calls
+from .corpus import assign_splits, counts_by, largest_remainder
 
 TOPICS = ("bank", "parcel", "power", "phone", "tax")
 ARCS = {
@@ -31,6 +35,34 @@ SLOTS = {
 }
 
 
+class Grammar(NamedTuple):
+    """What calls are made of: arcs of (speaker, act) by class, templates by act, slots (type, values)."""
+
+    arcs: dict = ARCS
+    templates: dict = TEMPLATES
+    slots: dict = SLOTS
+
+    def fingerprint(self) -> str:
+        """A digest of all that the grammar says, whatever the order in which it is written."""
+        held = {"arcs": self.arcs, "templates": self.templates, "slots": self.slots}
+        return hashlib.sha256(json.dumps(held, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+
+    def faults(self) -> list[str]:
+        """What would make a call fail or tell on itself: acts without templates, slots without values,
+        acts that no rank knows, and a slot's value written out in a template."""
+        used = {act for arc in self.arcs.values() for _, act in arc}
+        named = {(a, s) for a, ts in self.templates.items() for t in ts for s in re.findall(r"\{(\w+)\}", t)}
+        out = [f"no template: {a}" for a in sorted(used - {a for a, t in self.templates.items() if t})]
+        out += [f"unknown act: {a}" for a in sorted(used - set(ACTS))]
+        out += [f"no slot: {a} {s}" for a, s in sorted(named) if not self.slots.get(s, ("", ()))[1]]
+        out += [f"unknown type: {s}" for s, (kind, _) in sorted(self.slots.items()) if kind not in ENTITY_TYPES]
+        out += [f"leak: {a} {v}" for a, ts in sorted(self.templates.items()) for t in ts for _, vs in self.slots.values() for v in vs if re.search(rf"\b{re.escape(v)}\b", t)]
+        return out
+
+
+DEFAULT = Grammar()
+
+
 def plan(spark: SparkSession, n: int, seed: int, speakers: int = 24, proportions: tuple[tuple[str, float], ...] = (("train", 0.5), ("dev", 0.25), ("test", 0.25)), unpaired: float = 0.25) -> DataFrame:
     """(call_id, label_scam, topic, split, label_voice, speaker_id, style): topics in turn, classes paired
     by topic but for the ``unpaired`` share, voices independent of classes, a speaker in one split."""
@@ -55,32 +87,30 @@ def _pick(options, *key):
     return options[int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:8], 16) % len(options)]
 
 
-def render(template: str, *key) -> tuple[list[str], list[str]]:
+def render(template: str, *key, grammar: Grammar = DEFAULT) -> tuple[list[str], list[str]]:
     """Tokens and their tags by construction: a slot's words are one span of its type."""
-    import re
-
     tokens, bio = [], []
     for part in re.split(r"(\{\w+\})", template):
-        slot = SLOTS.get(part[1:-1]) if part[:1] == "{" else None
+        slot = grammar.slots.get(part[1:-1]) if part[:1] == "{" else None
         words = re.findall(TOKEN, _pick(slot[1], *key, part) if slot else part)
         tokens += words
         bio += [("B-" if k == 0 else "I-") + slot[0] for k in range(len(words))] if slot else ["O"] * len(words)
     return tokens, bio
 
 
-def call_turns(call_id: str, label: int, seed: int, style: str = "plain") -> list[dict]:
+def call_turns(call_id: str, label: int, seed: int, style: str = "plain", grammar: Grammar = DEFAULT) -> list[dict]:
     turns, clock = [], 0.0
-    for k, (speaker, act) in enumerate(ARCS[label]):
+    for k, (speaker, act) in enumerate(grammar.arcs[label]):
         if style == "mild" and act == "PRESSURE_ESCALATE":
             continue
-        tokens, bio = render(_pick(TEMPLATES[act], seed, call_id, k), seed, call_id)  # a call keeps its slots
+        tokens, bio = render(_pick(grammar.templates[act], seed, call_id, k), seed, call_id, grammar=grammar)  # a call keeps its slots
         end = clock + max(0.7, len(tokens) / 2.6)
         turns.append({"index": len(turns), "speaker": speaker, "text": " ".join(tokens), "act": act, "tokens": tokens, "bio": bio, "lang": ["en"] * len(tokens), "t_start": round(clock, 3), "t_end": round(end, 3)})
         clock = end + 0.25
     return turns
 
 
-def generate(planned: DataFrame) -> DataFrame:
+def generate(planned: DataFrame, grammar: Grammar = DEFAULT) -> DataFrame:
     """Whole calls of plan rows."""
     names = [f.name for f in CALL.fields]
 
@@ -89,9 +119,23 @@ def generate(planned: DataFrame) -> DataFrame:
             rows = []
             for r in pdf.itertuples():
                 rows.append({
-                    "call_id": r.call_id, "turns": call_turns(r.call_id, int(r.label_scam), int(r.seed), r.style), "label_scam": r.label_scam, "label_voice": r.label_voice, "scenario": r.scenario, "speaker_id": r.speaker_id,
+                    "call_id": r.call_id, "turns": call_turns(r.call_id, int(r.label_scam), int(r.seed), r.style, grammar), "label_scam": r.label_scam, "label_voice": r.label_voice, "scenario": r.scenario, "speaker_id": r.speaker_id,
                     "split": r.split, "audio_path": None, "sample_rate": 8000, "channel": "clean", "audio_source": "none", "meta": {"style": r.style, "topic": r.topic}, "schema_version": "1.0",
                 })
             yield pd.DataFrame(rows, columns=names)
 
     return planned.mapInPandas(run, CALL)
+
+
+def generate_one(spark: SparkSession, call_id: str, label: int, seed: int, topic: str = TOPICS[0], style: str = "plain", grammar: Grammar = DEFAULT) -> DataFrame:
+    """A single call outside all splits, as a plan row would make it."""
+    row = spark.createDataFrame([(call_id, label, topic, f"{topic}_{'scam' if label else 'benign'}", "none", "human", "none", style, seed)], "call_id string, label_scam int, topic string, scenario string, split string, label_voice string, speaker_id string, style string, seed long")
+    return generate(row, grammar)
+
+
+def write_corpus(calls: DataFrame, path: str, grammar: Grammar = DEFAULT) -> None:
+    """The calls as JSON by split, in place of what was there, and beside them a manifest: how many of each
+    split, voice and scenario, and the grammar's digest."""
+    write_calls(calls, f"{path}/calls")
+    counts = counts_by(calls, [["split"], ["label_voice"], ["scenario"], ["split", "label_voice"]])
+    counts.withColumn("grammar", F.lit(grammar.fingerprint())).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")

@@ -20,6 +20,14 @@ def two(name: str) -> Column:
     return F.floor(F.col(name) * 100 + 0.5) / 100
 
 
+def evidence(hits: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tok_start, tok_end, type, text, weight, source): what a reader is shown of a turn, the words
+    that press and the entities, each with where it stands."""
+    pressed = hits.select(*keys, "tok_start", "tok_end", F.col("family").alias("type"), F.col("term").alias("text"), "weight", F.lit("lexicon").alias("source"))
+    named = entities.select(*keys, "tok_start", "tok_end", "type", F.col("token").alias("text"), F.lit(0.0).alias("weight"), F.lit("entity").alias("source"))
+    return pressed.unionByName(named)
+
+
 def write_reasons(df: DataFrame) -> DataFrame:
     """Adds ``reasons``: an array of sentences, in a fixed order.
 

@@ -63,6 +63,18 @@ def fallback_risk(f: dict[str, Column] | None = None) -> Column:
     return clip(0.30 * get("intent_score") + 0.22 * get("as_score") + 0.20 * get("pim") + 0.14 * pressed + 0.14 * climb, 0.0, 1.0)
 
 
+def fallback_contributions(features: DataFrame, key: str, f: dict[str, Column]) -> DataFrame:
+    """(key, feature, contribution): what each of the untrained risk's five terms adds, largest first."""
+    get = lambda n: finite(f[n]) if n in f else F.lit(0.0)
+    terms = {
+        "intent_score": 0.30 * get("intent_score"), "as_score": 0.22 * get("as_score"), "pim": 0.20 * get("pim"),
+        "entities": 0.14 * clip((get("ent_otp") + get("ent_personal") + get("ent_authority") + get("ent_threat")) / 6.0, 0.0, 1.0), "coercion_slope": 0.14 * clip(2.0 * get("coercion_slope"), 0.0, 1.0),
+    }
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), c.cast("double").alias("contribution")) for n, c in terms.items()])
+    ranked = F.array_sort(cells, lambda a, b: F.when(F.abs(a["contribution"]) > F.abs(b["contribution"]), -1).when(F.abs(a["contribution"]) < F.abs(b["contribution"]), 1).when(a["feature"] < b["feature"], -1).otherwise(1))
+    return features.select(key, F.posexplode(ranked).alias("place", "x")).select(key, (F.col("place") + 1).alias("place"), "x.feature", "x.contribution")
+
+
 def running_slope(w, x: Column, y: Column) -> Column:
     """The least-squares slope up to each row, from running sums; null points do not count."""
     x = F.when(y.isNotNull(), x)

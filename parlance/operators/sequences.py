@@ -109,6 +109,13 @@ def timings(turns: DataFrame, n_tokens: str, key: str = "call_id", rate: float =
     return turns.withColumn("t_end", end).withColumn("t_start", F.col("t_end") - length)
 
 
+def laid_out(parts: DataFrame, key: str, order: list[str], seconds: str, gap: float = 0.25) -> DataFrame:
+    """Adds (t_start, t_end) of parts that follow each other with a gap between them."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(seconds).over(w) + gap * (F.count("*").over(w) - 1)
+    return parts.withColumn("t_end", end).withColumn("t_start", F.col("t_end") - F.col(seconds))
+
+
 def delta_regression(frames: DataFrame, key: str, pos: str, value: str, reach: int = 2) -> DataFrame:
     """Adds ``delta``: the regression slope over ``reach`` frames to either side, edges replicated."""
     w = Window.partitionBy(key).orderBy(pos)

@@ -58,6 +58,7 @@ def degraded(spark, sf):
 
 QUERIES = {"frame_levels": frame_levels, "snr": snr, "spectral_features": spectral_features, "cepstra": cepstra, "utterance_vectors": utterance_vectors, "prosody": prosody, "speech_segments": speech_segments, "degraded": degraded}
 ORACLES = {
+    "degraded": f"SELECT page_id AS signal_id, true AS real_codec, {_N} AS n FROM pages",
     "frame_levels": f"WITH {TONES_SQL}, f AS (SELECT signal_id, k AS frame, x, t, lag(x) OVER (PARTITION BY signal_id, k ORDER BY t) AS y FROM tones, range(13) r(k) WHERE t >= 80 * k AND t < 80 * k + 200) SELECT signal_id, frame::INT AS frame, round(sum(x * x), 5) AS energy, round(20 * log10(greatest(sqrt(avg(x * x)), 1e-5)), 5) AS rms_db, round(avg(((x >= 0) <> (y >= 0))::INT), 5) AS zcr FROM f GROUP BY ALL",
     "snr": f"WITH {TONES_SQL} SELECT signal_id, round(10 * log10(greatest(sum(x * x), 1e-12) / greatest(sum(0.01 * 0.01), 1e-12)), 5) AS snr_db FROM tones GROUP BY 1",
 }

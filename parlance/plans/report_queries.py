@@ -12,6 +12,7 @@ from ..operators import lexicon as L
 from ..operators import metrics as M
 from ..operators import modelling as D
 from ..operators import pos as W
+from ..operators import reasons as E
 from ..operators import reports as P
 from ..operators import risk as R
 from ..operators import sequences as S
@@ -343,6 +344,30 @@ def call_manifest(spark, sf):
     return C.counts_by(G.plan(spark, 240, seed=11), [["split"], ["label_voice"], ["scenario"], ["split", "label_voice"]])
 
 
+def evidence_spans(spark, sf):
+    """What a reader is shown of each turn: pressing words and entities."""
+    hits = L.token_hits(B.turns(spark, sf).withColumn("low", X.lowered(F.col("tokens"))), B.vocab(spark), ["call_id", "turn_index"])
+    return E.evidence(hits, B.entity_spans(spark, sf), ["call_id", "turn_index"])
+
+
+def risk_drivers(spark, sf):
+    """What each term of the untrained risk adds."""
+    m = measured(spark, sf)
+    return B.rounded(R.fallback_contributions(m, "vec_id", {"intent_score": F.col("jitter"), "as_score": F.col("shimmer"), "ent_otp": F.col("hnr"), "coercion_slope": F.col("spk_consistency") - 0.01}), "contribution")
+
+
+def concat_timings(spark, sf):
+    """Pages laid one behind the other, five rows of them, with a gap."""
+    p = B.load(spark, sf, "pages").select("page_id", F.pmod("page_id", F.lit(5)).alias("tape"), (F.length("html") / 100.0).alias("seconds"))
+    return B.rounded(S.laid_out(p, "tape", ["page_id"], "seconds").drop("seconds"), "t_start", "t_end", to=4)
+
+
+def top_terms(spark, sf):
+    """The words that speak most for and against toxic documents."""
+    rows = B.load(spark, sf, "documents").select("doc_id", "text").join(B.load(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    return B.rounded(D.top_terms(rows, D.train_intent(rows, "text", "label", "doc_id", sample=400)), "weight")
+
+
 def arousal_components(spark, sf):
     return A.arousal_components(tones(spark, sf))
 
@@ -354,7 +379,7 @@ def channel_statistics(spark, sf):
 QUERIES = {f.__name__: f for f in (
     mixing_by_class, entity_alignment, antispoof_grid, antispoof_table, intent_by_model, tagger_grid, top_spans, top_drivers, first_reasons, first_sentences, det_thinned, spectrum_thinned, intent_ladder, voice_ladder, anchored_arousal, channel_lift,
     paired_sets, pair_splits, borrowed_negatives, split_overlap, corpus_faults, entity_leaks, table_fingerprint, gazetteer_types, urgency_words, detokenized, difference_moments, call_features, event_props, sidecar_lookup, stem_fallback, corpus_measures,
-    fused_risk, boosted_voice, arousal_components, channel_statistics, channel_audit, interpretable_features, prosody_errors, rule_hits, mixed_pos_tags, pos_ngrams, call_manifest,
+    fused_risk, boosted_voice, arousal_components, channel_statistics, channel_audit, interpretable_features, prosody_errors, rule_hits, mixed_pos_tags, pos_ngrams, call_manifest, evidence_spans, risk_drivers, concat_timings, top_terms,
 )}
 _CANON = "CASE WHEN lower(token) = 'der' THEN 'the' ELSE lower(token) END"
 _LOGIT = "1 / (1 + exp(-least(greatest({x}, -40), 40)))"
@@ -364,6 +389,9 @@ _CLOSED = " ".join(f"WHEN lower(token) IN {B.words(w)} THEN '{k}'" for k, w in W
 _ENDS = " ".join(f"WHEN regexp_matches(lower(token), '{p}') THEN '{k}'" for p, k in W.SUFFIXES)
 _OPEN = "CASE WHEN NOT regexp_matches(token, '[A-Za-z0-9]') THEN 'PUNCT' WHEN regexp_matches(token, '^[0-9]') THEN 'NUM' " + _CLOSED + " WHEN lower(token) = 'bank' THEN 'NOUN' "
 ORACLES = {
+    "evidence_spans": f"WITH {B.SPANS_SQL}, {B.VOCAB_SQL} SELECT call_id, turn_index, pos::INT AS tok_start, (pos + 1)::INT AS tok_end, family AS type, term AS text, weight, 'lexicon' AS source FROM tok JOIN vocab ON lower(token) = term UNION ALL SELECT call_id, turn_index, tok_start::INT, tok_end::INT, type, token, 0.0, 'entity' FROM spans",
+    "risk_drivers": f"WITH {MEASURED_SQL}, c AS (SELECT vec_id, unnest(['intent_score', 'as_score', 'pim', 'entities', 'coercion_slope']) AS feature, unnest([0.30 * coalesce(jitter, 0), 0.22 * shimmer, 0.0, 0.14 * least(greatest(hnr / 6.0, 0), 1), 0.14 * least(greatest(2.0 * (spk_consistency - 0.01), 0), 1)]) AS contribution FROM m) SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY abs(contribution) DESC, feature)::INT AS place, feature, round(contribution, 6) AS contribution FROM c",
+    "concat_timings": "WITH p AS (SELECT page_id, page_id % 5 AS tape, length(html) / 100.0 AS s FROM pages), e AS (SELECT page_id, tape, s, sum(s) OVER w + 0.25 * (count(*) OVER w - 1) AS t_end FROM p WINDOW w AS (PARTITION BY tape ORDER BY page_id)) SELECT page_id, tape, round(t_end - s, 4)::DOUBLE AS t_start, round(t_end, 4)::DOUBLE AS t_end FROM e",
     "mixed_pos_tags": f"WITH {B.TAGGED_SQL}, t AS (SELECT {_OPEN} WHEN lang = 'xx' AND regexp_matches(lower(token), '(er|en|ar)$') THEN 'VERB' {_ENDS} WHEN pos > 0 AND regexp_matches(token, '^\\p{{Lu}}\\p{{Ll}}+$') THEN 'PROPN' WHEN regexp_matches(token, '^\\p{{Lu}}{{2,}}$') THEN 'PROPN' WHEN NOT regexp_matches(lower(token), '^\\p{{L}}+$') THEN 'X' ELSE 'NOUN' END AS tag FROM tagged) SELECT tag, coalesce(n, 0) AS n FROM (SELECT unnest({list(W.TAGS)}) AS tag) LEFT JOIN (SELECT tag, count(*) AS n FROM t GROUP BY 1) USING (tag)",
     "pos_ngrams": f"WITH {B.TOKENS_SQL}, t AS (SELECT call_id, turn_index, pos, {_OPEN} {_ENDS} WHEN regexp_matches(token, '^[A-Z][a-z]') THEN 'PROPN' ELSE 'NOUN' END AS tag FROM tok), g AS (SELECT lag(tag) OVER (PARTITION BY call_id, turn_index ORDER BY pos) || '_' || tag AS gram FROM t) SELECT gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY 1",
     "mixing_by_class": f"WITH {MIX_SQL}, t AS (SELECT call_id % 2 AS label, count(*) FILTER (lang <> 'univ') AS n, count(*) FILTER (lang = 'xx') AS b, count(*) FILTER (lang <> 'univ' AND {_ENTITY}) AS en, count(*) FILTER (lang = 'xx' AND {_ENTITY}) AS eb FROM tagged GROUP BY 1), c AS (SELECT call_id % 2 AS label, avg(cmi) AS cmi, sum(switch_points) AS s FROM mix GROUP BY 1) SELECT label::INT AS label, round(cmi, 4) AS cmi, round(CASE WHEN n > 0 THEN 100 * s / n ELSE 0 END, 4) AS switch_rate, round(CASE WHEN n > 0 THEN b / n ELSE 0 END, 4) AS second_ratio, round(CASE WHEN en > 0 THEN eb / en ELSE 0 END, 4) AS ent_lang_align, en AS n_entity_tokens FROM t JOIN c USING (label)",

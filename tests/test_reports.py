@@ -165,3 +165,15 @@ def test_sparse_logistic_is_the_dense_one():
     row, column = np.nonzero(x)
     dense, sparse = N.logistic_fit(x, y, 2.0, True), N.logistic_fit(N.Sparse(row, column, x[row, column], x.shape), y, 2.0, True)
     assert np.allclose(dense[0], sparse[0], atol=1e-6) and abs(dense[1] - sparse[1]) < 1e-6
+
+
+def test_largest_weights_have_names(spark):
+    rows = [(k, "pay the code now" if k % 2 else "what a lovely day", k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, text string, y int")
+    model = D.train_intent(df, "text", "y", "k", sample=60)
+    top = {(r.side, r.term) for r in D.top_terms(df, model, k=3).collect()}
+    assert len(top) == 6 and {t for s, t in top if s == 1} <= {"pay", "the", "code", "now"} and {t for s, t in top if s == 0} <= {"what", "lovely", "day"}
+    t = spark.createDataFrame([(["say", "the", "code"],)], "tokens array<string>")
+    crf = N.ChainCRF(["O", "B-X", "I-X"], D.SIZE).fit([D.token_features(["say", "the", "code"])], [["O", "O", "B-X"]], 20)
+    got = D.top_weights(t, crf, k=4).collect()
+    assert len(got) == 4 and ("wcode", "B-X") in {(r.feature, r.label) for r in got} and abs(got[0].weight) >= abs(got[-1].weight)
