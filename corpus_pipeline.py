@@ -74,5 +74,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        docs = stage(apply(spark, docs, sf_dir), name, instead_of=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
