@@ -35,4 +35,4 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             return now.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
         seen = mark
-        now = stage(_small(_large(now)), "edges")
+        now = stage(_small(_large(now)), "edges", instead_of=now)

@@ -80,7 +80,7 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
         # no bucket crosses a budget that rounding puts above the whole: then all is taken
         below = F.when(F.col("left") <= 0, F.col("below")).when(F.col("bucket").isNull(), F.lit(1 << 60)).otherwise(edge)
         left = F.when(F.col("left") <= 0, F.col("left")).when(F.col("bucket").isNull(), F.lit(0.0)).otherwise(F.col("left") - F.col("before"))
-        now = stage(joined.select("source", "source_size", "target", "copies", left.alias("left"), below.alias("below")), "goals")
+        now = stage(joined.select("source", "source_size", "target", "copies", left.alias("left"), below.alias("below")), "goals", instead_of=now)
     return now.select("source", "source_size", "target", "copies", "below")
 
 
