@@ -11,9 +11,9 @@ task before they are shuffled. Every context seen ``LEAST`` times or more is a n
 every size of the corpus; the rest of its parent's occurrences form one further leaf. So the tree
 grows with the corpus and lies nowhere whole: its first ``TOP`` depths, which the bytes' alphabet
 bounds, are weighed on the driver, and the subtrees below them where their grams are dealt. Each
-distinct gram of the documents is scored there once. Words and grams that make up ``HEAVY`` of all
-or more (1 / HEAVY at most) are broadcast with their counts or scores, all other (row, word) and
-(row, gram) pairs meet theirs in a shuffled join.
+distinct gram of the documents is scored there once. The most frequent grams and words, up to
+``HELD_GRAMS`` and ``HELD_WORDS``, are broadcast with their scores or counts, all other (row, word)
+and (row, gram) pairs meet theirs in a shuffled join.
 
 Defined cases: a null text is empty, one end token; a null id belongs to the training side; without
 training rows counts are 0, the tree is empty and every bit has probability 1/2.
@@ -39,7 +39,8 @@ TOP = 2
 LEAST = 2
 #: Bytes of text that a task counts at least, where there are more tasks than cores.
 TASK_BYTES = 64 << 20
-HEAVY = 2.0**-22
+#: Grams and words, the most frequent ones, whose scores and counts are broadcast: so many at most.
+HELD_GRAMS, HELD_WORDS = 3 << 20, 1 << 20
 #: The end token's key among the words' hashes, which have 63 bits.
 END_KEY = (1 << 63) - 1
 _END = 0x0A
@@ -385,6 +386,19 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     return stage(dealt.mapInArrow(scored, "key long, n long, log double"), "scores")
 
 
+def most_frequent(counted: DataFrame, most: int) -> Column:
+    """The condition on ``n`` that as many rows as possible, but no more than ``most``, meet: from some
+    eighth of a doubling on."""
+    eighth = F.floor(F.log2(F.greatest("n", F.lit(1))) * 8)
+    held, least = 0, None
+    for r in sorted(counted.groupBy(eighth.alias("b")).count().collect(), reverse=True):  # a row for each eighth
+        held += r["count"]
+        if held > most:
+            break
+        least = r["b"]
+    return F.lit(False) if least is None else eighth >= least
+
+
 def score(docs: DataFrame, learnt: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every
     row; the model learns from the rows for which ``learnt`` holds."""
@@ -392,9 +406,9 @@ def score(docs: DataFrame, learnt: Column, *, doc_id: str = "doc_id", text: str
     counts = corpus_counts(docs, text, learnt)
     words = counts.where("kind = 0").select("key", "n")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = (F.col("n") > HEAVY * total) | (F.col("key") == END_KEY)
+    frequent = F.coalesce(most_frequent(words, HELD_WORDS) | (F.col("key") == END_KEY), F.lit(False))
     scores = gram_scores(counts)
-    common = F.col("n") > HEAVY * (scores.agg(F.sum("n")).first()[0] or 0)
+    common = F.coalesce(most_frequent(scores, HELD_GRAMS), F.lit(False))
     t = scores.where(common).select("key", "log").toArrow()
     heavy = t["key"].to_numpy().view(U), t["log"].to_numpy()
     model = spark.sparkContext.broadcast((heavy, _arrays(words.where(frequent).select("key", "n"))))

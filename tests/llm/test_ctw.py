@@ -80,8 +80,9 @@ def test_probabilities_against_the_definition(tree):
 
 def test_scores_and_base_against_brute_force(spark, docs, monkeypatch):
     rows = docs.collect()
-    for heavy in (2.0**-21, 0.004):  # with the second most words take the shuffled join
-        monkeypatch.setattr(ctw, "HEAVY", heavy)
+    for grams, words in ((3 << 20, 1 << 20), (900, 6), (0, 0)):  # with less held, more take the shuffled join
+        monkeypatch.setattr(ctw, "HELD_GRAMS", grams)
+        monkeypatch.setattr(ctw, "HELD_WORDS", words)
         got = {r.doc_id: r for r in ctw.score(docs, ~fold_is("doc_id", 3, 1)).collect()}
         learnt = [r.text for r in rows if got[r.doc_id].learnt]
         assert 0 < len(learnt) < len(rows) == len(got)
@@ -125,3 +126,11 @@ def test_subtrees_give_the_whole_tree_s_scores(spark, docs, monkeypatch):
     got = ctw.gram_scores(ctw.corpus_counts(docs, "text", learnt)).collect()
     assert len(got) == len({r.key for r in got}) == len({key_of(c, b) for c, b in seen_bytes(r.text for r in docs.collect())})
     assert [r.log for r in got] == pytest.approx(tree.log10(np.array([r.key for r in got], np.uint64)).tolist(), rel=1e-5, abs=1e-6)
+
+
+def test_most_frequent_holds_no_more_than_asked(spark):
+    df = spark.createDataFrame([(n,) for n in (1, 1, 1, 2, 3, 3, 9, 500)], "n long")
+    for most in range(10):
+        got = [r.n for r in df.where(ctw.most_frequent(df, most)).collect()]
+        assert len(got) <= most and (not got or min(got) > max([n for n in (1, 2, 3, 9, 500) if n not in got], default=0))
+    assert df.where(ctw.most_frequent(df, 8)).count() == 8
