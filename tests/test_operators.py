@@ -96,7 +96,7 @@ def test_transcripts(spark, tmp_path):
     t = spark.createDataFrame([(1, "Caller: hello there\n\n Victim: no\nnote: plain\nAgent:ok then", 10.0), (2, "", 1.0)], "k int, t string, s double")
     got = sorted((r.k, r.turn_index, r.speaker, r.text, round(r.t_start, 3), round(r.t_end, 3)) for r in T.manual_turns(t, "k", "t").collect())
     assert got == [(1, 0, "caller", "hello there", 0.0, 1.6), (1, 1, "callee", "no", 1.9, 3.2), (1, 2, "caller", "note: plain", 3.5, 5.4), (1, 3, "caller", "ok then", 5.7, 7.3)]
-    assert [round(r.t_end, 3) for r in T.manual_turns(t, "k", "t", seconds="s").orderBy("turn_index").collect()] == [2.5, 5.0, 7.5, 10.0]
+    assert [(r.k, round(r.t_end, 3)) for r in T.manual_turns(t, "k", "t", seconds="s").orderBy("k", "turn_index").collect()] == [(1, 2.5), (1, 5.0), (1, 7.5), (1, 10.0), (2, 1.0)]
     (tmp_path / "k").mkdir()
     (tmp_path / "k" / "text").write_text("u1 first words\nu2\tother words\nbad\n\nu1 last words\n")
     assert sorted(map(tuple, T.read_kaldi(spark, f"{tmp_path}/k").collect())) == [("u1", "last words"), ("u2", "other words")]
