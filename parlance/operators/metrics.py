@@ -45,7 +45,7 @@ def det_curve(df: DataFrame, group: list[str], score: str = "score", label: str
     counts = _by_score(df, group, score, label)
     summed = running(counts, group, {"tp": "p", "fp": "n"}, falling=True)
     curve = summed.select(*group, F.col("score").alias("threshold"), F.try_divide("fp", "fp_all").alias("fpr"), (1 - F.try_divide("tp", "tp_all")).alias("fnr"))
-    seed = counts.select(*group).distinct().select(*group, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(1.0).alias("fnr"))
+    seed = df.select(*group).distinct().select(*group, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(1.0).alias("fnr"))
     return curve.unionByName(seed)
 
 
