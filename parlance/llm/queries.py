@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontaminate, fingerprint, langid, mixing, records, repeats, ring, simhash, toxicity
+from . import ctw, decontaminate, fingerprint, langid, mixing, records, repeats, ring, search, simhash, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_shard": ring.op8,
     "op9_simhash": simhash.op9,
     "op10_token_lengths": records.op10,
+    "op11_search": search.op11,
     "op12_periodic_runs": repeats.op12,
 }
 
-ORACLES: dict[str, str] = {"op1_mix": mixing.OP1_SQL, "op12_periodic_runs": repeats.OP12_SQL}
+ORACLES: dict[str, str] = {"op1_mix": mixing.OP1_SQL, "op11_search": search.OP11_SQL, "op12_periodic_runs": repeats.OP12_SQL}

@@ -30,6 +30,9 @@ def test_one_row_for_each(spark, folder, name):
     if name.startswith("op10"):
         assert sum(r.n_docs for r in rows) == len(ROWS)
         return
+    if name.startswith("op11"):  # the best documents of each item
+        assert sorted((r.item_id is None, r["rank"], r.doc_id) for r in rows) == [(False, 1, 1), (False, 2, 1), (True, 1, 7)]
+        return
     assert len(rows) == len(ROWS)
     assert sorted(str(r.doc_id) for r in rows) == sorted(str(r[0]) for r in ROWS)
 
