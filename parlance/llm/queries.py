@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ctw, decontaminate, fingerprint, langid, mixing, records, repeats, ring, search, simhash, toxicity
+from . import ctw, decontaminate, fingerprint, jaccard, langid, mixing, records, repeats, ring, search, simhash, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_lengths": records.op10,
     "op11_search": search.op11,
     "op12_periodic_runs": repeats.op12,
+    "op13_jaccard_join": jaccard.op13,
 }
 
-ORACLES: dict[str, str] = {"op1_mix": mixing.OP1_SQL, "op11_search": search.OP11_SQL, "op12_periodic_runs": repeats.OP12_SQL}
+ORACLES: dict[str, str] = {"op1_mix": mixing.OP1_SQL, "op11_search": search.OP11_SQL, "op12_periodic_runs": repeats.OP12_SQL, "op13_jaccard_join": jaccard.OP13_SQL}
