@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import with_percentiles
+
 
 def counts_by(df: DataFrame, sets: list[list[str]]) -> DataFrame:
     """Counts by several groupings in one pass: (grouping columns as text, absent ones null, set, n).
@@ -77,8 +79,9 @@ def search(df: DataFrame, needle: str, columns: list[str], order: list[str], lim
 def anchors(turns: DataFrame, value: str, label: str, least: int = 30, tolerance: float = 0.05) -> DataFrame:
     """(p10, p90, low, high, gap, status) of a trace over all turns of two classes: the medians' gap over
     the span; ok, flat or wrong; too few turns: ``few``."""
-    p = lambda q, c=None: F.expr(f"percentile({value if c is None else c}, {q})")
-    a = turns.agg(F.count(value).alias("n"), p(0.1).alias("p10"), p(0.9).alias("p90"), p(0.5, f"CASE WHEN {label} = 0 THEN {value} END").alias("low"), p(0.5, f"CASE WHEN {label} = 1 THEN {value} END").alias("high"))
+    own = turns.select(F.col(value).alias("v"), F.when(F.col(label) == 0, F.col(value)).alias("v0"), F.when(F.col(label) == 1, F.col(value)).alias("v1"))
+    a = with_percentiles(own.agg(F.count("v").alias("n")), own, [], "v", {"p10": 0.1, "p90": 0.9})
+    a = with_percentiles(with_percentiles(a, own, [], "v0", {"low": 0.5}), own, [], "v1", {"high": 0.5})
     gap = F.try_divide(F.col("high") - F.col("low"), F.col("p90") - F.col("p10"))
     status = F.when(F.col("n") < least, "few").when(gap.isNull() | (F.abs(gap) < tolerance), "flat").when(gap < 0, "wrong").otherwise("ok")
     return a.select("n", "p10", "p90", "low", "high", gap.alias("gap"), status.alias("status"))

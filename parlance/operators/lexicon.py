@@ -78,7 +78,7 @@ def _longest_first(found: DataFrame, keys: list[str]) -> DataFrame:
 def token_hits(turns: DataFrame, vocab: DataFrame, keys: list[str], words: str = "low", canon=None) -> DataFrame:
     """(keys, family, term, weight, tok_start, tok_end): terms as runs of tokens, each as it stands or, with
     ``canon``, in its canonical spelling; within a family those of more tokens come first, and no token
-    is used twice."""
+    is used twice. An empty vocabulary: no rows."""
     v = vocab.select("family", "term", "weight", F.split(F.lower("term"), " ").alias("__t")).withColumn("__k", F.size("__t"))
     forms = [v.withColumn("__gram", F.array_join("__t", " "))]
     spelt = [words]
@@ -93,6 +93,9 @@ def token_hits(turns: DataFrame, vocab: DataFrame, keys: list[str], words: str =
             grams = t.select(*keys, F.posexplode(_runs_of(column, k)).alias("piece", "__gram"))
             more = grams.join(form.where(F.col("__k") == k), "__gram").select(*keys, "family", "term", "weight", "piece", "__k", F.col("__k").alias("__size"))
             found = more if found is None else found.unionByName(more)
+    if found is None:  # no terms, no hits
+        none = t.select(*keys).crossJoin(v.select("family", "term", "weight").limit(0)).limit(0)
+        return none.withColumns({"tok_start": F.lit(0), "tok_end": F.lit(0)})
     kept = _longest_first(found, keys)
     return kept.join(v.select("family", "term", "__k").distinct(), ["family", "term"]).select(*keys, "family", "term", "weight", F.col("piece").alias("tok_start"), (F.col("piece") + F.col("__k")).alias("tok_end"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip, finite
 from ..schema import FEATURES, arm_features, risk_band
+from .metrics import with_percentiles
 from .sequences import running
 
 # The entity types that are features.
@@ -113,10 +114,10 @@ def time_to_detection(timeline: DataFrame, threshold: float, key: str = "call_id
 
 
 def ttd_stats(found: DataFrame, group: list[str]) -> DataFrame:
-    return found.groupBy(*group).agg(
-        F.count("ttd").alias("detected"), F.count("*").alias("total"), (F.count("ttd") / F.count("*")).alias("detection_rate"), F.expr("percentile(ttd, 0.5)").alias("median"),
-        F.avg("ttd").alias("mean"), F.expr("percentile(ttd, 0.9)").alias("p90"), F.min("ttd").alias("min"), F.max("ttd").alias("max"), F.expr("percentile(ttd_turns, 0.5)").alias("median_turns"),
-    )
+    """(group, counts, rate, mean, extremes, percentiles) of detection times; calls never detected count in the rate."""
+    c = found.groupBy(*group).agg(F.count("ttd").alias("detected"), F.count("*").alias("total"), (F.count("ttd") / F.count("*")).alias("detection_rate"), F.avg("ttd").alias("mean"), F.min("ttd").alias("min"), F.max("ttd").alias("max"))
+    c = with_percentiles(c, found, group, "ttd", {"median": 0.5, "p90": 0.9})
+    return with_percentiles(c, found, group, "ttd_turns", {"median_turns": 0.5})
 
 
 def new_entities(spans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -81,6 +81,39 @@ def codec_sweep(spark, sf):
     return B.rounded(C.codec_sweep(d, ["source"], M.roc_auc), "auc")
 
 
+def odd_scores(spark, sf):
+    """Scores some of which are null, no number, or infinite."""
+    of = lambda n: F.pmod("doc_id", F.lit(n)) == 0
+    odd = F.when(of(5), None).when(of(7), float("nan")).when(of(11), float("inf")).when(of(13), float("-inf")).otherwise(F.col("score"))
+    return B.scored_documents(spark, sf).withColumn("score", odd)
+
+
+ODD_SQL = B.SCORED_SQL + """, odd AS (SELECT lang, source, label, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'nan'::DOUBLE WHEN doc_id % 11 = 0 THEN 'infinity'::DOUBLE WHEN doc_id % 13 = 0 THEN '-infinity'::DOUBLE ELSE score END AS score FROM scored),
+  can AS (SELECT * FROM odd WHERE score IS NOT NULL AND NOT isnan(score))"""
+
+
+def auc_odd_scores(spark, sf):
+    """Areas over the rows that can be ranked; infinities rank at the ends."""
+    d = odd_scores(spark, sf)
+    both = M.roc_auc(d.withColumn("kind", F.lit("lang")), ["kind", "lang"]).unionByName(M.roc_auc(d.select(F.lit("source").alias("kind"), F.col("source").alias("lang"), "score", "label"), ["kind", "lang"]))
+    return B.rounded(both.withColumnRenamed("lang", "value"), "auc")
+
+
+def det_odd_scores(spark, sf):
+    """The error curves of the same rows; an infinite threshold is named by its sign."""
+    c = M.det_curve(odd_scores(spark, sf), ["lang"])
+    end = F.when(F.col("threshold") == float("inf"), 1).when(F.col("threshold") == float("-inf"), -1).otherwise(0)
+    return B.rounded(c.select("lang", "fpr", "fnr", end.alias("infinite"), F.when(end == 0, F.col("threshold")).alias("threshold")), "fpr", "fnr")
+
+
+def score_quantiles(spark, sf):
+    """Exact percentiles by selection, of the usable scores of each source and of all."""
+    d = odd_scores(spark, sf).where("score IS NULL OR abs(score) < 10 OR isnan(score)")
+    at = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p99": 0.99, "top": 1.0, "least": 0.0}
+    by = M.percentiles(d, ["source"], "score", at)
+    return B.rounded(by.unionByName(M.percentiles(d, [], "score", at).withColumn("source", F.lit("all"))), *at)
+
+
 def confound_audit(spark, sf):
     """How well each channel statistic alone tells the classes apart, with a status."""
     d = B.load(spark, sf, "documents").join(B.load(spark, sf, "labels"), "doc_id")
@@ -90,9 +123,10 @@ def confound_audit(spark, sf):
 
 def ood_recall(spark, sf):
     d = B.scored_documents(spark, sf)
-    out = d.where("label = 1").groupBy("lang").agg(F.avg((F.col("score") >= 0.7).cast("double")).alias("recall"), F.avg("score").alias("mean"), F.expr("percentile(score, array(0.1, 0.5, 0.9))").alias("p"))
+    own = d.where("label = 1")
+    out = M.with_percentiles(own.groupBy("lang").agg(F.avg((F.col("score") >= 0.7).cast("double")).alias("recall"), F.avg("score").alias("mean")), own, ["lang"], "score", {"p10": 0.1, "median": 0.5, "p90": 0.9})
     alarms = d.where("label = 0").groupBy("lang").agg(F.avg((F.col("score") >= 0.7).cast("double")).alias("false_alarms"))
-    return B.rounded(out.select("lang", "recall", "mean", *[F.col("p")[k].alias(n) for k, n in enumerate(("p10", "median", "p90"))]).join(alarms, "lang"), "recall", "mean", "p10", "median", "p90", "false_alarms")
+    return B.rounded(out.join(alarms, "lang"), "recall", "mean", "p10", "median", "p90", "false_alarms")
 
 
 def act_confusion(spark, sf):
@@ -233,7 +267,7 @@ def majority_tags(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    roc_auc, det_curve, eer, min_tdcf, confusion_threshold, ablation, per_cell_accuracy, hard_subset, calibration_bins, brier_ece, codec_sweep, confound_audit, ood_recall, act_confusion, act_accuracy, corpus_counts, corpus_stats,
+    roc_auc, det_curve, eer, min_tdcf, confusion_threshold, ablation, per_cell_accuracy, hard_subset, calibration_bins, brier_ece, codec_sweep, auc_odd_scores, det_odd_scores, score_quantiles, confound_audit, ood_recall, act_confusion, act_accuracy, corpus_counts, corpus_stats,
     per_speaker_counts, corpus_search, corpus_listing, risk_bands, finite_guard, g711_codes, largest_remainder, split_assign, waveform_peaks, pim_anchors, manual_transcript, kaldi_parse, metadata_maps, robocall_clean, stem_join, utterance_join, audio_paths, majority_tags,
 )}
 
@@ -267,6 +301,12 @@ _MANUAL = rf"""m AS (SELECT doc_id, list_filter(list_transform(string_split('Cal
 ORACLES = {
     "roc_auc": f"WITH {_S}, {auc_sql('scored', 'lang')} SELECT lang, round(auc, 6) AS auc FROM auc",
     "det_curve": f"WITH {_S}, {curve_sql('scored', 'lang')} SELECT lang, threshold, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr FROM curve WHERE threshold < 1e9",
+    "auc_odd_scores": f"WITH {ODD_SQL}, byl AS (SELECT 'lang' AS kind, lang AS value, score, label FROM can UNION ALL SELECT 'source', source, score, label FROM can), kv AS (SELECT *, kind || ':' || value AS g FROM byl), {auc_sql('kv', 'g')} SELECT kv.kind, kv.value, round(any_value(auc), 6) AS auc FROM auc JOIN kv USING (g) GROUP BY 1, 2",
+    "det_odd_scores": f"""WITH {ODD_SQL}, c AS (SELECT lang, score AS threshold, sum((label = 0)::INT) AS n, sum((label = 1)::INT) AS p FROM can GROUP BY 1, 2),
+      r AS (SELECT lang, threshold, sum(n) OVER w / nullif(sum(n) OVER a, 0) AS fpr, 1 - sum(p) OVER w / nullif(sum(p) OVER a, 0) AS fnr FROM c WINDOW w AS (PARTITION BY lang ORDER BY threshold DESC), a AS (PARTITION BY lang)),
+      u AS (SELECT * FROM r UNION ALL SELECT DISTINCT lang, 'infinity'::DOUBLE, 0, 1 FROM odd)
+      SELECT lang, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr, CASE WHEN isinf(threshold) THEN sign(threshold)::INT ELSE 0 END AS infinite, CASE WHEN NOT isinf(threshold) THEN threshold END AS threshold FROM u""",
+    "score_quantiles": f"WITH {ODD_SQL}, k AS (SELECT source, score FROM can WHERE abs(score) < 10), u AS (SELECT * FROM k UNION ALL SELECT 'all', score FROM k) SELECT source, " + ", ".join(f"round(quantile_cont(score, {q}), 6) AS {n}" for n, q in (("p01", 0.01), ("p25", 0.25), ("p50", 0.5), ("p99", 0.99), ("top", 1.0), ("least", 0.0))) + " FROM u GROUP BY 1",
     "eer": f"WITH {_S}, {curve_sql('scored', 'lang')} SELECT lang, round(eer, 6) AS eer, round(threshold, 6) AS threshold FROM eer",
     "min_tdcf": f"WITH {_S}, {curve_sql('scored', 'lang')} SELECT lang, round(min(0.05 * fnr + 9.5 * fpr) / 0.05, 6) AS min_tdcf FROM curve GROUP BY 1",
     "confusion_threshold": f"WITH {_S}, {rates_sql('scored', 'lang', 0.65)} SELECT * FROM conf",

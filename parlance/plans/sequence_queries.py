@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clip
 from ..operators import risk as R
 from ..operators import sequences as S
+from ..operators.metrics import percentiles, with_percentiles
 from . import base as B
 from .text_queries import RULES_SQL, rule_scores
 
@@ -189,8 +190,8 @@ def ttd_stats(spark, sf):
 
 
 def ttd_by_group(spark, sf):
-    s = _ttd(spark, sf).withColumn("scenario", F.pmod("call_id", F.lit(4))).where("ttd IS NOT NULL").groupBy("scenario").agg(F.expr("percentile(ttd, 0.5)").alias("median"), F.count("*").alias("n"))
-    return B.rounded(s, "median", to=5)
+    s = _ttd(spark, sf).withColumn("scenario", F.pmod("call_id", F.lit(4))).where("ttd IS NOT NULL")
+    return B.rounded(with_percentiles(s.groupBy("scenario").agg(F.count("*").alias("n")), s, ["scenario"], "ttd", {"median": 0.5}), "median", to=5)
 
 
 TTD_SQL = TIMELINE_SQL + f", ttd AS (SELECT call_id, arg_min(t_end, turn_index) FILTER (risk >= {THRESHOLD}) AS ttd, min(turn_index) FILTER (risk >= {THRESHOLD}) AS ttd_turns FROM line GROUP BY 1)"
@@ -236,8 +237,7 @@ SHAP_SQL = COERCION_SQL + ", shap AS (" + " UNION ALL ".join(f"SELECT call_id, '
 def feature_reference(spark, sf):
     c = S.coercion(B.acted(spark, sf)).select("coercion_slope", "coercion_peak", "callee_resist")
     long = c.unpivot([], c.columns, "feature", "value")
-    p = long.groupBy("feature").agg(F.expr("percentile(value, array(0.05, 0.5, 0.95))").alias("p")).select("feature", *[F.col("p")[k].alias(n) for k, n in enumerate(("p05", "p50", "p95"))])
-    return B.rounded(p, "p05", "p50", "p95")
+    return B.rounded(percentiles(long, ["feature"], "value", {"p05": 0.05, "p50": 0.5, "p95": 0.95}), "p05", "p50", "p95")
 
 
 def frames(spark, sf):
