@@ -21,7 +21,7 @@ Pivots, outermost first:
    replicated into that region. Regions are joined recursively; where pivots cannot tell sets apart, the
    region is compared in blocks of exact intersection counts.
 
-Regions above ``region_rows`` sets are dealt by the same rules as Spark joins (distances from shingles
+Regions above ``region_values`` shingles are dealt by the same rules as Spark joins (distances from shingles
 shared with pivots, radii and nearest others from grouped extremes), round by round; where a round
 does not shrink a region, it is dealt into pairs of blocks. No task and not the driver holds more than one
 region, and the driver sees counts and the ``COMMON`` most frequent shingles alone.
@@ -45,8 +45,9 @@ from .shared import stage
 U = np.uint64
 PERCENT = 85
 SIZE = 4
-#: Sets of a region that one task joins; cells above this many sets are one region at once.
-REGION_ROWS = 2048
+#: Shingles of a region that one task joins; and the sets of a cell above which it is one region at once.
+REGION_VALUES = 1 << 22
+CELL_ROWS = 4096
 #: Pivots to a region, and sets that are compared directly.
 PIVOTS = 8
 LEAF = 48
@@ -54,7 +55,10 @@ LEAF = 48
 COMMON = 1 << 17
 FILTER_BITS = 1 << 26
 BLOCK = 1 << 20
-_LANES = 32
+#: A sketch has a power of two of counts, one for each so many shingles and at least this many, a byte each
+#: (255 stands for all greater ones, which only lowers a distance). Half as many are the sums of neighbours.
+_PER_LANE = 8
+_LANES = 64
 _FEW = 16
 
 
@@ -123,6 +127,14 @@ def _binary(key: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * key.itemsize * key.shape[1]), pa.py_buffer(np.ascontiguousarray(key))])
 
 
+def sketches_of(h: np.ndarray, doc: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of the sketches of sets of ``held`` shingles: counts by their hashes' leading bits."""
+    bits = np.ceil(np.log2(np.maximum(held / _PER_LANE, _LANES))).astype(np.int64)
+    first = np.concatenate(([0], np.cumsum(1 << bits)))
+    lane = (h >> (64 - bits[doc]).astype(U)).astype(np.int64)
+    return first.astype(np.int32), np.minimum(np.bincount(first[doc] + lane, minlength=first[-1]), 255).astype(np.uint8)
+
+
 def _prints(docs: DataFrame, size: int, percent: int, common) -> DataFrame:
     """(doc_id, n, key, cells, sketch) of every document."""
 
@@ -146,9 +158,8 @@ def _prints(docs: DataFrame, size: int, percent: int, common) -> DataFrame:
             within = np.arange(len(h)) - np.repeat(np.cumsum(held) - held, held)
             chosen = h[order][within < cells[doc]]
             cell = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(cells))).astype(np.int32)), pa.array(chosen.view(np.int64)))
-            lanes = np.bincount(doc * _LANES + (h >> U(59)).astype(np.int64), minlength=n * _LANES)
-            sketch = np.minimum(lanes, 0xFFFF).astype("<u2").reshape(n, _LANES)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(held, pa.int64()), _binary(key), cell, _binary(sketch)], names=["doc_id", "n", "key", "cells", "sketch"])
+            sketch = pa.Array.from_buffers(pa.binary(), n, [None, *map(pa.py_buffer, sketches_of(h, doc, held))])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(held, pa.int64()), _binary(key), cell, sketch], names=["doc_id", "n", "key", "cells", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n long, key binary, cells array<long>, sketch binary")
 
@@ -189,38 +200,83 @@ def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             root[:] = root[root]
 
 
-def _may_link(sketch: np.ndarray, n: np.ndarray, i, j, percent: int) -> np.ndarray:
-    """Whether the sketches and sizes of sets i and j (broadcast against each other) allow a link."""
-    apart = np.abs(sketch[i].astype(np.int32) - sketch[j].astype(np.int32)).sum(axis=-1)
-    a, b = n[i], n[j]
-    return ((100 + percent) * apart <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+class Sketches:
+    """The sketches of a column, and the sizes of their sets."""
 
+    def __init__(self, column, n: np.ndarray):
+        raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        self.n, self.first, self.lanes, self.data = n, offsets[:-1], np.diff(offsets), np.frombuffer(raw.buffers()[2] or b"", np.uint8)
 
-def _cell_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between sets of the same cell that keep all those together that may link there."""
-    cell, ids, n = (table.column(c).to_numpy() for c in ("cell", "set", "n"))
-    raw = table.column("sketch").combine_chunks()
-    raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
-    sketch = np.frombuffer(raw.buffers()[2], "<u2")[raw.offset * _LANES : (raw.offset + len(raw)) * _LANES].reshape(-1, _LANES)
+    def of(self, which: np.ndarray, lanes: int) -> np.ndarray:
+        """Counts of these sets in so many lanes each, which is no more than any of them has."""
+        out = np.zeros((len(which), lanes), np.int32)
+        for own in np.unique(self.lanes[which]).tolist():
+            mine = np.flatnonzero(self.lanes[which] == own)
+            counts = self.data[self.first[which[mine]][:, None] + np.arange(own)].astype(np.int32)
+            out[mine] = counts.reshape(len(mine), lanes, own // lanes).sum(axis=2)
+        return out
+
+    def may_link(self, apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether so many shingles apart, or more, allow a link of sets of a and b shingles."""
+        return ((100 + percent) * apart <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
+def pairs_that_may_link(u: Sketches, v: Sketches, percent: int) -> np.ndarray:
+    """Whether the sketches and sizes of u and v, row by row, allow a link."""
+    good = np.zeros(len(u.n), bool)
+    lanes = np.minimum(u.lanes, v.lanes)
+    near = 100 * np.minimum(u.n, v.n) >= percent * np.maximum(u.n, v.n)
+    for m in np.unique(lanes[near]).tolist():
+        all_ = np.flatnonzero((lanes == m) & near)
+        for k in range(0, len(all_), max(1, (1 << 22) // m)):
+            some = all_[k : k + max(1, (1 << 22) // m)]
+            good[some] = u.may_link(np.abs(u.of(some, m) - v.of(some, m)).sum(axis=1), u.n[some], v.n[some], percent)
+    return good
+
+
+def _shared(table: pa.Table) -> pa.RecordBatch:
+    """(cell, u, v): of cells of a few sets all pairs, distinct, without their cell; of larger cells their sets u."""
+    cell, ids = table.column("cell").to_numpy(), table.column("set").to_numpy()
     first, size = _edges(cell)
-    out = []
-    for c in range(2, _FEW + 1):  # all pairs of a few, all such cells at once
+    u, v = [], []
+    for c in range(2, _FEW + 1):
         at = first[size == c]
         for a in range(c):
             for b in range(a + 1, c):
-                good = _may_link(sketch, n, at + a, at + b, percent)
-                out.append((ids[at[good] + a], ids[at[good] + b]))
-    for f, c in zip(first[size > _FEW].tolist(), size[size > _FEW].tolist(), strict=True):
+                u.append(np.minimum(ids[at + a], ids[at + b]))
+                v.append(np.maximum(ids[at + a], ids[at + b]))
+    order = np.lexsort([v := np.concatenate(v), u := np.concatenate(u)])
+    u, v = u[order], v[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    u, v = u[new], v[new]
+    many = np.repeat(size > _FEW, size)
+    mask = np.concatenate([np.ones(len(u), bool), np.zeros(int(many.sum()), bool)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([u, cell[many]]), pa.int64(), mask=mask), pa.array(np.concatenate([u, ids[many]])), pa.array(np.concatenate([v, ids[many]]), pa.int64(), mask=~mask)], names=["cell", "u", "v"]
+    )
+
+
+def _cell_links(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of the same cell that keep all those together that may link there."""
+    cell, ids, n = (table.column(c).to_numpy() for c in ("cell", "set", "n"))
+    sketch = Sketches(table.column("sketch"), n)
+    out = [(np.zeros(0, np.int64),) * 2]
+    for f, c in zip(*(x.tolist() for x in _edges(cell)), strict=True):
         order = f + np.argsort(n[f : f + c], kind="stable")
-        root = np.arange(c)
-        for k in range(0, c, 64):
-            mine = order[k : k + 64]
-            upto = int(np.searchsorted(n[order], n[mine[-1]] * 100 // percent, "right"))
-            if upto <= k + 1 or (root[k:upto] == root[k]).all():
-                continue
-            good = _may_link(sketch, n, mine[:, None], order[None, k:upto], percent)
-            i, j = np.nonzero(good)
-            _unite(root, i + k, j + k)
+        size, root, k = n[order], np.arange(c), 0
+        while k < c:
+            # sets of about one size, and all larger ones that may still link with one of them
+            z = max(k + 1, min(k + 64, int(np.searchsorted(size, size[k] * 100 // percent, "right"))))
+            upto = int(np.searchsorted(size, size[z - 1] * 100 // percent, "right"))
+            if upto > k + 1 and (root[k:upto] != root[k]).any():
+                counts = sketch.of(order[k:upto], int(sketch.lanes[order[k:upto]].min()))
+                apart = np.stack([np.abs(counts - one).sum(axis=1) for one in counts[: z - k]])
+                i, j = np.nonzero(sketch.may_link(apart, size[k:z, None], size[None, k:upto], percent))
+                _unite(root, i + k, j + k)
+            k = z
         child = np.flatnonzero(root != np.arange(c))
         out.append((ids[order[child]], ids[order[root[child]]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -321,8 +377,8 @@ class Region:
         return child, self.root[child]
 
 
-def _region_links(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links within each region of ``members`` (region, set); ``held`` has (set, hashes)."""
+def _region_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links within each region of ``rows`` (region, set, hashes)."""
 
     def run(batches):
         for table in _groups(batches):
@@ -343,13 +399,12 @@ def _region_links(members: DataFrame, held: DataFrame, percent: int) -> DataFram
                 u, v = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    rows = members.join(held, "set").select("region", "set", "hashes").repartition("region").sortWithinPartitions("region")
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "u long, v long")
 
 
 def _hash_arrays(docs: DataFrame, wanted: DataFrame, size: int, bits: int) -> DataFrame:
-    """(set, hashes) of the wanted sets (set, key): the texts are read once more, and a filter of fixed
-    size leaves most other sets out before anything is shuffled."""
+    """(region, set, hashes) of the wanted sets (region, set, key): the texts are read once more, and a
+    filter of fixed size leaves most other sets out before anything is shuffled."""
     spark = docs.sparkSession
     place = F.pmod(F.xxhash64("key"), F.lit(bits))
     words = wanted.select(place.alias("place")).selectExpr("shiftright(place, 6) AS w", "shiftleft(1L, CAST(place % 64 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
@@ -358,19 +413,27 @@ def _hash_arrays(docs: DataFrame, wanted: DataFrame, size: int, bits: int) -> Da
     sent = spark.sparkContext.broadcast(table)
 
     def run(batches):
+        given: set[bytes] = set()  # equal sets are sent once by a task, as long as few were sent
         for block in tb.blocks(batches, "text", BLOCK, 1 << 15):
             n = block.num_rows
             h, doc = shingles_of(*tb.utf8(block.column(0)), size)
             held, key = _keys(h, doc, n)
             at = _spark_xxh64(key) % bits
             keep = ((sent.value[at >> 6] >> (at & 63)) & 1 == 1) & (held > 0)
+            for k in np.flatnonzero(keep).tolist():
+                mine = key[k].tobytes()
+                if mine in given:
+                    keep[k] = False
+                elif len(given) < 1 << 16:
+                    given.add(mine)
             some = np.flatnonzero(keep)
             chosen = h[keep[doc]]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held[some]))).astype(np.int32)), pa.array(chosen.view(np.int64)))
             yield pa.RecordBatch.from_arrays([_binary(key[some]), lists], names=["key", "hashes"])
 
     found = docs.select("text").mapInArrow(run, "key binary, hashes array<long>")
-    return wanted.join(found, "key").groupBy("set").agg(F.first("hashes").alias("hashes"))
+    # grouped by the key of the join as well: its partitions are those of the join
+    return wanted.join(found, "key").groupBy("key", "region", "set").agg(F.first("hashes").alias("hashes")).select("region", "set", "hashes")
 
 
 def _spark_xxh64(key: np.ndarray) -> np.ndarray:
@@ -380,34 +443,39 @@ def _spark_xxh64(key: np.ndarray) -> np.ndarray:
     return (tb.xxh64(data, start, start + 16, 42) & U((1 << 62) - 1)).astype(np.int64)
 
 
-def _dealt(members: DataFrame, held: DataFrame, region_rows: int, percent: int, pivots: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Regions of ``region_rows`` sets or fewer, and links found on the way: one round after the other deals
-    the larger regions by pivots."""
+def _dealt(held: DataFrame, region_values: int, percent: int, pivots: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Regions (region, set, hashes) of ``region_values`` shingles or fewer, and links found on the way: one
+    round after the other deals the larger regions by pivots. Regions of a few sets stay, however long."""
     eps = 1 - percent / 100 + 1e-9
-    ready, links, parents = [], [], None
+    sized = F.count("*").alias("c"), F.sum(F.size("hashes").cast("long")).alias("v")
+    is_large = (F.col("v") > region_values) & (F.col("c") > LEAF)
+    large = stage(held.groupBy("region").agg(*sized).where(is_large), "large")
+    if large.isEmpty():
+        return held, []
+    sets = held.drop("region")
+    ready, links, parents = [held.join(large, "region", "left_anti")], [], None
+    members = stage(held.join(large, "region").select("region", "set"), "members")
     while True:
-        count = stage(members.groupBy("region").agg(F.count("*").alias("c")), "sizes")
-        large = count.where(F.col("c") > region_rows)
-        if large.isEmpty():
-            ready.append(members)
-            break
-        ready.append(members.join(large, "region", "left_anti"))
-        now = members.join(large, "region").select("region", "set")
         if parents is not None:  # what a round of pivots did not shrink goes to pairs of blocks
-            same = large.join(parents, "region").where("c * 10 > parent * 9").select("region", (F.ceil(2 * F.col("c") / region_rows)).cast("int").alias("blocks"))
-            stuck = now.join(same, "region").withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+            blocks = F.least(F.ceil(2 * F.col("v") / region_values), F.col("c")).cast("int")
+            same = large.join(parents, "region").where("v * 10 > parent * 9").select("region", blocks.alias("blocks"))
+            stuck = members.join(same, "region").withColumn("mine", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
             pairs = stuck.select("set", "region", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            ready.append(pairs.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "set"))
-            now = now.join(same, "region", "left_anti")
-        now = stage(now, "large")
-        if now.isEmpty():
+            pairs = pairs.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other")).alias("region"), "set")
+            ready.append(pairs.join(sets, "set").select("region", "set", "hashes"))
+            members = stage(members.join(large, "region").select("region", "set").join(same, "region", "left_anti"), "members")
+        if members.isEmpty():
             break
-        links_, members, parents = _round(now, held, percent, eps, pivots)
-        links.append(links_)
+        found, fresh, parents = _round(members, sets, percent, eps, pivots)
+        links.append(found)
+        dealt = fresh.join(sets, "set")
+        large = stage(dealt.groupBy("region").agg(*sized).where(is_large), "large")
+        ready.append(dealt.join(large, "region", "left_anti").select("region", "set", "hashes"))
+        members = stage(fresh.join(large, "region").select("region", "set"), "members")
     out = ready[0]
     for more in ready[1:]:
         out = out.unionByName(more)
-    return stage(out, "regions"), links
+    return out, links
 
 
 def _round(now: DataFrame, held: DataFrame, percent: int, eps: float, pivots: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -433,13 +501,13 @@ def _round(now: DataFrame, held: DataFrame, percent: int, eps: float, pivots: in
     others = cells.where("NOT near").groupBy("region", "pivot").agg(F.min("d").alias("next"))
     kept = cells.join(others, ["region", "pivot"]).where((~F.col("near")) | (F.col("d") >= F.col("next") - eps))
     fresh = stage(kept.select(F.xxhash64("region", "pivot").alias("new"), "region", "set"), "cells")
-    size = now.groupBy("region").agg(F.count("*").alias("parent"))
+    size = now.join(sized, "set").groupBy("region").agg(F.sum("n").alias("parent"))
     parents = fresh.select("new", "region").distinct().join(size, "region").select(F.col("new").alias("region"), "parent")
     return links, fresh.select(F.col("new").alias("region"), "set"), stage(parents, "parents")
 
 
 def components_by_jaccard(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SIZE, region_rows: int = REGION_ROWS, pivots: int = PIVOTS, common: int = COMMON, filter_bits: int = FILTER_BITS
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SIZE, region_values: int = REGION_VALUES, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS, common: int = COMMON, filter_bits: int = FILTER_BITS
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
@@ -449,30 +517,41 @@ def components_by_jaccard(
     first = lambda c: F.first(c).alias(c)  # noqa: E731  (equal sets have equal cells and sketches)
     distinct = prints.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), first("n"), first("cells"), first("sketch"))
     sets = stage(distinct.withColumn("set", F.monotonically_increasing_id()), "sets")
+    prints = stage(prints.select("doc_id", "n", "key"), "prints", instead_of=prints)
 
     def several(batches):
         for table in _groups(batches):
-            at, n = _edges(table.column("cell").to_numpy())
-            many = np.repeat(n > 1, n)
-            yield from table.filter(pa.array(many)).to_batches()
+            yield _shared(table)
 
     entries = sets.select(F.explode("cells").alias("cell"), "set").repartition("cell").sortWithinPartitions("cell")
-    shared = stage(entries.mapInArrow(several, "cell long, set long"), "shared")
-    hot = stage(shared.groupBy("cell").agg(F.count("*").alias("c"), F.min("set").alias("v")).where(F.col("c") > region_rows).select("cell", "v"), "hot")
-    whole = shared.join(hot, "cell").select(F.col("set").alias("u"), "v")
+    shared = stage(entries.mapInArrow(several, "cell long, u long, v long"), "shared")
+    sets = stage(sets.drop("cells"), "sets", instead_of=sets)
+    sketch = lambda c: sets.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def checked(batches):
+        for batch in batches:
+            column = lambda c, batch=batch: batch.column(batch.schema.names.index(c))
+            u, v, n_u, n_v = (column(c).to_numpy() for c in ("u", "v", "n_u", "n_v"))
+            good = pairs_that_may_link(Sketches(column("s_u"), n_u), Sketches(column("s_v"), n_v), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(u[good]), pa.array(v[good])], names=["u", "v"])
 
     def together(batches):
         for table in _groups(batches):
             u, v = _cell_links(table, percent)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    cells = shared.join(hot, "cell", "left_anti").join(sets.select("set", "n", "sketch"), "set").select("cell", "set", "n", "sketch")
-    coarse = components(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(together, "u long, v long").unionByName(whole).distinct())
+    pairs = shared.where("cell IS NULL").select("u", "v").distinct().join(sketch("u"), "u").join(sketch("v"), "v").mapInArrow(checked, "u long, v long")
+    cells = shared.where("cell IS NOT NULL").select("cell", F.col("u").alias("set"))
+    hot = stage(cells.groupBy("cell").agg(F.count("*").alias("c"), F.min("set").alias("v")).where(F.col("c") > cell_rows).select("cell", "v"), "hot")
+    whole = cells.join(hot, "cell").select(F.col("set").alias("u"), "v")
+    cold = cells.join(hot, "cell", "left_anti").join(sets.select("set", "n", "sketch"), "set").select("cell", "set", "n", "sketch")
+    coarse = components(pairs.unionByName(cold.repartition("cell").sortWithinPartitions("cell").mapInArrow(together, "u long, v long")).unionByName(whole).distinct())
     members = coarse.select(F.col("root").alias("region"), F.col("vertex").alias("set"))
     members = stage(members.unionByName(members.select("region", F.col("region").alias("set")).distinct()), "members")
-    held = stage(_hash_arrays(slim, members.join(sets.select("set", "key"), "set").select("set", "key"), size, filter_bits), "held")
-    regions, links = _dealt(members, held, region_rows, percent, pivots)
-    found = _region_links(regions, held, percent)
+    wanted = stage(members.join(sets.select("set", "key"), "set").select("region", "set", "key"), "wanted", instead_of=members)
+    held = stage(_hash_arrays(slim, wanted, size, filter_bits), "held")
+    regions, links = _dealt(held, region_values, percent, pivots)
+    found = _region_links(regions, percent)
     for more in links:
         found = found.unionByName(more)
     roots = components(found)

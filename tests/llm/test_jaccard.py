@@ -5,6 +5,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parlance.llm import jaccard
@@ -63,7 +64,7 @@ def families(seed, n=12, copies=14):
     return [(None if k % 17 == 5 else 7 * k % 1000, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"region_rows": 6, "pivots": 3}), (3, {"region_rows": 5, "pivots": 2, "common": 10, "filter_bits": 64}), (4, {"percent": 60, "size": 2, "region_rows": 20})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (3, {"region_values": 300, "cell_rows": 20, "pivots": 2, "common": 10, "filter_bits": 64}), (4, {"percent": 60, "size": 2, "region_values": 2000})])
 def test_against_brute_force(spark, monkeypatch, seed, options):
     monkeypatch.setattr(jaccard, "LEAF", 4)
     rows = families(seed)
@@ -105,16 +106,24 @@ def test_region_join_is_exact(monkeypatch, leaf):
 
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(4)
+    linked = 0
     for _ in range(200):
-        n = int(rng.integers(5, 400))
-        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
-        b = a.copy()
-        swap = rng.random(n) < rng.random() * 0.1
+        n = int(rng.integers(5, 40_000 if rng.random() < 0.2 else 400))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        b = a[: int(n * rng.uniform(0.84, 1))].copy()
+        swap = rng.random(len(b)) < rng.random() * 0.1
         b[swap] = rng.integers(0, 1 << 63, int(swap.sum())).astype(np.uint64)
         both = len(np.intersect1d(a, b))
-        counts = np.stack([np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=32) for x in (a, b)]).astype("<u2")
-        if 100 * both >= 85 * (2 * n - both):
-            assert jaccard._may_link(counts, np.array([n, n]), np.array([0]), np.array([1]), 85).all()
+        held = np.array([len(a), len(b)])
+        offsets, data = jaccard.sketches_of(np.concatenate([a, b]), np.repeat([0, 1], held), held)
+        one = pa.Array.from_buffers(pa.binary(), 2, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        u, v = jaccard.Sketches(one.slice(0, 1), held[:1]), jaccard.Sketches(one.slice(1, 1), held[1:])
+        if 100 * both >= 85 * (held.sum() - both):
+            linked += 1
+            assert jaccard.pairs_that_may_link(u, v, 85).all()
+        elif both < n / 2:
+            assert not jaccard.pairs_that_may_link(u, v, 85).any()
+    assert linked > 50
 
 
 def test_hot_cell_and_copies(spark):
@@ -122,8 +131,8 @@ def test_hot_cell_and_copies(spark):
     base = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join(base)) for k in range(300)] + [(300 + k, " ".join(base[:k] + [f"v{k}"] + base[k + 1 :])) for k in range(60)] * 5 + [(1000 + k, " ".join(f"u{k}.{j}" for j in range(20))) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    for region_rows in (2048, 16):
-        got = {(r.doc_id, r.component_id) for r in jaccard.components_by_jaccard(df, region_rows=region_rows).collect()}
+    for options in ({}, {"region_values": 900, "cell_rows": 16}):
+        got = {(r.doc_id, r.component_id) for r in jaccard.components_by_jaccard(df, **options).collect()}
         assert got == {(d, 0 if d < 1000 else d) for d, _ in rows}
 
 
