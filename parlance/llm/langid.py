@@ -7,10 +7,11 @@ Nyström: the kernel against ``landmarks`` texts, times the inverse root of the
 matrix, stands for the text; one-versus-rest kernel ridge regression is ridge regression there. A
 block of texts is scored by two matrix products, bits by landmarks and kernels by weights.
 
-Fitted on a bounded sample: about ``fit_per_language`` labelled rows of each language, chosen by a
-hash of id and text against the language's row count, so nothing is sorted, no language can crowd out
-another and an id that many rows share can't either; rows of equal n-grams teach once. Only packed
-bits (about 3 kB a row) reach the driver. What is fitted grows with the number of languages alone.
+Fitted on a bounded sample: about ``fit_per_language`` labelled rows of each language, and of many
+languages ``fit_rows`` in all, chosen by a hash of id and text against the language's row count, so nothing
+is sorted, no language can crowd out another and an id that many rows share can't either; rows of equal
+n-grams teach once. Of more than ``fit_languages`` values of lang the most frequent ones are learned. Only
+packed bits (about 3 kB a row) reach the driver, and every language has a landmark of its own.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if no
 row was labelled; a null lang teaches nothing; of equal scores the first language by code point wins.
@@ -32,6 +33,9 @@ from .shared import fold_is, stage, unit_hash
 UND = "und"
 LANDMARKS = 96
 FIT_PER_LANGUAGE = 600
+#: Rows in all, and languages, that one model learns.
+FIT_ROWS = 4800
+FIT_LANGUAGES = 512
 RIDGE = 1e-2
 _BITS = 13
 _ORDERS = (2, 3, 4)
@@ -87,16 +91,24 @@ class Model:
         return kernel @ self.weights
 
 
+def _kernel(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The kernel of texts with landmarks, some texts at a time."""
+    return np.concatenate([(bits[k : k + 256].astype(np.float32) @ marks) / _roots(bits[k : k + 256])[:, None] for k in range(0, len(bits), 256)])
+
+
 def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on a Nyström map; rows come in an order that only hashes decide."""
+    """Kernel ridge regression on a Nyström map; rows come in an order that only hashes decide. Each
+    language has a landmark at least, so of more languages than ``landmarks`` there are as many."""
     languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels])
+    number = {x: k for k, x in enumerate(languages)}
+    y = np.array([number[x] for x in labels])
+    landmarks = max(landmarks, len(languages))
     turn = np.zeros(len(y), np.int64)  # the languages' rows take turns as landmarks
     for k in range(len(languages)):
         turn[y == k] = np.arange((y == k).sum())
     chosen = np.lexsort([y, turn])[:landmarks]
     marks = (bits[chosen].astype(np.float32) / _roots(bits[chosen])[:, None]).T.copy()
-    kernel = (bits.astype(np.float32) @ marks) / _roots(bits)[:, None]
+    kernel = _kernel(bits, marks)
     values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])
@@ -116,12 +128,15 @@ def _packed(batches):
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([b.tobytes() for b in bits], pa.binary()), some.column(2)], names=["label", "bits", "at"])
 
 
-def train(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_per_language: int = FIT_PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
+def train(docs: DataFrame, usable: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_per_language: int = FIT_PER_LANGUAGE, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS, fit_languages: int = FIT_LANGUAGES) -> Model | None:
     """A model of the labelled rows that ``usable`` admits; None if there are none."""
     known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("label"), F.col(text).alias("text"), unit_hash(11, doc_id, text).alias("at"))
-    counts = stage(known.groupBy("label").agg(F.count("*").alias("n"), F.min("at").alias("least")), "languages")  # a row for each language
-    if counts.isEmpty():
+    counts = known.groupBy("label").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    counts = stage(counts.orderBy(F.desc("n"), "label").limit(fit_languages), "languages")  # a row for each language
+    languages = counts.count()
+    if not languages:
         return None
+    fit_per_language = min(fit_per_language, fit_rows / languages)
     # of a language of few rows at least the one of the least hash teaches
     sample = known.join(counts, "label").where((F.col("at") < F.lit(float(fit_per_language)) / F.col("n")) | (F.col("at") == F.col("least")))
     found = sample.select("label", "text", "at").mapInArrow(_packed, "label string, bits binary, at double")

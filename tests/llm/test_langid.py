@@ -93,6 +93,22 @@ def test_held_out_accuracy_and_undetermined(spark):
     assert {got[k].lang_pred for k in (1000, 1001, 1002)} == {"und"}
 
 
+def test_more_languages_than_landmarks(spark):
+    """Every one of 200 languages has a landmark; the sample is bounded in all, not by language."""
+    rng = random.Random(8)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)] for _ in range(200)]
+    data = [(40 * k + j, " ".join(rng.choices(words[k], k=30)), f"l{k:03}") for k in range(200) for j in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(df, F.col("doc_id") % 2 == 0, fit_rows=1200)
+    assert len(model.languages) == 200
+    assert model.landmarks.shape[1] == 200
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model, keep=["doc_id"]).collect()}
+    held = [(d, x) for d, _, x in data if d % 2]
+    assert sum(got[d] == x for d, x in held) > 0.95 * len(held)
+    few = langid.train(df, F.lit(True), fit_languages=3)
+    assert few.languages == ["l000", "l001", "l002"]
+
+
 def test_without_labels_or_rows(spark, no_docs):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.train(df, F.lit(True)) is None
