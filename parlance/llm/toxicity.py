@@ -255,7 +255,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", usable=None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Field | None:
     """A field of the labelled rows that ``usable`` (a condition on the labels' rows) admits."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-    known = (known if usable is None else known.where(usable)).select(F.col(doc_id).alias("__id"), (F.col(label) > 0).cast("int").alias("__y"))
+    known = (known if usable is None else known.where(usable)).select(F.col(doc_id).alias("__id"), (F.col(label) > 0).cast("int").alias("__y")).distinct()
     counts = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
@@ -278,11 +278,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(copy, pa.int64()), block.column(2), pa.array(rows, pa.binary())], names=["y", "copy", "at", "tokens"])
 
     short = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= fit_bytes)
-    joined = short.join(sample, F.col(doc_id) == F.col("__id")).select(F.col("__y").alias("y"), F.col(text).alias("text"), unit_hash(23, "__id").alias("at"))
-    found = joined.mapInArrow(tokens, "y int, copy long, at double, tokens binary")
-    # an id has one hash: of its rows, however many, the least comes, chosen by task before the shuffle
-    one = found.groupBy("y", "at").agg(F.min(F.struct("copy", "tokens")).alias("x")).select("y", "at", "x.copy", "x.tokens")
-    rows = one.toPandas().sort_values(["y", "at", "copy"])
+    # of an id's rows, however many, one is taken, by task before the shuffle, and only then made to tokens
+    own = short.join(sample.select("__id").distinct(), F.col(doc_id) == F.col("__id")).select("__id", F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("text")).alias("x"))
+    one = own.groupBy("__id").agg(F.min("x").alias("x")).join(sample, "__id")
+    joined = one.select(F.col("__y").alias("y"), F.col("x.text").alias("text"), unit_hash(23, "__id").alias("at"))
+    rows = joined.mapInArrow(tokens, "y int, copy long, at double, tokens binary").toPandas().sort_values(["y", "at", "copy"])
     rows = rows.drop_duplicates(["y", "copy"]).reset_index(drop=True)
     held = [np.frombuffer(t, np.uint32).reshape(-1, _WIDTH) for t in rows.tokens]
     doc = np.repeat(np.arange(len(rows)), [len(t) for t in held])

@@ -119,6 +119,18 @@ def test_one_row_of_an_id_teaches(spark):
     assert field.weights.any() and (field.weights == again.weights).all()
 
 
+def test_many_rows_and_many_labels_of_an_id(spark, monkeypatch):
+    """1,000 rows and 1,000 labels of one id are one row of either label, not a million."""
+    rows, labels = made(200)
+    docs = spark.createDataFrame([*rows, *[(7, f"row {k} of one id") for k in range(1000)]], "doc_id long, text string")
+    many = spark.createDataFrame([*labels, *[(7, k % 2) for k in range(1000)]], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.train_field
+    monkeypatch.setattr(toxicity, "train_field", lambda features, doc, y, *a: (seen.append(len(y)), real(features, doc, y, *a))[1])
+    assert toxicity.fit(docs, many) is not None
+    assert 100 < seen[0] <= 202
+
+
 def test_nothing_to_learn_from(spark, docs, no_docs):
     none = spark.createDataFrame([(3, None), (6, 1)], "doc_id long, toxic int")
     assert toxicity.fit(docs, none) is None
