@@ -198,14 +198,14 @@ class Tree:
     def _count(self, k: int, counts: list[np.ndarray], of: list[np.ndarray], parent: list) -> list[dict]:
         parts = []
         for d, n, own, up in zip(range(self.first, len(self.keys)), counts, of, parent, strict=True):
-            byte = (self.keys[d] & U(255)).astype(np.int32)
+            byte = (self.keys[d] & U(255)).astype(np.int64)
             node, bit = own * 256 + (1 << k | byte >> (8 - k)), byte >> (7 - k) & 1
             new = np.concatenate(([True], node[1:] != node[:-1])) if len(node) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             mine = self.nodes[d][k] = node[first]
             both = np.add.reduceat(n, first) if len(first) else np.zeros(0)
             one = np.add.reduceat(n * bit, first) if len(first) else np.zeros(0)
-            owner = np.searchsorted(self.nodes[d - 1][k], up[mine >> 8] * 256 + (mine & 255)) if d else None
+            owner = np.searchsorted(self.nodes[d - 1][k], up[mine >> 8].astype(np.int64) * 256 + (mine & 255)) if d else None
             parts.append({"zeros": (both - one).astype(float), "ones": one.astype(float), "owner": owner, "place": (np.cumsum(new) - 1).astype(np.int32), "bits": bit == 1})
         return parts
 
@@ -266,7 +266,7 @@ class Tree:
             q, bit = 1 << k | byte >> (8 - k), byte >> (7 - k) & 1
             p, open_ = np.full(len(keys), 0.5), np.ones(len(keys), bool)
             for d in range(depth, -1, -1):
-                want, nodes = (context[d] * 256 + q).astype(np.int32), self.nodes[d][k]
+                want, nodes = context[d] * 256 + q, self.nodes[d][k]
                 at = np.searchsorted(nodes, want)
                 at[at == len(nodes)] = 0
                 hit = open_ & (nodes[at] == want)
