@@ -159,3 +159,26 @@ def moments(df: DataFrame, key: str, value: str) -> DataFrame:
     variance is."""
     flat = F.var_pop(value) <= 1e-10
     return df.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.when(flat, 0.0).otherwise(F.skewness(value)).alias("skew"), F.when(flat, 0.0).otherwise(F.kurtosis(value)).alias("kurtosis"))
+
+
+def voice_rescoring(turns: DataFrame, value: str, gap_ms: int = 4000, window_ms: int = 20000, key: str = "call_id") -> DataFrame:
+    """(key, turn_index, t_ms, rescored, scored_at, voice): the throttled voice score after each turn.
+
+    A score is taken anew once ``gap_ms`` of audio have come since the last one, on the turns that end
+    within the trailing ``window_ms``; until then the last one stands. The trailing means are one RANGE
+    frame; which of them count is a fold over a call's own turns, since each reset depends on the last."""
+    order = Window.partitionBy(key).orderBy("turn_index")
+    length = F.greatest(F.lit(700), F.round(F.col("n_tokens") * 1000 / 2.6)).cast("long")
+    t = turns.withColumn("t_ms", F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0)) + 250 * (F.row_number().over(order) - 1))
+    trailing = Window.partitionBy(key).orderBy("t_ms").rangeBetween(1 - window_ms, 0)
+    t = t.withColumn("__mean", F.avg(value).over(trailing))
+    calls = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("turn_index").cast("long").alias("turn_index"), "t_ms", "__mean"))).alias("x"))  # a call's own turns
+    none = F.expr("CAST(array() AS array<struct<turn_index:long,t_ms:long,rescored:boolean,scored_at:long,voice:double>>)")
+
+    def after(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        fresh = (F.size(done) == 0) | (x["t_ms"] - last["scored_at"] >= gap_ms)
+        row = F.struct(x["turn_index"].alias("turn_index"), x["t_ms"].alias("t_ms"), fresh.alias("rescored"), F.when(fresh, x["t_ms"]).otherwise(last["scored_at"]).alias("scored_at"), F.when(fresh, x["__mean"]).otherwise(last["voice"]).alias("voice"))
+        return F.concat(done, F.array(row))
+
+    return calls.select(key, F.explode(F.aggregate("x", none, after)).alias("r")).select(key, "r.*")

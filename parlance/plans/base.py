@@ -32,8 +32,9 @@ SETS = {
 ENTITY_WORDS = {"OTP": {"by", "von"}, "AUTHORITY_CLAIM": {"in", "der"}, "THREAT_DEADLINE": {"of", "mit"}, "PAYMENT_HANDLE": {"with"}, "PERSONAL_INFO_REQ": {"for", "par"}, "BANK_ENTITY": {"is", "un"}}
 
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def load(spark: SparkSession, sf_dir: str | dict[str, DataFrame], table: str) -> DataFrame:
+    """A table of the folder, or of a mapping of tables (what a stream has brought so far)."""
+    return sf_dir[table] if isinstance(sf_dir, dict) else spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,12 @@ def pim_score(spark, sf):
 
 def timeline_input(spark, sf):
     """Turns with everything that prefix scoring takes."""
-    t = S.timings(B.acted(spark, sf), "n_tokens")
+    return S.timings(turn_features(spark, sf), "n_tokens")
+
+
+def turn_features(spark, sf):
+    """Turns with what their own text tells."""
+    t = B.acted(spark, sf)
     s = rule_scores(spark, sf).select("call_id", "turn_index", "score")
     pressed = B.entity_spans(spark, sf).where(F.col("type").isin("OTP", "PERSONAL_INFO_REQ", "AUTHORITY_CLAIM", "THREAT_DEADLINE")).groupBy("call_id", "turn_index").agg(F.count("*").alias("n_pressed"))
     return t.join(s, ["call_id", "turn_index"]).join(pressed, ["call_id", "turn_index"], "left").na.fill(0, ["n_pressed"])
