@@ -182,3 +182,26 @@ def voice_rescoring(turns: DataFrame, value: str, gap_ms: int = 4000, window_ms:
         return F.concat(done, F.array(row))
 
     return calls.select(key, F.explode(F.aggregate("x", none, after)).alias("r")).select(key, "r.*")
+
+
+def hangover(frames: DataFrame, key: str, order: str, on: str, gap: int, burst: int, pad: int) -> DataFrame:
+    """(key, start, end) of the smoothed true stretches of frames numbered from 0: silences of fewer than
+    ``gap`` frames are filled, then bursts of fewer than ``burst`` dropped, then each stretch is padded by
+    ``pad`` frames within the signal, and those that meet are one. A null frame is silence.
+
+    Each step works on runs, not frames: only the first window sees a row for each frame."""
+    value = F.coalesce(F.col(on), F.lit(False))
+    t = frames.select(key, F.col(order).alias("__o"), value.alias("__v")).withColumn("__new", F.coalesce((F.col("__v") != F.lag("__v").over(Window.partitionBy(key).orderBy("__o"))).cast("int"), F.lit(1)))
+    t = t.withColumn("__run", F.sum("__new").over(Window.partitionBy(key).orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = t.groupBy(key, "__run", F.col("__v").alias("v")).agg(F.min("__o").alias("start"), (F.max("__o") + 1).alias("end"))
+    filled = runs.withColumn("v", F.col("v") | (F.col("end") - F.col("start") < gap))
+    by = Window.partitionBy(key).orderBy("start")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.coalesce((F.col("v") != F.lag("v").over(by)).cast("int"), F.lit(1))
+    merged = filled.withColumn("__new", fresh).withColumn("__run", F.sum("__new").over(upto)).groupBy(key, "__run", "v").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    size = F.max("end").over(Window.partitionBy(key))
+    wide = merged.withColumn("__size", size).where(F.col("v") & (F.col("end") - F.col("start") >= burst))
+    wide = wide.select(key, F.greatest(F.lit(0), F.col("start") - pad).alias("start"), F.least("__size", F.col("end") + pad).alias("end"))
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    joined = wide.withColumn("__new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(upto))
+    return joined.groupBy(key, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__run")

@@ -56,3 +56,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     if not fs.rename(beside, at):  # some stores do not rename onto a file
         fs.delete(at, False)
         fs.rename(beside, at)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is no such file."""
+    if not exists(spark, path):
+        return None
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def staged(df, name: str):
+    """The rows, written below the shared folder and read back: the lineage ends here, the table's size is
+    known, and lost executors cost nothing."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
