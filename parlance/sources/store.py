@@ -21,7 +21,7 @@ def _current(spark: SparkSession, path: str) -> int:
 
 def _manifest(spark: SparkSession, path: str, version: int) -> dict:
     if not version:
-        return {"schema": None, "splits": {}}
+        return {"schema": None, "types": None, "splits": {}}
     text = storage.read_text(spark, f"{path}/manifests/{version}.json")
     if text is None:
         raise ValueError(f"no version {version} at {path}")
@@ -45,7 +45,7 @@ def write_version(calls: DataFrame, path: str, split: str = "split") -> int:
     found = digests(calls, split)
     if None in found:
         raise ValueError("every row needs a split")
-    same = {s for s, (n, d) in found.items() if s in old["splits"] and old["splits"][s]["digest"] == d and old["splits"][s]["rows"] == n and old["schema"] == calls.schema.json()}
+    same = {s for s, (n, d) in found.items() if s in old["splits"] and old["splits"][s]["digest"] == d and old["splits"][s]["rows"] == n and old["types"] == calls.schema.simpleString()}
     if same == set(found) == set(old["splits"]) and now:
         return now
     version = now + 1
@@ -55,7 +55,7 @@ def write_version(calls: DataFrame, path: str, split: str = "split") -> int:
     if changed:
         calls.where(F.col(split).isin(changed)).repartition(split, F.xxhash64(*[c for c in calls.columns if c != split]) % 64).write.mode("overwrite").partitionBy(split).parquet(f"{path}/data/version={version}")
     splits = {s: {"rows": n, "digest": d, "version": old["splits"][s]["version"] if s in same else version} for s, (n, d) in sorted(found.items())}
-    storage.write_text(spark, f"{path}/manifests/{version}.json", json.dumps({"schema": calls.schema.json(), "split": split, "splits": splits}))
+    storage.write_text(spark, f"{path}/manifests/{version}.json", json.dumps({"schema": calls.schema.json(), "types": calls.schema.simpleString(), "split": split, "splits": splits}))
     storage.write_text(spark, f"{path}/CURRENT", str(version))
     return version
 
