@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each one operator of ``parlance.llm`` on all that its
 predecessor kept.
 
-1. language: documents without a letter of any script (and null texts) go; all others stay.
+1. language: documents without a letter of any script (and null texts) go, and those whose text is surely
+   (``SURE``) in another language than their own lang says; all others stay.
 2. near_duplicates: of each group of SimHash near copies (fingerprints that differ in ``RADIUS`` bits or
    fewer) one row stays, that of the least doc_id (a null id only where no row of the group has one; of
    rows that share the least id, one).
@@ -24,15 +25,21 @@ from parlance.llm.shared import stage
 
 #: One bit more than op9's contract: three bits in 64 still tell unlike texts apart, and catch more near copies.
 RADIUS = 3
+#: The score from which on a language that contradicts a document's own lang counts. Short texts of any
+#: language score lower, so an unclear text never goes for its language.
+SURE = 0.95
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows stay with their verdict in one pass: no join."""
+    """Documents whose language is found and does not contradict their lang. A lang that is null or was not
+    learned contradicts nothing. Rows stay with their verdict in one pass: no join."""
     model = langid.train(docs, F.lit(True))
     if model is None:  # nothing to learn from: the letters alone decide
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs, model, names=("__lang", "__sure"))
-    return found.where(F.col("__lang") != langid.UND).select(*docs.columns)
+    learned = F.coalesce(F.col("lang").isin(model.languages), F.lit(False))
+    contradicted = learned & (F.col("__lang") != F.col("lang")) & (F.col("__sure") >= SURE)
+    return found.where((F.col("__lang") != langid.UND) & ~contradicted).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +54,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix takes, as often as it takes them."""
     return mixing.mixed_rows(docs)
 
 
