@@ -27,7 +27,7 @@ from parlance.llm.shared import stage
 RADIUS = 3
 #: The score from which on a language that contradicts a document's own lang counts. Short texts of any
 #: language score lower, so an unclear text never goes for its language.
-SURE = 0.95
+SURE = 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
