@@ -89,3 +89,16 @@ def test_unlabelled_documents_with_a_letter_stay(spark, tmp_path):
     df = spark.createDataFrame([(i, t, None, "a", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.language(spark, df, str(tmp_path))
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 4]
+
+
+def test_a_text_of_another_language_than_its_own_goes(spark):
+    import random
+
+    rng = random.Random(6)
+    stems = {"aa": "the ing of tion and er".split(), "bb": "der ung keit sch über ein".split()}
+    made = lambda lang: " ".join("".join(rng.choices(stems[lang], k=2)) for _ in range(200))
+    rows = [(k, made("aa" if k % 2 else "bb"), "aa" if k % 2 else "bb", "s", 1) for k in range(400)]
+    rows += [(500, made("aa"), "bb", "s", 1), (501, made("bb"), None, "s", 1), (502, "12 ?", "zz", "s", 1), (503, "12 !", "aa", "s", 1), (504, "the", "bb", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, df, "").collect()}
+    assert {r[0] for r in rows} - kept == {500, 502, 503}
