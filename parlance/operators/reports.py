@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip
 from . import metrics as M
-from .sequences import bio_spans
+from .sequences import bio_spans, running_totals
 
 # ---- top rows and thinning
 
@@ -27,21 +27,23 @@ def first_items(items: Column, k: int) -> Column:
     return F.slice(items, 1, k)
 
 
+def _numbered(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Adds each row's place in its group, ``__k`` from 0, and the group's rows, ``__n``."""
+    t = running_totals(df, group, order, {"__place": F.lit(1)})
+    return t.select(*df.columns, (F.col("__place") - 1).alias("__k"), F.col("__place_all").alias("__n"))
+
+
 def thinned(df: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
     """Every n-th row of each group from its first on, where n is how often ``most`` goes into its rows."""
-    own = Window.partitionBy(*group)
-    k = F.row_number().over(own.orderBy(*order)) - 1
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(own) / most))
-    return df.withColumn("__k", k).withColumn("__step", step).where(F.col("__k") % F.col("__step") == 0).drop("__k", "__step")
+    step = F.greatest(F.lit(1), F.floor(F.col("__n") / most))
+    return _numbered(df, group, order).where(F.col("__k") % step == 0).drop("__k", "__n")
 
 
 def evenly(df: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
     """``most`` rows of each group, evenly from the first to the last, places cut to whole numbers;
     a group of no more rows stays whole."""
-    own = Window.partitionBy(*group)
-    numbered = df.withColumn("__k", F.row_number().over(own.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(own))
     # the least j whose place j * (n - 1) / (most - 1) is not before k is the only one that can be cut to k
-    numbered = numbered.withColumn("__j", F.expr(f"(__k * {most - 1} + __n - 2) div greatest(__n - 1, 1)"))
+    numbered = _numbered(df, group, order).withColumn("__j", F.expr(f"(__k * {most - 1} + __n - 2) div greatest(__n - 1, 1)"))
     near = F.expr(f"(__j * (__n - 1)) div {most - 1}")
     return numbered.where((F.col("__n") <= most) | (near == F.col("__k"))).drop("__k", "__n", "__j")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip
+from ..storage import staged
 
 
 def running(*keys: str, order: list[str]):
@@ -109,11 +110,30 @@ def timings(turns: DataFrame, n_tokens: str, key: str = "call_id", rate: float =
     return turns.withColumn("t_end", end).withColumn("t_start", F.col("t_end") - length)
 
 
+def running_totals(df: DataFrame, group: list[str], order: list[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Adds, under new names, the sums of columns over all rows of the group up to each row, in order, and
+    ``<name>_all``, those over the whole group; groups may be few and large.
+
+    Two steps: rows are dealt to ranges of (group, order) and staged, each range is a window of its own, and
+    the ranges' sums are added up in a second, small window. So no task holds a group."""
+    ranges = df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id())
+    ranges = staged(ranges, "ranges")
+    own = ranges.groupBy(*group, "__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    parts = Window.partitionBy(*group)
+    before = parts.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = own.select(*[F.col(g).alias(f"__of_{g}") for g in group], F.col("__part").alias("__of"), *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums], *[F.sum(f"__{n}").over(parts).alias(f"{n}_all") for n in sums])
+    same = F.col("__part") == F.col("__of")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    within = Window.partitionBy(*group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranges.withColumns({n: F.sum(c).over(within) for n, c in sums.items()}).join(offsets, same)
+    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).select(*df.columns, *sums, *[f"{n}_all" for n in sums])
+
+
 def laid_out(parts: DataFrame, key: str, order: list[str], seconds: str, gap: float = 0.25) -> DataFrame:
     """Adds (t_start, t_end) of parts that follow each other with a gap between them."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(seconds).over(w) + gap * (F.count("*").over(w) - 1)
-    return parts.withColumn("t_end", end).withColumn("t_start", F.col("t_end") - F.col(seconds))
+    t = running_totals(parts, [key], order, {"__upto": F.col(seconds), "__place": F.lit(1)})
+    return t.withColumn("t_end", F.col("__upto") + gap * (F.col("__place") - 1)).withColumn("t_start", F.col("t_end") - F.col(seconds)).select(*parts.columns, "t_end", "t_start")
 
 
 def delta_regression(frames: DataFrame, key: str, pos: str, value: str, reach: int = 2) -> DataFrame:

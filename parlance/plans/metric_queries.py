@@ -181,8 +181,9 @@ def finite_guard(spark, sf):
 
 
 def g711_codes(spark, sf):
-    """Every 16-bit sample through both laws and back, summed by code."""
-    s = spark.range(-32768, 32768).select(F.col("id").cast("int").alias("pcm"))
+    """The embeddings' numbers as 16-bit samples through both laws and back, summed by code."""
+    x = B.load(spark, sf, "embeddings").select(F.explode("embedding").alias("x"))
+    s = x.select(F.greatest(F.lit(-32768), F.least(F.lit(32767), F.round(F.col("x").cast("double") * 32767))).cast("int").alias("pcm"))
     s = s.withColumn("u", g711.ulaw_encode(F.col("pcm"))).withColumn("a", g711.alaw_encode(F.col("pcm")))
     s = s.withColumn("from_u", g711.ulaw_decode(F.col("u"))).withColumn("from_a", g711.alaw_decode(F.col("a")))
     u = s.groupBy(F.col("u").alias("code")).agg(F.count("*").alias("n_u"), F.max("from_u").alias("level_u"), F.min("pcm").alias("low_u"))
@@ -327,7 +328,7 @@ ORACLES = {
     "corpus_listing": f"WITH {B.ACTED_SQL} SELECT call_id, count(*) AS n_turns, sum(n_tokens)::BIGINT AS n_tokens, arg_max(act, turn_index) AS last_act, md5(coalesce(string_agg(text, '|' ORDER BY turn_index) FILTER (speaker = 'caller'), '')) AS caller_text, round(avg(rank), 6) AS mean_rank, arg_min(act, turn_index) AS first_act, count(*) FILTER (speaker = 'callee') AS callee_turns, count(*) FILTER (rank >= 0.8) AS pressing, max(rank) AS peak, round(sum(greatest(0.7, n_tokens / 2.6)) + 0.25 * (count(*) - 1), 4) AS seconds, count(DISTINCT act) AS acts FROM acted GROUP BY 1",
     "risk_bands": f"WITH {_S} SELECT CASE WHEN score < 0.35 THEN 'low' WHEN score < 0.65 THEN 'elevated' WHEN score < 0.85 THEN 'high' ELSE 'critical' END AS band, count(*) AS n, sum(label)::BIGINT AS positive FROM scored GROUP BY 1",
     "finite_guard": "SELECT event_type, round(sum(CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 0 ELSE value END), 3) AS total, count(*) AS n FROM events GROUP BY 1",
-    "g711_codes": """WITH s AS (SELECT i::INT AS pcm, i::INT >> 2 AS p, i::INT >> 3 AS q FROM range(-32768, 32768) r(i)),
+    "g711_codes": """WITH x AS (SELECT greatest(-32768, least(32767, round(unnest(embedding)::DOUBLE * 32767)))::INT AS i FROM embeddings), s AS (SELECT i AS pcm, i >> 2 AS p, i >> 3 AS q FROM x WHERE i IS NOT NULL),
       v AS (SELECT *, least(abs(p), 8159) + 33 AS v, CASE WHEN q >= 0 THEN q ELSE -q - 1 END AS w FROM s),
       g AS (SELECT *, CASE WHEN v <= 63 THEN 0 WHEN v <= 127 THEN 1 WHEN v <= 255 THEN 2 WHEN v <= 511 THEN 3 WHEN v <= 1023 THEN 4 WHEN v <= 2047 THEN 5 WHEN v <= 4095 THEN 6 WHEN v <= 8191 THEN 7 ELSE 8 END AS us,
             CASE WHEN w <= 31 THEN 0 WHEN w <= 63 THEN 1 WHEN w <= 127 THEN 2 WHEN w <= 255 THEN 3 WHEN w <= 511 THEN 4 WHEN w <= 1023 THEN 5 WHEN w <= 2047 THEN 6 ELSE 7 END AS s FROM v),

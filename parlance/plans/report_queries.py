@@ -168,9 +168,9 @@ def channel_lift(spark, sf):
 
 
 def paired_sets(spark, sf):
-    """Pages as recordings and documents as renderings of the same number."""
-    p, d = B.load(spark, sf, "pages").select(F.col("page_id").alias("key"), F.length("html").alias("n")), B.load(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.length("text").alias("n"))
-    return P.paired(p, d.where("key % 2 = 0"), "key")
+    """Pages as recordings and documents of two languages as renderings of the same number."""
+    p, d = B.load(spark, sf, "pages").select(F.col("page_id").alias("key"), F.length("html").alias("n")), B.load(spark, sf, "documents").where(F.col("lang").isin("en", "fr")).select(F.col("doc_id").alias("key"), F.length("text").alias("n"))
+    return P.paired(p, d, "key")
 
 
 def pair_splits(spark, sf):
@@ -409,7 +409,7 @@ ORACLES = {
     "voice_ladder": f"WITH {MEASURED_SQL} SELECT vec_id, round(CASE WHEN vec_id % 4 = 0 THEN least(shimmer, 1) WHEN vec_id % 4 = 2 THEN least(shimmer * 2, 1) WHEN vec_id % 3 = 0 THEN {_LOGIT.format(x='(hnr - 10)')} ELSE {_LOGIT.format(x='raw')} END, 6) AS score, CASE WHEN vec_id % 4 = 0 THEN 'rawnet' WHEN vec_id % 4 = 2 THEN 'gbm' WHEN vec_id % 3 = 0 THEN 'gmm' ELSE 'heuristic' END AS backend FROM raws",
     "anchored_arousal": f"WITH {MEASURED_SQL}, c AS (SELECT vec_id, jitter AS f0_cv, shimmer AS f0_span, spec_flatness_var AS emphasis_var, hnr AS rate_std, spk_consistency AS v FROM m), a AS (SELECT vec_id, v, {_part('f0_cv')} AS at_f0_cv, {_RAW} AS raw FROM c) SELECT vec_id, round(at_f0_cv, 5) AS at_f0_cv, round(least(greatest(CASE WHEN v < 0.25 THEN v / 0.25 * raw + (1 - v / 0.25) * 0.5 ELSE raw END, 0), 1), 5) AS arousal FROM a",
     "channel_lift": f"WITH {MEASURED_SQL}, c AS (SELECT vec_id, -60 + hnr AS a, -60 + 100 * shimmer AS b FROM m), t AS (SELECT *, greatest(a, b) + 1 AS t FROM c) SELECT vec_id, round(a, 4) AS floor_real, round(b, 4) AS floor_made, round(t, 4) AS target, round(10 * log10(pow(10, t / 10) - pow(10, a / 10)), 4) AS lift_real, round(10 * log10(pow(10, t / 10) - pow(10, b / 10)), 4) AS lift_made FROM t",
-    "paired_sets": "WITH p AS (SELECT page_id AS key, length(html)::INT AS n FROM pages), d AS (SELECT doc_id AS key, length(text)::INT AS n FROM documents WHERE doc_id % 2 = 0) SELECT key, n, 0 AS label FROM p WHERE key IN (SELECT key FROM d) UNION ALL SELECT key, n, 1 FROM d WHERE key IN (SELECT key FROM p)",
+    "paired_sets": "WITH p AS (SELECT page_id AS key, length(html)::INT AS n FROM pages), d AS (SELECT doc_id AS key, length(text)::INT AS n FROM documents WHERE lang IN ('en', 'fr')) SELECT key, n, 0 AS label FROM p WHERE key IN (SELECT key FROM d) UNION ALL SELECT key, n, 1 FROM d WHERE key IN (SELECT key FROM p)",
     "pair_splits": "WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('pairs:' || c_custkey), c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer) SELECT CASE WHEN k < floor(n * 0.75) THEN 'train' ELSE 'dev' END AS split, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM k GROUP BY 1",
     "borrowed_negatives": f"WITH {B.SCORED_SQL} SELECT label = 0 AS borrowed, lang, count(*) AS n, sum(label)::BIGINT AS positive, round(avg(score), 6) AS mean FROM scored WHERE (lang IN ('de', 'es') AND label = 1) OR (lang IN ('en', 'fr') AND label = 0) GROUP BY ALL",
     "split_overlap": "WITH d AS (SELECT DISTINCT lang, source || ':' || doc_id % 7 AS speaker FROM documents WHERE lang IS NOT NULL) SELECT a.lang AS first, b.lang AS second, count(*) AS n FROM d a JOIN d b ON a.speaker = b.speaker AND a.lang < b.lang GROUP BY ALL",
