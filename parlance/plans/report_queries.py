@@ -280,18 +280,23 @@ def corpus_measures(spark, sf):
 _LABEL = "CASE WHEN call_id % 2 = 1 THEN 'scam' ELSE 'benign' END"
 
 
+def fusion_rows(spark, sf):
+    """Labelled documents with four features."""
+    d = B.scored_documents(spark, sf).join(B.load(spark, sf, "documents").select("doc_id", F.log1p("n_chars").alias("size"), F.regexp_count("text", F.lit("[!?]")).cast("double").alias("marks")), "doc_id")
+    return d.select("doc_id", "label", "score", "size", "marks", F.col("quality").cast("double").alias("quality"))
+
+
 def fused_risk(spark, sf):
     """The fused score of every labelled document: standardised, logistic, calibrated on held-out folds."""
-    d = B.scored_documents(spark, sf).join(B.load(spark, sf, "documents").select("doc_id", F.log1p("n_chars").alias("size"), F.regexp_count("text", F.lit("[!?]")).cast("double").alias("marks")), "doc_id")
-    rows = d.select("doc_id", "label", "score", "size", "marks", F.col("quality").cast("double").alias("quality"))
+    rows = fusion_rows(spark, sf)
     model = D.train_fusion(rows, ["score", "size", "marks", "quality"], "label", "doc_id", sample=4000)
     return D.apply_fusion(rows, model).select("doc_id", "label", F.round("risk", 6).alias("risk"), F.round(F.col("contributions")["size"], 6).alias("by_size"))
 
 
 def boosted_voice(spark, sf):
-    """Boosted trees on all vectors' first numbers, fitted where the rows lie."""
-    e = B.load(spark, sf, "embeddings").select("vec_id", (F.col("label") >= 5).cast("int").alias("label"), *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(12)])
-    return D.boosted_scores(e, [f"x{k}" for k in range(12)], "label").select("vec_id", "label", F.round("boosted", 6).alias("boosted"))
+    """Boosted trees on all vectors' numbers, fitted where the rows lie."""
+    e = B.load(spark, sf, "embeddings").select("vec_id", (F.col("label") >= 5).cast("int").alias("label"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(64)])
+    return D.boosted_scores(e, [f"x{k}" for k in range(64)], "label").select("vec_id", "label", F.round("boosted", 6).alias("boosted"))
 
 
 def tones(spark, sf):
