@@ -186,7 +186,8 @@ def length_histogram(docs: DataFrame, *, block: int = 128, **how) -> DataFrame:
     documents this long or longer), docs_below, truncated_tokens (what all documents keep when each
     is cut to n_tokens), and quantile (share of documents of this length or less). Sums run in two
     steps, over blocks of ``block`` lengths and within each, so no task holds all lengths. A null or
-    empty text has length 0; an empty table gives no rows.
+    empty text has the length of its end tokens, ``end_tokens`` (one in the query op10, none by default);
+    an empty table gives no rows.
     """
     h = stage(lengths(docs, **how), "lengths").withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / block))
     sums = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
