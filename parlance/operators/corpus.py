@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from .metrics import with_percentiles
 
 
@@ -80,6 +81,7 @@ def anchors(turns: DataFrame, value: str, label: str, least: int = 30, tolerance
     """(p10, p90, low, high, gap, status) of a trace over all turns of two classes: the medians' gap over
     the span; ok, flat or wrong; too few turns: ``few``."""
     own = turns.select(F.col(value).alias("v"), F.when(F.col(label) == 0, F.col(value)).alias("v0"), F.when(F.col(label) == 1, F.col(value)).alias("v1"))
+    own = staged(own, "trace")  # made once, read for each summary
     a = with_percentiles(own.agg(F.count("v").alias("n")), own, [], "v", {"p10": 0.1, "p90": 0.9})
     a = with_percentiles(with_percentiles(a, own, [], "v0", {"low": 0.5}), own, [], "v1", {"high": 0.5})
     gap = F.try_divide(F.col("high") - F.col("low"), F.col("p90") - F.col("p10"))

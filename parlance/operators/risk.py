@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip, finite
 from ..schema import FEATURES, arm_features, risk_band
+from ..storage import staged
 from .metrics import with_percentiles
 from .sequences import running
 
@@ -114,7 +115,9 @@ def time_to_detection(timeline: DataFrame, threshold: float, key: str = "call_id
 
 
 def ttd_stats(found: DataFrame, group: list[str]) -> DataFrame:
-    """(group, counts, rate, mean, extremes, percentiles) of detection times; calls never detected count in the rate."""
+    """(group, counts, rate, mean, extremes, percentiles) of detection times; calls never detected count in the rate.
+    The times are staged: they are read once for each summary, and made once."""
+    found = staged(found.select(*group, "ttd", "ttd_turns"), "ttd")
     c = found.groupBy(*group).agg(F.count("ttd").alias("detected"), F.count("*").alias("total"), (F.count("ttd") / F.count("*")).alias("detection_rate"), F.avg("ttd").alias("mean"), F.min("ttd").alias("min"), F.max("ttd").alias("max"))
     c = with_percentiles(c, found, group, "ttd", {"median": 0.5, "p90": 0.9})
     return with_percentiles(c, found, group, "ttd_turns", {"median_turns": 0.5})

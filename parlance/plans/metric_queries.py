@@ -13,6 +13,7 @@ from ..operators import reports as P
 from ..operators import sequences as S
 from ..schema import risk_band
 from ..sources import transcripts as T
+from ..storage import staged
 from . import base as B
 
 
@@ -46,7 +47,7 @@ ARMS_SQL = B.SCORED_SQL + ", arms AS (SELECT doc_id, lang, source, label, qualit
 
 
 def ablation(spark, sf):
-    a = arms(spark, sf)
+    a = staged(arms(spark, sf).select("arm", "score", "label"), "arms")  # made once, read by each metric
     out = M.roc_auc(a, ["arm"]).join(M.confusion(a, ["arm"], 0.65), "arm").join(M.equal_error(M.det_curve(a, ["arm"]), ["arm"]).drop("threshold"), "arm")
     return B.rounded(out, "auc", "accuracy", "precision", "recall", "f1", "eer")
 
@@ -122,7 +123,7 @@ def confound_audit(spark, sf):
 
 
 def ood_recall(spark, sf):
-    d = B.scored_documents(spark, sf)
+    d = staged(B.scored_documents(spark, sf).select("lang", "score", "label"), "scores")
     own = d.where("label = 1")
     out = M.with_percentiles(own.groupBy("lang").agg(F.avg((F.col("score") >= 0.7).cast("double")).alias("recall"), F.avg("score").alias("mean")), own, ["lang"], "score", {"p10": 0.1, "median": 0.5, "p90": 0.9})
     alarms = d.where("label = 0").groupBy("lang").agg(F.avg((F.col("score") >= 0.7).cast("double")).alias("false_alarms"))

@@ -9,6 +9,7 @@ from ..functions.text import clip
 from ..operators import risk as R
 from ..operators import sequences as S
 from ..operators.metrics import percentiles, with_percentiles
+from ..storage import staged
 from . import base as B
 from .text_queries import RULES_SQL, rule_scores
 
@@ -196,6 +197,7 @@ def ttd_stats(spark, sf):
 
 def ttd_by_group(spark, sf):
     s = _ttd(spark, sf).withColumn("scenario", F.pmod("call_id", F.lit(4))).where("ttd IS NOT NULL")
+    s = staged(s.select("scenario", "ttd"), "ttd")
     return B.rounded(with_percentiles(s.groupBy("scenario").agg(F.count("*").alias("n")), s, ["scenario"], "ttd", {"median": 0.5}), "median", to=5)
 
 

@@ -1,8 +1,10 @@
-"""Where streams keep their checkpoints and results: the folder that all executors share."""
+"""Where streams keep their checkpoints and results, and staged tables lie: the folder that all executors
+share, below one folder of the application's own, which goes at the driver's exit."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -26,8 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_own: dict[str, str] = {}
+
+
+def remove_own(spark: SparkSession) -> None:
+    """Removes all that this application has put below its folder; results that still read it can't be read then."""
+    for folder in list(_own.values()):
+        with contextlib.suppress(Exception):  # at exit the session may be gone already
+            delete(spark, folder)
+    _own.clear()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/parlance-{name}-{uuid.uuid4().hex}"
+    top = shared_dir(spark)
+    if top not in _own:
+        if not _own:
+            atexit.register(remove_own, spark)
+        _own[top] = f"{top}/parlance-{uuid.uuid4().hex}"
+    return f"{_own[top]}/{name}-{uuid.uuid4().hex}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
