@@ -10,8 +10,10 @@ What the corpus gives are exact counts of all (DEPTH + 1)-grams of the training
 task before they are shuffled. Every context seen ``LEAST`` times or more is a node of its own, at
 every size of the corpus; the rest of its parent's occurrences form one further leaf. So the tree
 grows with the corpus and lies nowhere whole: its first ``TOP`` depths, which the bytes' alphabet
-bounds, are weighed on the driver, and the subtrees below them where their grams are dealt. Each
-distinct gram of the documents is scored there once. The most frequent grams and words, up to
+bounds, are weighed on the driver, and the subtrees below them where their grams are dealt, by their
+context of TOP + 1 bytes. A context with more than ``HOT_GRAMS`` distinct grams is dealt by one byte more,
+and so on, its own nodes (256 at most) being weighed on the driver; so no task holds more, and there are
+at most as many such contexts as there are grams over ``HOT_GRAMS``. Each distinct gram of the documents is scored there once. The most frequent grams and words, up to
 ``HELD_GRAMS`` and ``HELD_WORDS``, are broadcast with their scores or counts, all other (row, word)
 and (row, gram) pairs meet theirs in a shuffled join.
 
@@ -49,6 +51,8 @@ _FLUSH = 3 << 20
 _WAITING = 1 << 20
 #: Grams whose subtrees are weighed at once.
 _RUN = 1 << 17
+#: Contexts with more distinct grams are dealt by a byte more; five bytes have 65,536 grams at most.
+HOT_GRAMS = 1 << 18
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +203,7 @@ class Tree:
         parts = []
         for d, n, own, up in zip(range(self.first, len(self.keys)), counts, of, parent, strict=True):
             byte = (self.keys[d] & U(255)).astype(np.int64)
-            node, bit = own * 256 + (1 << k | byte >> (8 - k)), byte >> (7 - k) & 1
+            node, bit = own.astype(np.int64) * 256 + (1 << k | byte >> (8 - k)), byte >> (7 - k) & 1
             new = np.concatenate(([True], node[1:] != node[:-1])) if len(node) else np.zeros(0, bool)
             first = np.flatnonzero(new)
             mine = self.nodes[d][k] = node[first]
@@ -322,21 +326,21 @@ def learn(counts: DataFrame) -> Tree:
     return Tree(levels_of(*_arrays(counts.where("kind = 1 AND n > 0").select("key", "n")), 0, DEPTH)).weigh()
 
 
-def _subtrees(batches, top: Tree):
-    """(grams, occurrences, their subtrees) by runs of whole contexts of TOP + 1 bytes, as the rows
-    (key, learnt, n) come sorted."""
+def _subtrees(batches, above: Tree, width: int):
+    """(grams, occurrences, their subtrees) by runs of whole contexts of ``width`` bytes, as the rows
+    (key, learnt, n) come sorted; ``above`` has the depths below ``width``."""
     held, rows, limit = [], 0, _RUN
 
     def made(keys, learnt, n):
         some = learnt > 0
-        return keys, n, Tree(levels_of(keys[some], learnt[some], TOP + 1, DEPTH), top)
+        return keys, n, Tree(levels_of(keys[some], learnt[some], width, DEPTH), above)
 
     for batch in batches:
         held.append((batch.column(0).to_numpy().view(U), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
         rows += batch.num_rows
         if rows >= limit:
             keys, learnt, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            context = keys >> U(8) & U((1 << 8 * (TOP + 1)) - 1)
+            context = keys >> U(8) & U((1 << 8 * width) - 1)
             cut = int(np.argmax(context == context[-1]))  # the last context may go on
             if cut:
                 yield made(keys[:cut], learnt[:cut], n[:cut])
@@ -346,44 +350,94 @@ def _subtrees(batches, top: Tree):
         yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _low_bytes(some: int) -> Column:
+    return F.col("key").bitwiseAND(F.lit((1 << 8 * some) - 1))
+
+
+def _level(grams: DataFrame, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The level of this depth of some rows (key, learnt): few contexts, 256 keys each at most."""
+    return levels_of(*_arrays(grams.where("learnt > 0").groupBy(_low_bytes(depth + 1).alias("key")).agg(F.sum("learnt").alias("n"))), depth, depth)
+
+
+def dealt_grams(grams: DataFrame) -> list[tuple[int, DataFrame, DataFrame]]:
+    """(width, rows, rest) for each width of context, from TOP + 1 bytes on, that rows (key, learnt, n) are
+    dealt by: ``rows`` are those whose context has at most ``HOT_GRAMS`` grams (with DEPTH bytes: all),
+    ``rest`` those and all that are dealt by more bytes."""
+    spark, out, rest = grams.sparkSession, [], grams
+    for width in range(TOP + 1, DEPTH + 1):
+        rows = rest.withColumn("context", F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * width) - 1)))
+        hot = rows.groupBy("context").count().where(F.col("count") > HOT_GRAMS).select("context").toArrow() if width < DEPTH else []
+        if not len(hot):
+            return [*out, (width, rows, rest)]
+        hot = F.broadcast(spark.createDataFrame(hot))  # one row for HOT_GRAMS grams or more
+        out.append((width, rows.join(hot, "context", "left_anti"), rest))
+        rest = rows.join(hot, "context", "left_semi").drop("context")
+    raise AssertionError("contexts of DEPTH bytes are never dealt by more")
+
+
 def gram_scores(counts: DataFrame) -> DataFrame:
     """(key, n, log): of every gram of all rows how often it occurs and its log10 probability."""
-    spark = counts.sparkSession
-    first = Tree(levels_of(*_arrays(counts.where("kind = 1 AND n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))), 0, TOP))
-    size = [len(x) for x in first.nodes[TOP]]
-    shape = spark.sparkContext.broadcast(first)
-    context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1))
-    dealt = counts.where("kind = 1").select("key", F.col("n").alias("learnt"), (F.col("n") + F.col("m")).alias("n"), context.alias("context")).repartition("context").sortWithinPartitions("context").select("key", "learnt", "n")
-
-    def lifted(batches):
-        sums = [[np.zeros(m) for _ in range(3)] for m in size]
-        for _, _, tree in _subtrees(batches, shape.value):
+    sc = counts.sparkSession.sparkContext
+    grams = counts.where("kind = 1").select("key", F.col("n").alias("learnt"), (F.col("n") + F.col("m")).alias("n"))
+    deals = dealt_grams(grams)
+    first = grams.where("learnt > 0").groupBy(_low_bytes(TOP + 1).alias("key")).agg(F.sum("learnt").alias("n"))
+    # trees[i] ends where what deals[i] deals begins
+    trees = [Tree(levels_of(*_arrays(first), 0, TOP))]
+    for width, _, rest in deals[1:]:
+        trees.append(Tree(_level(rest, width - 1), trees[-1]))
+    dealt = [rows.repartition("context").sortWithinPartitions("context").select("key", "learnt", "n") for _, rows, _ in deals]
+    names = ["below", "zeros", "ones"]
+
+    def sums_of(i: int) -> list[list[np.ndarray]]:
+        """By decision: the sums over the children that deals[i] holds of the deepest nodes of trees[i]."""
+        width, size, shape = deals[i][0], [len(x) for x in trees[i].nodes[deals[i][0] - 1]], sc.broadcast(trees[i])
+
+        def lifted(batches):
+            sums = [[np.zeros(m) for _ in range(3)] for m in size]
+            for _, _, tree in _subtrees(batches, shape.value, width):
+                for k in range(8):
+                    for mine, more in zip(sums[k], tree.lift(k), strict=True):
+                        mine += more
+            for k, (below, zeros, ones) in enumerate(sums):
+                at = np.flatnonzero(zeros + ones)
+                for a in range(0, len(at), 1 << 16):
+                    some = at[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(some << 3 | k), *(pa.array(x[some]) for x in (below, zeros, ones))], names=["node", *names])
+
+        t = dealt[i].mapInArrow(lifted, "node long, below double, zeros double, ones double").groupBy("node").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+        node, children = t["node"].to_numpy(), [[np.zeros(m) for _ in range(3)] for m in size]
+        for k in range(8):
+            mine = node & 7 == k
+            for x, name in zip(children[k], names, strict=True):
+                x[node[mine] >> 3] = t[name].to_numpy()[mine]
+        return children
+
+    children: list = [None] * len(deals)
+    for i in reversed(range(len(deals))):
+        children[i] = sums_of(i)
+        if i + 1 < len(deals):  # and the hot contexts' own nodes
             for k in range(8):
-                for mine, more in zip(sums[k], tree.lift(k), strict=True):
+                for mine, more in zip(children[i][k], trees[i + 1].lift(k, children[i + 1][k]), strict=True):
                     mine += more
-        for k, (below, zeros, ones) in enumerate(sums):
-            at = np.flatnonzero(zeros + ones)
-            for a in range(0, len(at), 1 << 16):
-                some = at[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(some << 3 | k), *(pa.array(x[some]) for x in (below, zeros, ones))], names=["node", "below", "zeros", "ones"])
+    for tree, below in zip(trees, children, strict=True):
+        tree.weigh(below)
 
-    names = ["below", "zeros", "ones"]
-    t = dealt.mapInArrow(lifted, "node long, below double, zeros double, ones double").groupBy("node").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
-    node, children = t["node"].to_numpy(), [[np.zeros(m) for _ in range(3)] for m in size]
-    for k in range(8):
-        mine = node & 7 == k
-        for x, name in zip(children[k], names, strict=True):
-            x[node[mine] >> 3] = t[name].to_numpy()[mine]
-    top = spark.sparkContext.broadcast(first.weigh(children))
-
-    def scored(batches):
-        for keys, n, tree in _subtrees(batches, top.value):
-            logs = tree.weigh().log10(keys)
-            for a in range(0, len(keys), 1 << 16):
-                z = a + (1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:z].view(np.int64)), pa.array(n[a:z]), pa.array(logs[a:z])], names=["key", "n", "log"])
+    def scored(i: int) -> DataFrame:
+        width, above = deals[i][0], sc.broadcast(trees[i])
+
+        def run(batches):
+            for keys, n, tree in _subtrees(batches, above.value, width):
+                logs = tree.weigh().log10(keys)
+                for a in range(0, len(keys), 1 << 16):
+                    z = a + (1 << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:z].view(np.int64)), pa.array(n[a:z]), pa.array(logs[a:z])], names=["key", "n", "log"])
+
+        return dealt[i].mapInArrow(run, "key long, n long, log double")
 
-    return stage(dealt.mapInArrow(scored, "key long, n long, log double"), "scores")
+    out = scored(0)
+    for i in range(1, len(deals)):
+        out = out.unionAll(scored(i))
+    return stage(out, "scores")
 
 
 def most_frequent(counted: DataFrame, most: int) -> Column:

@@ -128,6 +128,30 @@ def test_subtrees_give_the_whole_tree_s_scores(spark, docs, monkeypatch):
     assert [r.log for r in got] == pytest.approx(tree.log10(np.array([r.key for r in got], np.uint64)).tolist(), rel=1e-5, abs=1e-6)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 40])
+def test_hot_contexts_are_dealt_by_more_bytes(spark, docs, monkeypatch, hot):
+    """One three-byte context has most grams; its tasks give what the whole tree gives."""
+    monkeypatch.setattr(ctw, "HOT_GRAMS", hot)
+    monkeypatch.setattr(ctw, "_RUN", 50)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    skewed = spark.createDataFrame([(f"{a}{b}the{c}{d} {a}the{b}",) for a in letters for b in letters[::3] for c in letters[::9] for d in "xy"], "text string")
+    df = docs.select("text").unionAll(skewed).coalesce(3).withColumn("id", F.monotonically_increasing_id())
+    learnt = F.col("id") % 3 != 1
+    counts = ctw.corpus_counts(df, "text", learnt)
+    grams = counts.where("kind = 1").select("key", F.col("n").alias("learnt"), (F.col("n") + F.col("m")).alias("n"))
+    deals = ctw.dealt_grams(grams)
+    assert [w for w, _, _ in deals] == list(range(ctw.TOP + 1, ctw.TOP + 1 + len(deals))) and len(deals) > 1
+    assert sum(rows.count() for _, rows, _ in deals) == grams.count()
+    for width, rows, _ in deals:
+        assert width == ctw.DEPTH or all(r["count"] <= hot for r in rows.groupBy("context").count().collect())
+    under = [(width, r.context) for width, rows, _ in deals for r in rows.where(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF)) == int.from_bytes(b"the", "big")).collect()]
+    assert len(under) > 400 and len(set(under)) > 20
+    tree = ctw.learn(ctw.corpus_counts(df.where(learnt), "text"))
+    got = ctw.gram_scores(counts).collect()
+    assert len(got) == len({r.key for r in got}) == grams.count()
+    assert [r.log for r in got] == pytest.approx(tree.log10(np.array([r.key for r in got], np.uint64)).tolist(), rel=1e-5, abs=1e-6)
+
+
 def test_most_frequent_holds_no_more_than_asked(spark):
     df = spark.createDataFrame([(n,) for n in (1, 1, 1, 2, 3, 3, 9, 500)], "n long")
     for most in range(10):
