@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import script as X
+from ..functions.mixing import code_mixing
 from ..operators import census as N
 from ..schema import ACTS, ENTITY_TYPES
 from . import base as B
@@ -41,7 +42,15 @@ def devanagari_texts(spark, sf):
     return d.select("doc_id", F.length("said").alias("n_chars"), F.regexp_count("said", F.lit("[\u0900-\u097F]")).alias("n_written"), F.md5(F.col("said").cast("binary")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_census, devanagari_texts)}
+def turn_mixing(spark, sf):
+    """Code mixing of every turn; tokens of the entity words are tagged."""
+    words = sorted({w for v in B.ENTITY_WORDS.values() for w in v})
+    t = B.turns(spark, sf).withColumn("lang", F.transform("tokens", B.lang)).withColumn("bio", F.transform("tokens", lambda w: F.when(F.lower(w).isin(*words), "B-X").otherwise("O")))
+    t = t.select("call_id", "turn_index", code_mixing(F.col("tokens"), F.col("lang"), F.col("bio"), *LANGS).alias("m")).select("call_id", "turn_index", "m.*")
+    return B.rounded(t, *t.columns[3:])
+
+
+QUERIES = {f.__name__: f for f in (corpus_census, devanagari_texts, turn_mixing)}
 
 _TYPED = ", ".join(f"count(*) FILTER (type = '{t}') AS type_{t}" for t in ENTITY_TYPES)
 _pairs = lambda prefix, names: f"unnest({list(names)}) AS key, unnest([{', '.join(f'sum({prefix}_{n})' for n in names)}]) AS value"
@@ -55,6 +64,10 @@ _WRITTEN = f"""CASE WHEN {_is('u[i]', X.CONSONANTS)} THEN map_extract({_map(X.CO
   WHEN {_is('u[i]', X.VOWELS)} THEN CASE WHEN i > 1 AND {_is('u[greatest(i - 1, 1)]', X.CONSONANTS)} THEN map_extract({_map({k: v for k, (_, v) in X.VOWELS.items()})}, u[i])[1] ELSE map_extract({_map({k: v for k, (v, _) in X.VOWELS.items()})}, u[i])[1] END
   ELSE coalesce(map_extract({_map(X.SIGNS)}, u[i])[1], u[i]) END"""
 ORACLES = {
+    "turn_mixing": f"""WITH {B.TAGGED_SQL}, c AS (SELECT call_id, turn_index, count(*) AS n, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (lang = 'xx') AS b, count(*) FILTER (lang = 'univ') AS u, count(*) FILTER (lang = 'en' AND {B.KIND_SQL} IS NOT NULL) AS ea, count(*) FILTER (lang = 'xx' AND {B.KIND_SQL} IS NOT NULL) AS eb FROM tagged GROUP BY ALL),
+      s AS (SELECT call_id, turn_index, count(*) FILTER (x <> lang) AS s FROM (SELECT call_id, turn_index, lang, lag(lang) OVER (PARTITION BY call_id, turn_index ORDER BY pos) AS x FROM tagged WHERE lang <> 'univ') GROUP BY ALL)
+      SELECT call_id, turn_index, coalesce(n, 0)::DOUBLE AS n_tokens, round(CASE WHEN a + b > 0 THEN (a + b - greatest(a, b)) / (a + b) ELSE 0 END, 6) AS cmi, round(coalesce(a / n, 0), 6) AS first_ratio, round(coalesce(b / n, 0), 6) AS second_ratio, round(coalesce(u / n, 0), 6) AS univ_ratio,
+        round(coalesce(s / greatest(a + b - 1, 1), 0), 6) AS switch_rate, coalesce(ea + eb, 0)::DOUBLE AS ent_tokens, round(CASE WHEN ea + eb > 0 THEN eb / (ea + eb) ELSE 0 END, 6) AS ent_lang_align FROM turns LEFT JOIN c USING (call_id, turn_index) LEFT JOIN s USING (call_id, turn_index)""",
     "devanagari_texts": f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ts FROM documents),
       f AS (SELECT DISTINCT unnest(ts) AS token FROM t), c AS (SELECT token, lower(regexp_replace(token, '^[{X.MARKS}]+|[{X.MARKS}]+$', '', 'g')) AS w FROM f),
       s AS (SELECT token, w, {_spelt} AS x FROM c WHERE regexp_matches(w, '^\\p{{L}}+$') AND w NOT IN {B.words(KEEP)}),

@@ -75,3 +75,22 @@ def test_pinned_spellings_and_no_vocabulary(spark):
     df = spark.createDataFrame([("main nahi",)], "t string")
     assert df.select(X.to_devanagari(F.col("t"), None, {"main": "maiM", "nahi": "nahIM"})).first()[0] == "मैं नहीं"
     assert df.select(X.to_devanagari(F.col("t"), set(), {})).first()[0] == "मैन नहि"
+
+
+def test_code_mixing(spark):
+    from parlance.functions.mixing import code_mixing
+
+    rows = [
+        (["a", "b", "c", "d"], ["en", "xx", "univ", "en"], ["O", "B-X", "B-X", "I-X"], (4.0, 1 / 3, 0.5, 0.25, 0.25, 1.0, 2.0, 0.5)),
+        ([], [], [], (0.0,) * 8),
+        (None, None, None, (0.0,) * 8),
+        (["a"], ["univ"], ["O"], (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0)),
+    ]
+    kind = "t array<string>, l array<string>, b array<string>"
+    df = spark.createDataFrame([r[:3] for r in rows], kind)
+    for bio in (F.col("b"), None):
+        for r, (*_, want) in zip(df.select(code_mixing(F.col("t"), F.col("l"), bio, "en", "xx").alias("m")).collect(), rows, strict=True):
+            assert tuple(r.m) == pytest.approx(want if bio is not None else (*want[:6], 0.0, 0.0))
+    for odd in ((["a", "b"], ["en"], ["O", "O"]), (["a"], ["en"], [])):
+        with pytest.raises(Exception, match="language tags for"):
+            spark.createDataFrame([odd], kind).select(code_mixing(F.col("t"), F.col("l"), F.col("b"), "en", "xx")).collect()
