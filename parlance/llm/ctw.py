@@ -17,6 +17,11 @@ at most as many such contexts as there are grams over ``HOT_GRAMS``. Each distin
 ``HELD_GRAMS`` and ``HELD_WORDS``, are broadcast with their scores or counts, all other (row, word)
 and (row, gram) pairs meet theirs in a shuffled join.
 
+With ``own`` a document's probability is the mean of two: that of the tree alone, and one where what the
+document itself has had so far counts as well. There, after ``own`` bytes that the document has had c times
+before, x times with this byte next, a byte has probability (x + OWN_SHARE * tree's) / (c + OWN_SHARE). Both
+are probabilities of the whole text, byte after byte, so no text falls more than log10(2) below the tree's.
+
 Defined cases: a null text is empty, one end token; a null id belongs to the training side; without
 training rows counts are 0, the tree is empty and every bit has probability 1/2.
 """
@@ -43,11 +48,15 @@ LEAST = 2
 TASK_BYTES = 64 << 20
 #: Grams and words, the most frequent ones, whose scores and counts are broadcast: so many at most.
 HELD_GRAMS, HELD_WORDS = 3 << 20, 1 << 20
+#: Bytes of a document's own context, and the weight that the tree's probability has there, in occurrences.
+OWN, OWN_SHARE = 12, 0.2
 #: The end token's key among the words' hashes, which have 63 bits.
 END_KEY = (1 << 63) - 1
 _END = 0x0A
 #: Distinct keys that a task holds, and entries that wait to be merged with them.
 _FLUSH = 3 << 20
+#: Bytes that a task counts before it sends on what it holds.
+_FLUSH_BYTES = 1 << 29
 _WAITING = 1 << 20
 #: Grams whose subtrees are weighed at once.
 _RUN = 1 << 17
@@ -94,6 +103,52 @@ def grams(buffer: np.ndarray) -> np.ndarray:
     return out
 
 
+def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each distinct key, how many places before have the key) of each place."""
+    n, bits = len(keys), max(len(keys), 1).bit_length()
+    if n and int(keys.max()) >> (64 - bits):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+    else:  # key and place fit into one number, which sorts faster
+        both = np.sort(keys << U(bits) | np.arange(n, dtype=U))
+        order, keys = (both & U((1 << bits) - 1)).astype(np.int64), both >> U(bits)
+    new = np.ones(n, bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    number, before = np.empty(n, U), np.empty(n, np.int64)
+    number[order], before[order] = group, np.arange(n) - first[group]
+    return number, before
+
+
+def had_before(buffer: np.ndarray, at: np.ndarray, length: int, seven: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, contexts, both) of a ``canonical`` buffer, whose ``grams`` are ``seven``: the places before which
+    their document has the same ``length`` bytes as somewhere earlier in it, how often it had those, and how
+    often with the place's byte next."""
+    size = np.bincount(at)
+    start = np.repeat(np.cumsum(size) - size, size)
+    place = np.flatnonzero(np.arange(len(buffer)) - start >= DEPTH + length)
+    step = DEPTH + 1
+    context = [seven[place - 1 - k] & U((1 << 8 * min(step, length - k)) - 1) for k in range(0, length, step)]
+    # most contexts occur once: only those that share the high bits of their hash with others are numbered
+    mixed = at[place].astype(U)
+    for part in context:
+        mixed = (mixed ^ part) * U(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> U(32)
+    low = U((1 << len(place).bit_length()) - 1)
+    mixed = np.sort(mixed * U(0xC2B2AE3D27D4EB4F) & ~low | np.arange(len(place), dtype=U))
+    same = np.zeros(len(place) + 1, bool)
+    same[1:-1] = (mixed[1:] ^ mixed[:-1]) <= low
+    many = np.sort((mixed[same[1:] | same[:-1]] & low).astype(np.int64))
+    place = place[many]
+    number, bits = at[place].astype(U), U(len(place).bit_length())
+    for part in context:
+        number, before = _dense(number << bits | _dense(part[many])[0])
+    both = _dense(number << U(8) | buffer[place])[1]
+    again = before > 0
+    return place[again], before[again], both[again]
+
+
 class _Counts:
     """Distinct keys, ascending, and their counts; what is added is merged into them some of it at a time."""
 
@@ -127,7 +182,7 @@ def corpus_counts(docs: DataFrame, text: str, learnt: Column | None = None) -> D
     ``learnt`` holds (n; all rows by default), and of the other rows' grams (m)."""
 
     def count(batches):
-        held = [_Counts(), _Counts()]  # by kind
+        held, size = [_Counts(), _Counts()], 0  # by kind
 
         def flush(kind):
             keys, weights = held[kind].taken()
@@ -142,11 +197,13 @@ def corpus_counts(docs: DataFrame, text: str, learnt: Column | None = None) -> D
             held[0].add(keys, n << 32)
             if mine.any():
                 held[0].add(np.array([END_KEY], U), np.array([int(mine.sum()) << 32]))
-            # both counts of a gram in one number: a task sees fewer than 2**31 bytes between flushes
+            # both counts of a gram in one number: a task flushes before it has seen 2**31 bytes
+            size += len(buffer)
             held[1].add(*tb.counted(grams(buffer)[scored], np.where(mine[at[scored]], 1 << 32, 1)))
             for kind in (0, 1):
-                if len(held[kind].keys) > _FLUSH:
+                if len(held[kind].keys) > _FLUSH or size > _FLUSH_BYTES:
                     yield from flush(kind)
+            size = 0 if size > _FLUSH_BYTES else size
         for kind in (0, 1):
             yield from flush(kind)
 
@@ -175,6 +232,11 @@ def kt_next(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return (ones + 0.5) / (zeros + ones + 1.0)
 
 
+def _narrow(p: np.ndarray) -> np.ndarray:
+    """Probabilities in 32 bits, those above one half as p - 1, so that neither p nor 1 - p becomes 0."""
+    return np.where(p > 0.5, p - 1, p).astype(np.float32)
+
+
 class Tree:
     """The weighted tree: for each depth its contexts, seen grams with their log10 probability, and
     the decisions' mixtures, from which bytes that a context has not seen are scored. With ``above``
@@ -246,7 +308,7 @@ class Tree:
                 else:
                     mixed, rest = mixed[owner] + rest[owner] * w * kt, rest[owner] * (1 - w)
                 tip = mixed + rest * x["other"]
-                self.tip[d][k], self.sub[d][k] = tip.astype(np.float32), (mixed + rest * 0.5).astype(np.float32)
+                self.tip[d][k], self.sub[d][k] = _narrow(tip), _narrow(mixed + rest * 0.5)
                 p = tip[x["place"]]
                 self.logs[d] += np.log10(np.where(x["bits"], p, 1 - p))
             self.open[k] = mixed, rest
@@ -276,7 +338,8 @@ class Tree:
                 hit = open_ & (nodes[at] == want)
                 p[hit] = (self.tip if d == depth else self.sub)[d][k][at[hit]]
                 open_ &= ~hit
-            out += np.log10(np.where(bit == 1, p, 1 - p))
+            # p may stand for 1 + p
+            out += np.log10(np.where((bit == 1) == (p > 0), np.abs(p), 1 - np.abs(p)))
         return out
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
@@ -453,9 +516,10 @@ def most_frequent(counted: DataFrame, most: int) -> Column:
     return F.lit(False) if least is None else eighth >= least
 
 
-def score(docs: DataFrame, learnt: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, learnt: Column, *, doc_id: str = "doc_id", text: str = "text", own: int = 0) -> DataFrame:
     """(doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every
-    row; the model learns from the rows for which ``learnt`` holds."""
+    row; the model learns from the rows for which ``learnt`` holds. ``own``: bytes of context after which
+    what the document itself has had earlier counts as well (0: the tree alone)."""
     spark = docs.sparkSession
     counts = corpus_counts(docs, text, learnt)
     words = counts.where("kind = 0").select("key", "n")
@@ -482,11 +546,23 @@ def score(docs: DataFrame, learnt: Column, *, doc_id: str = "doc_id", text: str
         for block in tb.blocks(batches, "text", 1 << 19):
             rows = block.num_rows
             buffer, at, scored, hashes, doc = canonical(*tb.utf8(block.column(2)))
-            found, at = grams(buffer)[scored], at[scored]
+            found = grams(buffer)
+            contexts = both = np.zeros(0, np.int64)
+            if own:
+                again, contexts, both = had_before(buffer, at, own, found)
+                again = (np.cumsum(scored) - 1)[again]
+            found, at = found[scored], at[scored]
             place = seen.find(found)
             hit = place >= 0
             bits = np.bincount(at[hit], weights=gram_logs[place[hit]], minlength=rows).astype(float)
-            rare_grams = lists(found[~hit], at[~hit], rows)
+            rare_grams, had = lists(found[~hit], at[~hit], rows), np.zeros(len(found), np.int64)
+            gain = np.zeros(rows)
+            if len(contexts):
+                had[again] = contexts << 32 | both
+                mine = hit[again]
+                tree = gram_logs[place[again[mine]]]
+                gain += np.bincount(at[again[mine]], weights=np.log10((both[mine] + OWN_SHARE * 10**tree) / (contexts[mine] + OWN_SHARE)) - tree, minlength=rows)
+            rare_had = lists(had[~hit], at[~hit], rows)
             place = table.find(hashes)
             hit = place >= 0
             known = np.bincount(doc[hit], minlength=rows)
@@ -494,20 +570,29 @@ def score(docs: DataFrame, learnt: Column, *, doc_id: str = "doc_id", text: str
             tokens = np.bincount(doc, minlength=rows) + 1
             size = np.bincount(at, minlength=rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(number + np.arange(rows)), block.column(0), block.column(1), pa.array(tokens), pa.array(known + (end > 0)), pa.array(base), pa.array(bits), pa.array(size), lists(hashes[~hit], doc[~hit], rows), rare_grams],
-                names=["row", "doc_id", "learnt", "n_tokens", "known", "base", "score", "size", "rare", "rare_grams"],
+                [pa.array(number + np.arange(rows)), block.column(0), block.column(1), pa.array(tokens), pa.array(known + (end > 0)), pa.array(base), pa.array(bits), pa.array(gain), pa.array(size), lists(hashes[~hit], doc[~hit], rows), rare_grams, rare_had],
+                names=["row", "doc_id", "learnt", "n_tokens", "known", "base", "score", "gain", "size", "rare", "rare_grams", "rare_had"],
             )
             number += rows
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), learnt.alias("learnt"), F.col(text).alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    base = stage(slim.mapInArrow(run, f"row long, doc_id {id_type}, learnt boolean, n_tokens long, known long, base double, score double, size long, rare array<long>, rare_grams array<long>"), "scored")
-    pairs = base.select("row", F.lit(0).alias("kind"), F.explode("rare").alias("key")).unionAll(base.select("row", F.lit(1).alias("kind"), F.explode("rare_grams").alias("key")))
+    base = stage(slim.mapInArrow(run, f"row long, doc_id {id_type}, learnt boolean, n_tokens long, known long, base double, score double, gain double, size long, rare array<long>, rare_grams array<long>, rare_had array<long>"), "scored")
+    words_of = base.select("row", F.lit(0).alias("kind"), F.explode("rare").alias("key"), F.lit(0).cast("long").alias("had"))
+    grams_of = base.select("row", F.lit(1).alias("kind"), F.inline(F.arrays_zip(F.col("rare_grams").alias("key"), F.col("rare_had").alias("had"))))
+    pairs = words_of.unionAll(grams_of)
     light = words.where(~frequent).select(F.lit(0).alias("kind"), "key", F.log10(F.col("n") + 1.0).alias("log")).unionAll(scores.where(~common).select(F.lit(1).alias("kind"), "key", "log"))
     word = F.col("kind") == 0
-    more = pairs.join(light, ["kind", "key"]).groupBy("row").agg(F.sum(F.when(word, F.col("log"))).alias("more"), F.count_if(word).alias("more_known"), F.sum(F.when(~word, F.col("log"))).alias("more_score"))
+    contexts, both = F.shiftright("had", 32), F.col("had").bitwiseAND(F.lit((1 << 32) - 1))
+    gain = F.log10((both + OWN_SHARE * F.pow(F.lit(10.0), "log")) / (contexts + OWN_SHARE)) - F.col("log")
+    more = pairs.join(light, ["kind", "key"]).groupBy("row").agg(
+        F.sum(F.when(word, F.col("log"))).alias("more"), F.count_if(word).alias("more_known"), F.sum(F.when(~word, F.col("log"))).alias("more_score"), F.sum(F.when(F.col("had") != 0, gain)).alias("more_gain")
+    )
     score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
-    out = base.drop("rare", "rare_grams").join(more, "row", "left")
+    if own:  # the mean of the two probabilities
+        gain = F.col("gain") + F.coalesce("more_gain", F.lit(0.0))
+        score += F.greatest(gain, F.lit(0.0)) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(gain))) - F.lit(math.log10(2))
+    out = base.drop("rare", "rare_grams", "rare_had").join(more, "row", "left")
     return out.select(
         "doc_id", "learnt", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(divisor)).alias("base_score"), score.alias("score"),
@@ -517,5 +602,5 @@ def score(docs: DataFrame, learnt: Column, *, doc_id: str = "doc_id", text: str
 
 def op3(spark, sf_dir: str) -> DataFrame:
     held = fold_is("doc_id", 7, 2)
-    out = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~held)
+    out = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~held, own=OWN)
     return out.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

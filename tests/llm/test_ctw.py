@@ -158,3 +158,56 @@ def test_most_frequent_holds_no_more_than_asked(spark):
         got = [r.n for r in df.where(ctw.most_frequent(df, most)).collect()]
         assert len(got) <= most and (not got or min(got) > max([n for n in (1, 2, 3, 9, 500) if n not in got], default=0))
     assert df.where(ctw.most_frequent(df, 8)).count() == 8
+
+
+def test_bytes_that_a_very_frequent_context_never_had_have_a_probability():
+    text = np.array([key_of(b"the ca", b) for b in b"ty"], np.uint64)
+    for n in (1 << 20, 1 << 26, 1 << 40):
+        tree = ctw.Tree(ctw.levels_of(text, np.full(2, n), 0, ctw.DEPTH)).weigh()
+        for context in (b"the ca", b"zhe ca"):  # a node, and none
+            got = tree.log10(np.array([key_of(context, b) for b in range(256)], np.uint64))
+            assert np.isfinite(got).all() and (10**got).sum() == pytest.approx(1, rel=1e-4)
+
+
+def own_score(tree, text, own):
+    """Byte by byte: the mean of the tree's probability and of one that counts what the text had so far."""
+    s, plain, mine, had = string_of(text), 0.0, 0.0, {}
+    for i, (context, byte) in enumerate(seen_bytes([text])):
+        log = tree.log10(np.array([key_of(context, byte)], np.uint64))[0]
+        here = had.setdefault(s[i - own : i], Counter()) if i >= own else Counter()
+        plain += log
+        mine += math.log10((here[byte] + ctw.OWN_SHARE * 10**log) / (sum(here.values()) + ctw.OWN_SHARE))
+        here[byte] += 1
+    high = max(plain, mine)
+    return plain, high + math.log10((10 ** (plain - high) + 10 ** (mine - high)) / 2)
+
+
+LINES = "qvxz wkjq zzyvq fqjxk"
+
+
+@pytest.mark.parametrize("held", [3 << 20, 40, 0])
+def test_what_a_document_had_before_counts(spark, docs, monkeypatch, held):
+    """With all, some and no grams held; a text's neighbours in a block change nothing."""
+    monkeypatch.setattr(ctw, "HELD_GRAMS", held)
+    texts = [f"{LINES}\n" * 6, "a" * 60, "", None, "", LINES, f"{LINES} Über {LINES} ubER {LINES}", "once only, all of it"]
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionAll(more).coalesce(1)
+    learnt = F.col("doc_id") < 1000
+    tree = ctw.learn(ctw.corpus_counts(df.where(learnt), "text"))
+    for own in (5, ctw.OWN):
+        got = {r.doc_id: r.score for r in ctw.score(df, learnt, own=own).collect()}
+        for r in df.collect():
+            plain, want = own_score(tree, r.text, own)
+            assert got[r.doc_id] == pytest.approx(want, rel=1e-6) and got[r.doc_id] > plain - math.log10(2) - 1e-3
+    assert got[1000] > 0.4 * own_score(tree, texts[0], ctw.OWN)[0]  # its lines come six times
+
+
+def test_held_out_texts_that_repeat_unknown_words_keep_up_with_the_base(spark, tmp_path):
+    rows = [(i, " ".join(f"{w}{LINES[(i * 7 + k) % 20]}" for k, w in enumerate("the cat sat on a mat".split() * 3))) for i in range(70)]
+    held = [r.i for r in spark.range(70).select(F.col("id").alias("i")).where(fold_is("i", 7, 2)).collect()]
+    rows = [(i, f"{LINES} {t[:20]}\n" * 12 if i in held[::2] else t) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in ctw.op3(spark, str(tmp_path)).collect()}
+    assert {i for i, r in got.items() if r.held_out} == set(held) and len(held) > 3
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+    assert all(got[i].n_known < got[i].n_tokens and got[i].score > got[i].base_score for i in held[::2])
