@@ -39,7 +39,7 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) >= set(catalog.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["top_contributions"])
+@pytest.mark.parametrize("name", ["top_contributions", "reasons"])
 def test_exact_ties_as_in_sql(spark, tmp_path, name):
     """Slopes that lie on a bound, or that are zero but for rounding, fall on the same side as in SQL."""
     rng = random.Random(11)
